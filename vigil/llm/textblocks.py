@@ -95,9 +95,9 @@ class Words:
         return spans_hash(_BYTE_VALUES[self.data], self.starts, self.ends)
 
     def joined(self, doc: int, keep: np.ndarray | None = None) -> bytes:
-        """A document's words (those marked in keep), with one space between them."""
+        """A document's words (those marked in keep, one mark a word), with one space between them."""
         a, b = self.first[doc], self.first[doc + 1]
-        pick = slice(a, b) if keep is None else np.flatnonzero(keep[a:b]) + a
+        pick = slice(a, b) if keep is None else np.flatnonzero(keep) + a
         raw, s, e = self.data, self.starts[pick], self.ends[pick]
         return b" ".join([raw[i:j].tobytes() for i, j in zip(s.tolist(), e.tolist(), strict=True)])
 
