@@ -115,8 +115,8 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    word = ~SEPARATOR[data]
+def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> Words:
+    word = ~separator[data]
     before, after = np.zeros_like(word), np.zeros_like(word)
     before[1:], after[:-1] = word[:-1], word[1:]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
@@ -135,9 +135,9 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def word_blocks(column: pa.Array | pa.ChunkedArray, *, lower: bool = False, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def word_blocks(column: pa.Array | pa.ChunkedArray, *, lower: bool = False, limit: int = BLOCK_BYTES, separator: np.ndarray = SEPARATOR) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, their words), covering the column in order."""
     data, offsets = column_bytes(column)
     for i, j in blocks(offsets, limit):
         part = data[offsets[i] : offsets[j]]
-        yield i, j, find_words(LOWER_ASCII[part] if lower else part, offsets[i : j + 1] - offsets[i])
+        yield i, j, find_words(LOWER_ASCII[part] if lower else part, offsets[i : j + 1] - offsets[i], separator)
