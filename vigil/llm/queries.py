@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, minhash, packing, pii, quality, substrings, urls
+from . import bpe, minhash, packing, pii, quality, substrings, urls, vptree
 from .urls import ALLOW, BLOCK, Rule
 
 
@@ -67,6 +67,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs, length=20).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_vptree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), carry=["doc_id"])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_vptree_search": op7_vptree_search,
     "op8_pii": op8_pii,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
