@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, embedding_dedup, minhash, packing, pii, quality, substrings, urls, vptree
+from . import bpe, embedding_dedup, minhash, packing, pii, quality, storage, substrings, urls, vptree, warc_zip
 from .urls import ALLOW, BLOCK, Rule
 
 
@@ -67,6 +67,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs, length=20).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.read(warc_zip.write(table(spark, sf_dir, "pages"), storage.new_path(spark, "warc"), least_bytes=0))
+
+
 def op7_vptree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_warc_zip": op6_warc_zip,
     "op7_vptree_search": op7_vptree_search,
     "op8_pii": op8_pii,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
