@@ -1,8 +1,107 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality filter, near-duplicate removal, passage removal, redaction, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read back as
+the docs of the next one.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from vigil.llm import minhash, packing, pii, quality, storage, substrings
+from vigil.llm.queries import GOOD, fit_quality, table
+
+#: Quality, similarity of redacted texts and packing have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _with_text(docs: DataFrame, text: str) -> DataFrame:
+    """docs with another text, and n_chars made to fit it."""
+    out = docs.withColumn("text", F.col(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_LEFT: dict[str, list[str]] = {}
+
+
+def _stage(work: Stage) -> Stage:
+    """Deletes what the stage before has left in the shared folder: its result is written by now."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        storage.release(spark, _LEFT.pop(spark.sparkContext.applicationId, []))
+        with storage.recording(spark) as paths:
+            out = work(spark, docs, sf_dir)
+        _LEFT[spark.sparkContext.applicationId] = paths
+        return out
+
+    return run
+
+
+@_stage
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier, fitted on the labelled rows of the input, finds bad."""
+    field = fit_quality(spark, docs, sf_dir)
+    return quality.score(docs, field).where(F.col("score") >= GOOD).select(docs.columns)
+
+
+@_stage
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, the one with the smallest doc_id.
+
+    Documents without a word, and those that link with nothing, all stay.
+    """
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+
+
+@_stage
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages of 20 words and more that stand earlier; others keep their text as it is.
+
+    A document of which no word is left goes.
+    """
+    found = substrings.remove_repeats(docs)
+    left = found.where("n_removed = 0 or n_removed < n_words")
+    return _with_text(left.withColumn("kept_text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))), "kept_text").select(docs.columns)
+
+
+@_stage
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data, and the terms that reveal it."""
+    return _with_text(pii.sanitise(docs), "text").select(docs.columns)
+
+
+@_stage
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_filter),
+    ("MinHash near-dedup", near_dedup),
+    ("substring dedup", passage_dedup),
+    ("PII", redaction),
+    ("best-fit packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the whole table documents."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = f"{storage.shared_dir(spark)}/pipeline/{storage.fresh_name(name)}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            storage.delete(spark, before)
+        before = path
+    return docs

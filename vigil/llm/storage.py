@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_name(name: str) -> str:
+    return f"{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; release() deletes all of them."""
-    path = f"{shared_dir(spark)}/vigil/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/vigil/{fresh_name(name)}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
@@ -38,10 +44,22 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what materialise() wrote in this application; frames that read it must not be used any more."""
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+@contextmanager
+def recording(spark: SparkSession) -> Iterator[list[str]]:
+    """A list that afterwards has the paths given out within."""
+    known = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    n, new = len(known), []
+    yield new
+    new += known[n:]
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes these paths, or all that were given out; frames that read them must not be used any more."""
+    known = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    for path in list(known if paths is None else paths):
         delete(spark, path)
+        if path in known:
+            known.remove(path)
 
 
 def release_table(df: DataFrame) -> None:
