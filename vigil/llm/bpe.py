@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
@@ -26,9 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 from . import storage
 
 #: Bytes of text in a block; a longer document is a block alone.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 _AMBIGUOUS = re.compile(r"\s (?:\s|\Z)")
-_BLOCK_SCHEMA = "block long, bucket int, docs array<long>, counts array<int>, n_slots int, payload binary"
+_BLOCK_SCHEMA = "block long, bucket int, docs array<long>, counts array<int>, payload array<binary>"
+_BLOCK_TYPES = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,17 +49,49 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _pack_strings(items: list[bytes]) -> bytes:
-    lengths = np.fromiter(map(len, items), dtype="<u4", count=len(items)).tobytes()
-    return zstandard.compress(len(items).to_bytes(4, "little") + lengths + b"".join(items), 3)
+#: Ranks below SHORT take one byte, most others two, and the rest have their upper part aside.
+_SHORT = 192
 
 
-def _unpack_strings(data: bytes) -> list[bytes]:
-    raw = zstandard.decompress(data)
-    n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.frombuffer(raw, dtype="<u4", offset=4, count=n)) + 4 + 4 * n
-    starts = [4 + 4 * n, *ends[:-1].tolist()]
-    return [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=False)]
+def _pack_ranks(ranks: np.ndarray) -> list[bytes]:
+    """Numbers that are mostly small, in three streams."""
+    over = ranks.astype(np.int64) - _SHORT
+    upper = over >> 8
+    head = np.where(over < 0, ranks, _SHORT + np.minimum(upper, 255 - _SHORT)).astype(np.uint8)
+    low = (over[over >= 0] & 255).astype(np.uint8)
+    return [zstandard.compress(head.tobytes(), 6), zstandard.compress(low.tobytes(), 6), _pack(upper[upper >= 255 - _SHORT])]
+
+
+def _unpack_ranks(parts: list[bytes]) -> np.ndarray:
+    head = np.frombuffer(zstandard.decompress(parts[0]), dtype=np.uint8).astype(np.int64)
+    long = np.flatnonzero(head >= _SHORT)
+    upper = head[long] - _SHORT
+    upper[upper == 255 - _SHORT] = _unpack(parts[2])
+    head[long] = _SHORT + (upper << 8) + np.frombuffer(zstandard.decompress(parts[1]), dtype=np.uint8)
+    return head
+
+
+def _pack_words(words: list[bytes]) -> list[bytes]:
+    """Words, each without the start that it shares with the one before."""
+    shared, rests, before = np.zeros(len(words), dtype="<u4"), [], b""
+    for i, word in enumerate(words):
+        n = 0
+        for x, y in zip(before, word, strict=False):
+            if x != y:
+                break
+            n += 1
+        shared[i] = n
+        rests.append(word[n:])
+        before = word
+    return [_pack(shared), _pack(np.fromiter(map(len, rests), dtype=np.int64, count=len(rests))), zstandard.compress(b"".join(rests), 6)]
+
+
+def _unpack_words(parts: list[bytes]) -> Iterator[bytes]:
+    rests, at, word = zstandard.decompress(parts[2]), 0, b""
+    for n, size in zip(_unpack(parts[0]).tolist(), _unpack(parts[1]).tolist(), strict=True):
+        word = word[:n] + rests[at : at + size]
+        at += size
+        yield word
 
 
 class _Slots(dict):
@@ -94,30 +128,40 @@ def _to_blocks(pattern: str, n_buckets: int):
     split = regex.compile(pattern).findall
 
     def flush(number: int, docs: list, streams: list[bytes], slots: _Slots) -> pa.RecordBatch:
-        block = (TaskContext.get().partitionId() << 32) + number
-        order = list(slots)
-        encoded = [w.encode() for w in order]
-        bucket = np.fromiter((zlib.crc32(w) for w in encoded), dtype=np.int64, count=len(encoded)) % n_buckets
-        rows = {"block": [block], "bucket": [-1], "docs": [docs], "counts": [[len(s) // 4 for s in streams]], "n_slots": [len(slots)], "payload": [_pack(np.frombuffer(b"".join(streams), dtype="<u4"))]}
-        members = np.argsort(bucket, kind="stable")
-        for mine in np.split(members, np.flatnonzero(np.diff(bucket[members])) + 1) if len(members) else ():
-            b = bucket[mine[0]]
-            for k, v in (("block", block), ("bucket", int(b)), ("docs", mine.tolist()), ("counts", None), ("n_slots", None), ("payload", _pack_strings([encoded[i] for i in mine]))):
-                rows[k].append(v)
-        return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("n_slots", pa.int32()), ("payload", pa.binary())]))
+        """Row -1 of a block has the documents; the others have the words of one bucket each.
+
+        Slots are ranked by count, bucket and word.  A bucket's words stand in the same order, so
+        the buckets of the ranks are all that is needed to put their ids in place.
+        """
+        words = [w.encode() for w in slots]
+        stream = np.frombuffer(b"".join(streams), dtype="<u4")
+        counts = np.bincount(stream, minlength=len(words))
+        buckets = np.fromiter((zlib.crc32(w) % n_buckets for w in words), dtype=np.int64, count=len(words))
+        order = np.lexsort((np.argsort(np.argsort(np.array(words, dtype=object))), buckets, -counts)) if words else np.empty(0, dtype=np.int64)
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[order] = np.arange(len(words))
+        ranked = buckets[order]
+        number += TaskContext.get().partitionId() << 32
+        rows = [(number, -1, docs, [len(s) // 4 for s in streams], [_pack(ranked), *_pack_ranks(rank[stream])])]
+        by_bucket = np.argsort(ranked, kind="stable")
+        for mine in np.split(by_bucket, np.flatnonzero(np.diff(ranked[by_bucket])) + 1) if words else ():
+            rows.append((number, int(ranked[mine[0]]), None, None, _pack_words([words[i] for i in order[mine].tolist()])))
+        return pa.RecordBatch.from_arrays([pa.array(list(column), kind) for column, kind in zip(zip(*rows, strict=True), _BLOCK_TYPES, strict=True)], names=["block", "bucket", "docs", "counts", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, docs, streams, size, slots = 0, [], [], 0, _Slots()
         chunks = _Chunks(split, slots)
-        for batch in batches:
+        for batch in (whole.slice(i, 200) for whole in batches for i in range(0, whole.num_rows, 200)):
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 docs.append(row)
                 streams.append(_slots_of(text or "", split, slots, chunks))
                 size += len(text or "")
                 if size >= BLOCK_BYTES:
+                    del chunks
                     yield flush(number, docs, streams, slots)
                     number, docs, streams, size, slots = number + 1, [], [], 0, _Slots()
                     chunks = _Chunks(split, slots)
+        del chunks
         if docs:
             yield flush(number, docs, streams, slots)
 
@@ -135,13 +179,14 @@ def _encode_bucket(ranks_broadcast):
             for b, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 if b != bucket:
                     bucket, known = b, {}
-                ids = []
-                for word in _unpack_strings(payload):
+                lengths, ids = [], []
+                for word in _unpack_words(payload):
                     if (got := known.get(word)) is None:
                         known[word] = got = np.array(encode(word.decode()), dtype="<u4").tobytes()
+                    lengths.append(len(got) // 4)
                     ids.append(got)
-                out.append(_pack_strings(ids))
-            yield batch.set_column(batch.schema.get_field_index("payload"), "payload", pa.array(out, type=pa.binary()))
+                out.append([_pack(np.array(lengths)), _pack(np.frombuffer(b"".join(ids), dtype="<u4"))])
+            yield batch.set_column(batch.schema.get_field_index("payload"), "payload", pa.array(out, type=_BLOCK_TYPES[-1]))
 
     return run
 
@@ -156,19 +201,19 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, picks: np.
 
 def _reassemble(table: pa.Table) -> pa.Table:
     """One block: its documents' slots, and the ids of its words from all buckets."""
-    docs, ids = [], []
-    bucket = table.column("bucket").to_pylist()
-    main = bucket.index(-1)
-    by_slot: list[bytes] = [b""] * table.column("n_slots")[main].as_py()
-    for i, b in enumerate(bucket):
-        if b >= 0:
-            for slot, word_ids in zip(table.column("docs")[i].as_py(), _unpack_strings(table.column("payload")[i].as_py()), strict=True):
-                by_slot[slot] = word_ids
-    lengths = np.fromiter((len(x) // 4 for x in by_slot), dtype=np.int64, count=len(by_slot))
-    starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(by_slot), dtype="<u4")
-    stream, at = _unpack(table.column("payload")[main].as_py()), 0
-    for doc, n in zip(table.column("docs")[main].as_py(), table.column("counts")[main].as_py(), strict=True):
-        docs.append(doc)
+    rows = dict(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True))
+    main = table.filter(pc.equal(table.column("bucket"), -1))
+    ranked, *stream = rows.pop(-1)
+    ranked, stream = _unpack(ranked), _unpack_ranks(stream)
+    lengths, starts, flat, base = np.zeros(len(ranked), dtype=np.int64), np.zeros(len(ranked), dtype=np.int64), [], 0
+    for bucket, (sizes, ids) in rows.items():
+        mine, sizes = ranked == bucket, _unpack(sizes).astype(np.int64)
+        lengths[mine], starts[mine] = sizes, base + np.cumsum(sizes) - sizes
+        flat.append(_unpack(ids))
+        base += len(flat[-1])
+    flat = np.concatenate(flat) if flat else np.empty(0, dtype="<u4")
+    docs, ids, at = main.column("docs")[0].as_py(), [], 0
+    for n in main.column("counts")[0].as_py():
         ids.append(gather(flat, starts, lengths, stream[at : at + n]).tobytes())
         at += n
     return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(ids, pa.binary())})
