@@ -28,6 +28,8 @@ _BINS_DDL = "bin long, fill int, done boolean, members array<struct<doc_id: long
 #: Bins in a group of one round at most; pieces that a partition packs together at most.
 GROUP_BINS, LOCAL_PIECES = 50_000, 200_000
 FAN_IN = 8
+#: Below it, all versions of Unicode agree on what letters are and on their lower case.
+_SETTLED = "\u0530"
 #: Entries of a worker's word tables, which are emptied beyond it.
 KNOWN = 400_000
 
@@ -78,7 +80,7 @@ class WordTokenizer(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= KNOWN:
             self.clear()
-        if unicodedata.is_normalized("NFC", chunk) and "Σ" not in chunk and len(chunk) < 1000:
+        if (chunk.isascii() or max(chunk) < _SETTLED and "Σ" not in chunk and unicodedata.is_normalized("NFC", chunk)) and len(chunk) < 1000:
             out = b"".join([self.words[w] for w in self.split(chunk.lower())])
         else:
             out = self.whole(chunk)

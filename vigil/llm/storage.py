@@ -10,15 +10,17 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[str, list[str]] = {}
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir.  Only where it is unset, as in tests, a local one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="vigil-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder in spark.checkpoint.dir.  Only where it is unset, as in tests, a local one is made."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:
+        _OWN[application] = "file://" + tempfile.mkdtemp(prefix="vigil-")
+    return _OWN[application]
 
 
 def fresh_name(name: str) -> str:

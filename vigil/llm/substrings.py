@@ -76,8 +76,8 @@ def _sliding(of, values: np.ndarray, span: int) -> np.ndarray:
     return of(out[:n], out[span - reach : span - reach + n])
 
 
-def _cells(seeds: np.ndarray, row: int) -> np.ndarray:
-    return (mix(seeds + np.uint64(0x9E3779B97F4A7C15 * (row + 1) % 2**64)) % np.uint64(SKETCH_CELLS)).astype(np.int64)
+def _cells(seeds: np.ndarray, row: int, cells: int) -> np.ndarray:
+    return (mix(seeds + np.uint64(0x9E3779B97F4A7C15 * (row + 1) % 2**64)) % np.uint64(cells)).astype(np.int64)
 
 
 def _runs(starts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -87,7 +87,7 @@ def _runs(starts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return new
 
 
-def _sketch(length: int):
+def _sketch(length: int, n_cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -96,7 +96,7 @@ def _sketch(length: int):
             seeds = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
             out: dict[str, list] = {"row": [], "block": [], "ones": [], "more": []}
             for row in range(_ROWS):
-                cells, counts = np.unique(_cells(seeds, row), return_counts=True)
+                cells, counts = np.unique(_cells(seeds, row, n_cells), return_counts=True)
                 cuts = np.flatnonzero(np.diff(cells // _CELLS_IN_BLOCK)) + 1
                 for c, n in zip(np.split(cells, cuts), np.split(counts, cuts), strict=True):
                     if len(c):
@@ -121,10 +121,10 @@ def _merge(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_pydict({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([np.packbits(more).tobytes()], pa.binary())})
 
 
-def _merged_sketch(docs: DataFrame, length: int) -> Broadcast:
-    parts = docs.select("text").mapInArrow(_sketch(length), "row int, block int, ones binary, more binary")
+def _merged_sketch(docs: DataFrame, length: int, n_cells: int) -> Broadcast:
+    parts = docs.select("text").mapInArrow(_sketch(length, n_cells), "row int, block int, ones binary, more binary")
     merged = parts.groupBy("row", "block").applyInArrow(_merge, "row int, block int, bits binary")
-    bits = np.zeros((_ROWS, SKETCH_CELLS // 8), dtype=np.uint8)
+    bits = np.zeros((_ROWS, n_cells // 8), dtype=np.uint8)
     for r in merged.toLocalIterator():  # as many blocks as the fixed sketch has
         bits[r["row"], r["block"] * _CELLS_IN_BLOCK // 8 : (r["block"] + 1) * _CELLS_IN_BLOCK // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
     return docs.sparkSession.sparkContext.broadcast(bits)
@@ -134,7 +134,7 @@ def _repeated(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Whether the sketch estimates a seed at two or more."""
     out = np.ones(len(seeds), dtype=bool)
     for row in range(_ROWS):
-        cells = _cells(seeds, row)
+        cells = _cells(seeds, row, bits.shape[1] * 8)
         out &= (bits[row][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
     return out
 
@@ -236,7 +236,7 @@ def _covered(n: int, ranges: list[bytes] | None, length: int) -> np.ndarray:
     return np.cumsum(out[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 20, sketch_cells: int = SKETCH_CELLS) -> DataFrame:
     """Removes each word that a window covers which also starts earlier in the corpus.
 
     Earlier is a smaller doc_id, or the same and an earlier start; windows are those of the
@@ -245,10 +245,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 20) -> DataFrame:
     words and keeps the empty text.  Rows that share doc_id and start are equally early: neither
     takes words from the other, so repeated rows are all treated alike.  Rows without doc_id
     count as earlier than all others.  An empty table gives an empty table.
+    sketch_cells: cells in a row of the sketch, a multiple of 2**20; it bounds what is broadcast.
     """
     key = F.xxhash64("doc_id", "text")
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), key.alias("doc_key"), F.col("text").cast("string").alias("text"))
-    sketch = _merged_sketch(slim, length)
+    sketch = _merged_sketch(slim, length, sketch_cells)
     found = storage.materialise(slim.mapInArrow(_find(length, sketch), _FOUND), "windows")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = found.where("kind = 0").repartition(n, "seed").sortWithinPartitions("seed").mapInArrow(_group, _FOUND)
