@@ -137,7 +137,7 @@ def best_in_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.n
     return query_ids[who[rank < k]], row[rank < k], score[rank < k]
 
 
-def nearest(embeddings: DataFrame, *, every: int = 20, k: int = 20, factor: float = 1.2, sample_rows: int = 4_096) -> DataFrame:
+def nearest(embeddings: DataFrame, *, every: int = 20, k: int = 20, factor: float = 1.05, sample_rows: int = 4_096) -> DataFrame:
     """For each row whose vec_id is divisible by every: its k rows with the largest inner products.
 
     Returns query_id, rank (from 1), vec_id, score, ties by smaller vec_id, all candidates if there are fewer.
