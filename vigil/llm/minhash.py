@@ -2,11 +2,12 @@
 
 1. A scan gives every document its number of shingles, a digest of the shingle set and the keys
    of its signature's bands.  Documents of one digest form a class and go on as their smallest id.
-2. A bucket (one band, one key) links its members to a centre: star-shaped edges, as many as
-   members.  An edge is confirmed on the full sets of both texts.
-3. A star can miss a link between two members that do not link to the centre.  So buckets whose
-   members are still in several components take more centres, four times as many each round,
-   until one component is left or every member has been a centre.  Pairs are never compared twice.
+2. A bucket (one band, one key) links its members to a centre, that which shares the most buckets
+   with others: star-shaped edges, as many as members.  An edge is confirmed on the full sets of both
+   texts.
+3. A star can miss a link between two members that do not link to the centre.  So the members of
+   buckets that still hold several components are joined once more, exactly: two sets that are
+   similar enough share one of their rarest shingles, at places that leave enough of both sets.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import storage
 from .components import components
@@ -115,9 +116,44 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _share(rep: Column, key: Column) -> Column:
-    """A member's place in its bucket's order, from 0 to 1."""
-    return (F.xxhash64(rep, key) / F.lit(2.0**64)) + 0.5
+def _shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, words in word_blocks(batch.column("text"), lower=True):
+                sets = shingle_sets(words, size)
+                flat = np.concatenate(sets).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["rep", "shingles"])
+
+    return run
+
+
+def _rarest_first(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of different components that may be similar enough.
+
+    open_ has rep, n_shingles and component.  With the shingles of every set ordered by how many of
+    these sets have them, two sets of the least overlap start their overlap within the first
+    n - percent n + 1 places, and the places at which it starts bound how large it can be.
+    """
+    sets = texts.join(open_.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_shingles(size), "rep long, shingles array<long>")
+    tokens = storage.materialise(sets.select("rep", F.explode("shingles").alias("shingle")).distinct(), "tokens")
+    common = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles that one set alone has come first in it and match nothing: only their number matters.
+    ordered = tokens.join(common, "shingle").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("tokens"))
+    ordered = ordered.join(open_, "rep").withColumn("alone", F.col("n_shingles") - F.size("tokens"))
+    prefix = F.expr(f"cast(n_shingles - ceil({percent} * n_shingles / 100) + 1 - alone as int)")
+    starts = ordered.where(prefix > 0).select("rep", "n_shingles", "component", "alone", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("place", "token"))
+    starts = storage.materialise(starts.select("rep", "n_shingles", "component", (F.col("place") + F.col("alone")).alias("place"), F.col("token.shingle").alias("shingle")), "prefixes")
+    # A shingle whose sets are all of one component joins nothing.
+    mixed = starts.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    x = starts.join(mixed, "shingle", "left_semi")
+    y = x.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("rep", "n_shingles", "component", "place")))
+    fits = F.expr(
+        f"rep < other_rep and component <> other_component"
+        f" and least(n_shingles - place, other_n_shingles - other_place) * {100 + percent} >= {percent} * (n_shingles + other_n_shingles)"
+        f" and 100 * least(n_shingles, other_n_shingles) >= {percent} * greatest(n_shingles, other_n_shingles)"
+    )
+    return x.join(y, "shingle").where(fits).select(F.col("rep").alias("a"), F.col("other_rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -137,43 +173,31 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     classes = described.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = described.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands")
     members = reps.select("rep", "n_shingles", F.explode("bands").alias("key")).distinct()
-    buckets = members.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("top"), F.count("*").alias("n"))
-    crowded = buckets.where("n > 1 and centre < top")
-    shared = storage.materialise(members.join(crowded.drop("top"), "key"), "buckets")
-
-    near = F.expr(f"100 * least(n_shingles, n_other) >= {percent} * greatest(n_shingles, n_other)")  # no other pair can link
-    others = shared.where("rep <> centre").withColumnRenamed("n_shingles", "n_other")
-    centres = shared.where("rep = centre").select("key", "n_shingles")
-    pairs = others.join(centres, "key").where(near).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = storage.materialise(pairs, "pairs")
-    ids = shared.select(F.col("rep").alias("doc_id")).distinct()
-    texts = storage.materialise(slim.join(ids, "doc_id", "left_semi"), "texts")
-
-    judged, round_, groups = None, 1, None
-    while True:
+    crowded = members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    shared = storage.materialise(members.join(crowded.select("key", "n"), "key"), "buckets")
+    degree = shared.groupBy("rep").agg(F.sum("n").alias("degree"))
+    centre = F.max(F.struct("degree", F.bitwise_not("rep").alias("reversed"), "n_shingles")).alias("c")
+    centres = shared.join(degree, "rep").groupBy("key").agg(centre).select("key", F.bitwise_not("c.reversed").alias("centre"), F.col("c.n_shingles").alias("n_centre"))
+    near = F.expr(f"100 * least(n_shingles, n_centre) >= {percent} * greatest(n_shingles, n_centre)")  # no other pair can link
+    stars = shared.join(centres, "key").where(F.col("rep") != F.col("centre")).where(near)
+    stars = storage.materialise(stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "pairs")
+    texts = storage.materialise(slim.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+
+    def links(pairs: DataFrame) -> DataFrame:
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        fresh = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle_words, percent), "a long, b long, linked boolean")
-        fresh = storage.materialise(fresh, "judged")
-        judged = fresh if judged is None else judged.unionByName(fresh)
-        groups = storage.materialise(components(judged.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-        labelled = shared.where("n > 2").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", "n", F.coalesce("component", "rep").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        low, high = 4.0 ** (round_ - 1), 4.0**round_
-        place = _share(F.col("rep"), F.col("key")) * F.col("n")
-        bound = labelled.agg(F.max("n")).first()[0] or 0
-        if (low if round_ > 1 else 0) >= bound:
-            break
-        open_ = labelled.join(mixed, "key", "left_semi")
-        centres = open_.where((place >= (low if round_ > 1 else 0.0)) & (place < high)).select("key", F.col("rep").alias("c"), F.col("component").alias("c_component"), F.col("n_shingles").alias("n_other"))
-        found = open_.join(centres, "key").where((F.col("component") != F.col("c_component")) & near).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        pairs = storage.materialise(found.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        round_ += 1
-        if pairs.isEmpty():
-            if high >= bound:
-                break
-            continue
-    named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+        judged = both.mapInArrow(_confirm(shingle_words, percent), "a long, b long, linked boolean")
+        return storage.materialise(judged.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+    found = links(stars)
+    groups = components(found).withColumnRenamed("node", "rep")
+    labelled = shared.where("n > 2").join(groups, "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    open_ = storage.materialise(labelled.join(mixed, "key", "left_semi").select("rep", "n_shingles", "component").distinct(), "open")
+    rest = _rarest_first(open_, texts, shingle_words, percent).join(stars, ["a", "b"], "left_anti")
+    groups = components(found.unionByName(links(rest))).withColumnRenamed("node", "rep")
+    named = classes.join(groups, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = described.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     real = lambda c: F.when(c != _NO_ID, c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.coalesce("component", "doc_id")).alias("component_id"), (F.col("doc_id") == F.coalesce("component", "doc_id")).alias("kept"))

@@ -20,7 +20,7 @@ LOWER_ASCII[ord("A") : ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 #: Bytes of text whose arrays are held in memory together; one longer document is a block alone.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def powers(base: int, n: int) -> np.ndarray:
