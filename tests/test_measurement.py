@@ -46,6 +46,8 @@ def test_rank_eligibility_volume_and_churn(spark):
     assert [(r["symbol"], r["included"]) for r in universe.rank_table(v, excluded=2).orderBy("rank").collect()] == [("C", False), ("A", False), ("B", True)]
     s = spark.createDataFrame([("AUSDT", "A", "USDT", "TRADING", True), ("BUSDT", "B", "USDT", "BREAK", True), ("CUSDT", "C", "USDT", "TRADING", None), ("UPUSDT", "UP", "USDT", "TRADING", True), ("ABTC", "A", "BTC", "TRADING", True)], "symbol string, base_asset string, quote_asset string, status string, spot_allowed boolean")
     assert [r[0] for r in universe.eligible(s, excluded_bases=["UP"]).collect()] == ["AUSDT"]
+    fixed = spark.createDataFrame([(b + "USDT", b, "USDT", "TRADING", True) for b in ("JUP", "SYRUP", "BTCUP", "EUR", "AAA")], "symbol string, base_asset string, quote_asset string, status string, spot_allowed boolean")
+    assert [r[0] for r in universe.eligible(fixed).collect()] == ["AAAUSDT", "JUPUSDT", "SYRUPUSDT"]
     daily = spark.createDataFrame([("A", D(2026, 7, 1) + dt.timedelta(i), 1000.0 if i == 30 else 1.0) for i in range(31)], "symbol string, day date, volume double")
     assert float(universe.trailing_volume(daily).first()["volume"]) == 30.0
     t = tables(spark, [("2026-07-23", "A", 1, 0), ("2026-07-23", "B", 2, 0), ("2026-07-31", "B", 1, 0), ("2026-07-31", "C", 2, 0)])

@@ -44,3 +44,15 @@ SIGNATURE_TRAIL = 1440
 VERDICTS = ("match", "no-match", "unclear")
 EPISODE_COLUMNS = ("pair", "ts_utc", "detector", "threshold", "score", "threshold_label", "frequency", "ts_available_utc", "day")
 CANDIDATE_COLUMNS = ("pair", "ts_utc", "detector", "frequency", "score", "day")
+
+# Base assets that are never eligible.  Leveraged tokens match exactly, not by their endings.
+LEVERAGED_BASES = (
+    "BTCUP", "BTCDOWN", "ETHUP", "ETHDOWN", "BNBUP", "BNBDOWN", "ADAUP", "ADADOWN", "XRPUP", "XRPDOWN", "DOTUP", "DOTDOWN",
+    "LINKUP", "LINKDOWN", "LTCUP", "LTCDOWN", "EOSUP", "EOSDOWN", "TRXUP", "TRXDOWN", "BCHUP", "BCHDOWN", "AAVEUP", "AAVEDOWN",
+    "SUSHIUP", "SUSHIDOWN", "UNIUP", "UNIDOWN", "XLMUP", "XLMDOWN", "FILUP", "FILDOWN", "YFIUP", "YFIDOWN", "1INCHUP", "1INCHDOWN",
+    "SXPUP", "SXPDOWN", "XTZUP", "XTZDOWN", "BULL", "BEAR", "ETHBULL", "ETHBEAR", "EOSBULL", "EOSBEAR", "XRPBULL", "XRPBEAR", "BNBBULL", "BNBBEAR",
+)
+STABLE_FIAT_BASES = (
+    "USDC", "FDUSD", "TUSD", "DAI", "BUSD", "USDP", "PAX", "PAXG", "EUR", "EURI", "AEUR", "GBP", "AUD", "BRL", "TRY", "RUB", "UAH",
+    "NGN", "ZAR", "BIDR", "IDRT", "GYEN", "VAI", "UST", "USTC", "SUSD", "USDS", "USD1", "USDE", "XUSD", "BKRW", "COP", "ARS", "MXN", "JPY", "PLN", "RON", "CZK",
+)

@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from vigil import constants
 
-#: Fixed word lists: leveraged tokens, and stable or fiat coins, that are never eligible, are parameters of eligible().
 
-
-def eligible(symbols: DataFrame, *, quote: str = "USDT", excluded_bases: list[str]) -> DataFrame:
+def eligible(symbols: DataFrame, *, quote: str = "USDT", excluded_bases: tuple[str, ...] = constants.LEVERAGED_BASES + constants.STABLE_FIAT_BASES) -> DataFrame:
     """Symbols that trade on the spot market against the quote asset and whose base is not excluded, in order."""
-    keep = (F.col("status") == "TRADING") & (F.col("quote_asset") == quote) & F.coalesce(F.col("spot_allowed"), F.lit(False)) & ~F.col("base_asset").isin(excluded_bases)
+    keep = (F.col("status") == "TRADING") & (F.col("quote_asset") == quote) & F.coalesce(F.col("spot_allowed"), F.lit(False)) & ~F.col("base_asset").isin(*excluded_bases)
     return symbols.where(keep).select("symbol").orderBy("symbol")
 
 
