@@ -19,8 +19,8 @@ from . import storage
 from .components import components
 from .vectors import matrix, usable_rows
 
-#: Classes in a cell on average, and members in a block.
-CELL_ROWS, BLOCK_ROWS, MAX_CELLS = 1_000, 2_048, 2_048
+#: Classes of the largest label in a cell on average, and members in a block.
+CELL_ROWS, BLOCK_ROWS, MAX_CELLS = 4_000, 2_048, 2_048
 _NO_ID = -(2**63)
 
 
@@ -116,7 +116,8 @@ def near_duplicates(embeddings: DataFrame, *, least: float = 0.98, sample_rows:
     if not len(sample):
         named = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     else:
-        cells = max(1, min(MAX_CELLS, classes.count() // CELL_ROWS, len(sample)))
+        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+        cells = max(1, min(MAX_CELLS, largest // CELL_ROWS, len(sample)))
         centres = spherical_kmeans(_unit(sample), cells)
         # A class's number goes by label and least id, since an id may stand under two labels.
         numbered = classes.select("label", "v", "n", "rep").withColumn("label", F.col("label").cast("string"))
