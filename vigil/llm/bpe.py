@@ -11,7 +11,9 @@ a word that stands everywhere is one entry a block.
 from __future__ import annotations
 
 import base64
+import functools
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import storage
 
 #: Bytes of text in a block; a longer document is a block alone.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 10_000_000
+#: Below it, all versions of Unicode agree on what letters are.
+_HIGH = re.compile("[\u0530-\U0010ffff]").search
 _AMBIGUOUS = re.compile(r"\s (?:\s|\Z)")
 _BLOCK_SCHEMA = "block long, bucket int, docs array<long>, counts array<int>, payload array<binary>"
 _BLOCK_TYPES = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()))
@@ -94,6 +98,32 @@ def _unpack_words(parts: list[bytes]) -> Iterator[bytes]:
         yield word
 
 
+@functools.cache
+def _newer_letters() -> re.Pattern:
+    """Letters and numbers of a newer Unicode than tiktoken's, which takes them for neither."""
+    ranks = {bytes([i]): i for i in range(256)} | {b"a" + bytes([i]): 256 + i for i in range(256)}
+    # Here a and the first byte of a character become one token only if the pattern keeps them together.
+    probe = tiktoken.Encoding("probe", pat_str=r"a[\p{L}\p{N}]|[\s\S]", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    here = regex.compile(r"[\p{L}\p{N}]").match
+    unassigned = (chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn")
+    found = [c for c in unassigned if here(c) and len(probe("a" + c)) > len(c.encode())]
+    starts = [c for c, before in zip(found, ["", *found], strict=False) if not before or ord(c) != ord(before) + 1]
+    ends = [c for c, after in zip(found, [*found[1:], ""], strict=True) if not after or ord(after) != ord(c) + 1]
+    return re.compile(f"[{''.join(f'{a}-{b}' for a, b in zip(starts, ends, strict=True))}]" if found else r"(?!)")
+
+
+def splitter(pattern: str):
+    """The pre-tokens of a text, as tiktoken finds them."""
+    plain = regex.compile(pattern)
+
+    def split(text: str) -> list[str]:
+        if text.isascii() or not _HIGH(text) or not _newer_letters().search(text):
+            return plain.findall(text)
+        return [text[m.start() : m.end()] for m in plain.finditer(_newer_letters().sub("\ue000", text))]
+
+    return split
+
+
 class _Slots(dict):
     """Pre-token to slot, numbered as they come."""
 
@@ -125,7 +155,7 @@ def _slots_of(text: str, split, slots: _Slots, chunks: _Chunks) -> bytes:
 
 
 def _to_blocks(pattern: str, n_buckets: int):
-    split = regex.compile(pattern).findall
+    split = splitter(pattern)
 
     def flush(number: int, docs: list, streams: list[bytes], slots: _Slots) -> pa.RecordBatch:
         """Row -1 of a block has the documents; the others have the words of one bucket each.
@@ -199,8 +229,8 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, picks: np.
     return flat[np.repeat(starts[picks] - (ends - n), n) + np.arange(total)]
 
 
-def _reassemble(table: pa.Table) -> pa.Table:
-    """One block: its documents' slots, and the ids of its words from all buckets."""
+def _reassemble(table: pa.Table, tokens: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> pa.Table:
+    """One block: its documents' slots, and the ids of its words from all buckets; with token bytes also decoded."""
     rows = dict(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True))
     main = table.filter(pc.equal(table.column("bucket"), -1))
     ranked, *stream = rows.pop(-1)
@@ -212,16 +242,30 @@ def _reassemble(table: pa.Table) -> pa.Table:
         flat.append(_unpack(ids))
         base += len(flat[-1])
     flat = np.concatenate(flat) if flat else np.empty(0, dtype="<u4")
-    docs, ids, at = main.column("docs")[0].as_py(), [], 0
+    docs, ids, decoded, at = main.column("docs")[0].as_py(), [], [], 0
     for n in main.column("counts")[0].as_py():
-        ids.append(gather(flat, starts, lengths, stream[at : at + n]).tobytes())
+        own = gather(flat, starts, lengths, stream[at : at + n])
+        ids.append(own.tobytes())
         at += n
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(ids, pa.binary())})
+        if tokens:
+            decoded.append(gather(*tokens, own).tobytes())
+    out = {"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(ids, pa.binary())}
+    return pa.table(out | ({"decoded": pa.array(decoded, pa.binary())} if tokens else {}))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def _token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes in order of their ids, and where each begins and how long it is."""
+    by_id = {i: token for token, i in ranks.items()}
+    tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+    lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+    return np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, with_decoded: bool = False) -> DataFrame:
     """Token ids of every document: doc_id, ids (little-endian unsigned 32-bit integers).
 
+    with_decoded adds what decode() would add, in the same task.
+
     A null text counts as empty and an empty text has no ids.  Every input row gives one row, so
     repeated rows and rows without doc_id are kept; further columns are ignored.  An empty table
     gives an empty table.  Texts are never cut; one document is always in one block.
@@ -233,7 +277,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     blocks = storage.materialise(rows.mapInArrow(_to_blocks(pattern, n_buckets), _BLOCK_SCHEMA), "bpe")
     words = blocks.where("bucket >= 0").repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
     both = blocks.where("bucket < 0").unionByName(words.mapInArrow(_encode_bucket(ranks), _BLOCK_SCHEMA))
-    return both.groupBy("block").applyInArrow(_reassemble, "doc_id long, ids binary")
+
+    def join(table: pa.Table) -> pa.Table:
+        return _reassemble(table, _token_bytes(ranks.value) if with_decoded else None)
+
+    return both.groupBy("block").applyInArrow(join, "doc_id long, ids binary" + ", decoded binary" * with_decoded)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -243,16 +291,13 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     all executors, and each document's ids pick their rows in order.
     """
     spark = encoded.sparkSession
-    table = spark.sparkContext.broadcast({i: token for token, i in read_ranks(ranks_path).items()})
+    table = spark.sparkContext.broadcast(_token_bytes(read_ranks(ranks_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = [table.value.get(i, b"") for i in range(max(table.value) + 1)]
-        lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), dtype=np.uint8)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                decoded = [gather(flat, starts, lengths, np.frombuffer(x, dtype="<u4")).tobytes() for x in part.column("ids").to_pylist()]
+                decoded = [gather(*table.value, np.frombuffer(x, dtype="<u4")).tobytes() for x in part.column("ids").to_pylist()]
                 yield part.append_column("decoded", pa.array(decoded, pa.binary()))
 
     return encoded.mapInArrow(run, encoded.selectExpr("*", "cast(null as binary) decoded").schema)
