@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -99,6 +100,26 @@ def test_word_tokenizer_equals_the_library(text):
 test_word_tokenizer_equals_the_library.own = packing.WordTokenizer(WORD_FILE)
 
 
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", " ", "\n", "\x1c", "Hello", "É", "Σ", "it's 1"]), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_word_tokenizer_equals_the_library_on_added_tokens(parts):
+    text, own = "".join(parts), test_word_tokenizer_equals_the_library_on_added_tokens
+    assert np.frombuffer(own.own.ids(text), "<u4").tolist() == own.whole.encode(text, add_special_tokens=False).ids
+
+
+test_word_tokenizer_equals_the_library_on_added_tokens.own = packing.WordTokenizer(WORD_FILE)
+test_word_tokenizer_equals_the_library_on_added_tokens.whole = tokenizers.Tokenizer.from_file(WORD_FILE)
+
+
+def test_packing_of_added_tokens(spark):
+    texts = ["hello <|endoftext|> world", "<|startoftext|>a b", "no such token", None]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORD_FILE).collect()
+    library = tokenizers.Tokenizer.from_file(WORD_FILE)
+    ids = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert 49407 in ids[0] and 49406 in ids[1]
+    assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in got) == [(d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, i in enumerate(ids)]
+
+
 @pytest.mark.parametrize("capacity", [64, 4096])
 def test_packing(spark, documents, capacity):
     own = packing.WordTokenizer(WORD_FILE)

@@ -57,11 +57,12 @@ class _Words(dict):
 
 
 class WordTokenizer(dict):
-    """Ids of texts by a word-level BPE file of the tokenizers library, without special tokens.
+    """Ids of texts by a word-level BPE file of the tokenizers library, with add_special_tokens=False.
 
     White space only separates words there, so the ids of a text are those of its chunks between
     white space; each chunk is encoded when it first comes, and each of its words likewise.
-    Chunks and texts whose normal form depends on more than that go through the library whole.
+    Chunks and texts whose normal form depends on more than that go through the library whole,
+    and so do texts with the content of an added token, which the library gives that token's id.
     """
 
     def __init__(self, path: str):
@@ -69,10 +70,10 @@ class WordTokenizer(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words = _Words(self.tokenizer.model)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.odd = regex.compile(r"[\x1c-\x1f]").search
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -88,7 +89,7 @@ class WordTokenizer(dict):
         return out
 
     def ids(self, text: str) -> bytes:
-        return self.whole(text) if self.odd(text) else b"".join(map(self.__getitem__, text.split()))
+        return self.whole(text) if self.odd(text) or any(t in text for t in self.added) else b"".join(map(self.__getitem__, text.split()))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
