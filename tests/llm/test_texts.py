@@ -281,6 +281,40 @@ def test_disclosing_terms_go_and_clean_texts_stay(spark, documents):
     assert collections.Counter(map(tuple, pii.sanitise(documents).collect())) == before  # nothing to protect
 
 
+def brute_disclosing(rows, support=2):
+    """Document number to (start, end, removed) of the terms that tell a value of it, by counting all pairs."""
+    values, outside, every = [], [], []
+    for text in rows:
+        spans = pii.base_spans(text)
+        values.append({pii._entity(k, text[a:b]) for a, k, b in spans})
+        outside.append([m for m in pii._TERM.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in spans)])
+        every.append({m[0].lower() for m in pii._TERM.finditer(text)})
+    out = collections.defaultdict(set)
+    for d, text in enumerate(rows):
+        for m in outside[d]:
+            shares = []
+            for e in values[d]:
+                n_entity = sum(e in v for v in values)
+                both = sum(e in v and any(x[0].lower() == m[0].lower() for x in o) for v, o in zip(values, outside, strict=True))
+                if both >= support and n_entity < len(rows):
+                    shares.append(1 + np.log2(both / sum(m[0].lower() in t for t in every)) / np.log2(len(rows) / n_entity))
+            if shares and max(shares) >= 0.8:
+                out[d].add((m.start(), m.end(), max(shares) >= 0.95))
+    return out
+
+
+def test_terms_far_from_a_value_disclose_it(spark):
+    filler = "the office answers on every other day " * 20
+    far = [f"Dr Quillon writes. {filler} Mail: jo.doe@mail.example.org. {filler} Yours, QUILLON and {n}" for n in ("Bramwell", "Ostrander")]
+    rng = np.random.default_rng(3)
+    mixed = [" ".join(rng.choice(["amber", "birch", "cedar", "a@x.example.org", "b@x.example.org", "+44 20 7946 0958", *(f"w{c * 3}" for c in "abcdefghij")], 9)) for _ in range(60)]
+    rows = [*far, *mixed, *[filler] * 30]
+    found = pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).select("row.doc_id", "spans").collect()
+    got = {r["doc_id"]: {(s["start"], s["end"], s["removed"]) for s in r["spans"] if s["kind"] == 4} for r in found}
+    assert {d: s for d, s in got.items() if s} == brute_disclosing(rows) and len(found) == len(rows)
+    assert {far[0][a:b] for a, b, _ in got[0]} == {"Quillon", "QUILLON", "writes", "Mail", "Yours", "and"}
+
+
 # Quality
 
 

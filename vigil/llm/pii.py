@@ -1,11 +1,14 @@
 """Personal data: patterns find the protected values, and corpus statistics the terms that reveal them.
 
-A term near a protected value reveals it as far as it tells which value it is.  With N documents,
-n(e) that hold the value, n(t) that hold the term and n(t, e) that hold the term near the value,
-the information of t about e is log2(n(t, e) N / (n(t) n(e))), and the share of what there is to
-know, log2(N / n(e)), is at most one.  Terms whose share is at or above a threshold, and that stand
-near the value in several documents, are generalised, and those above a higher one removed, near
-that value.  All counts are over all documents.
+A term reveals a protected value as far as it tells which value it is.  With N documents, n(e) that
+hold the value, n(t) that hold the term and n(t, e) that hold both, the information of t about e is
+log2(n(t, e) N / (n(t) n(e))), and the share of what there is to know, log2(N / n(e)), is at most
+one.  Terms whose share is at or above a threshold, and that stand with the value in several
+documents, are generalised, and those above a higher one removed, wherever they stand in a document
+that holds the value.  All counts are over all documents, wherever in them value and term stand.
+
+As n(t, e) is at most n(e), a term in more than n(e) (N / n(e)) ** (1 - threshold) documents is below
+the threshold for e.  This bound leaves out most pairs before they are counted, and loses none.
 """
 
 from __future__ import annotations
@@ -26,8 +29,6 @@ from .textblocks import LOWER_ASCII, find_words, word_blocks
 KINDS = ("email", "ip", "card", "phone", "term")
 #: What stands in the place of a span; removed terms leave nothing.
 PLACEHOLDERS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>")
-#: Code points on each side of a value in which terms are near it.
-CONTEXT = 200
 
 _AT = re.compile("@")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -77,18 +78,21 @@ def _entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int]]:
-    """(term, entity, start, end) of the terms that lie wholly in the context of a value, outside all values."""
-    out = []
-    for i, (start, kind, end) in enumerate(spans):
-        entity = _entity(kind, text[start:end])
-        lo, hi = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
-        cover = [(s, e) for s, _, e in spans[max(0, i - 64) : i + 64] if e > lo and s < hi]
-        for m in _TERM.finditer(text, lo, hi):
-            a, b = m.span()
-            whole = (a > lo or lo == 0 or not _TERM.match(text[lo - 1 : lo] * 3)) and (b < hi or hi == len(text) or not _TERM.match(text[hi] * 3))
-            if whole and not any(s < b and a < e for s, e in cover):
-                out.append((m[0], entity, a, b))
+def terms_outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all terms of the text that touch no value."""
+    cover: list[list[int]] = []
+    for start, _, end in spans:
+        if cover and start <= cover[-1][1]:
+            cover[-1][1] = max(cover[-1][1], end)
+        else:
+            cover.append([start, end])
+    out, k = [], 0
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        while k < len(cover) and cover[k][1] <= a:
+            k += 1
+        if k == len(cover) or cover[k][0] >= b:
+            out.append((m[0], a, b))
     return out
 
 
@@ -97,7 +101,8 @@ def _hash_terms(terms: list[str]) -> np.ndarray:
     return find_words(LOWER_ASCII[data], np.array([0, len(data)]), _TERM_SEPARATOR).hashes()
 
 
-_SPANS = "base array<struct<start: int, kind: int, end: int>>, near array<struct<term: long, entity: long, start: int, end: int>>"
+#: held has the text of documents with a value, for their terms.
+_SPANS = "base array<struct<start: int, kind: int, end: int>>, entities array<long>, held string"
 
 
 def _scan_schema(row: DataType) -> StructType:
@@ -106,7 +111,8 @@ def _scan_schema(row: DataType) -> StructType:
 
 
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("term", pa.int64()), ("entity", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_MARKS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())]))
+_MARKS_DDL = "array<struct<start: int, kind: int, end: int, removed: boolean>>"
 
 
 def _structs(kind: pa.ListType, rows: list[list[tuple]]) -> pa.Array:
@@ -136,36 +142,73 @@ def _scan(n_buckets: int):
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             row_type = batch.schema.field("row").type
-            schema = pa.schema([("kind", pa.int32()), ("rid", pa.int64()), ("row", row_type), ("base", _BASE), ("near", _NEAR), ("bucket", pa.int32()), ("terms", pa.binary()), ("counts", pa.binary())])
+            schema = pa.schema([("kind", pa.int32()), ("rid", pa.int64()), ("row", row_type), ("base", _BASE), ("entities", pa.list_(pa.int64())), ("held", pa.string()), ("bucket", pa.int32()), ("terms", pa.binary()), ("counts", pa.binary())])
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 n = part.num_rows
                 texts = part.column("text").to_pylist()
                 spans = [base_spans(x) if x else [] for x in texts]
-                near = [near_terms(x, s) if s else [] for x, s in zip(texts, spans, strict=True)]
-                hashes = iter(_hash_terms([t[0] for r in near for t in r]).view(np.int64).tolist())
-                near = [sorted({(next(hashes), e, a, b) for _, e, a, b in r}) for r in near]
+                entities = [sorted({_entity(kind, x[a:b]) for a, kind, b in s}) for x, s in zip(texts, spans, strict=True)]
+                held = [x if s else None for x, s in zip(texts, spans, strict=True)]
                 nulls = [pa.nulls(n, t) for t in (pa.int32(), pa.binary(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.arange(rid, rid + n)), part.column("row"), _structs(_BASE, spans), _structs(_NEAR, near), *nulls], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.arange(rid, rid + n)), part.column("row"), _structs(_BASE, spans), pa.array(entities, pa.list_(pa.int64())), pa.array(held, pa.string()), *nulls], schema=schema)
                 rid += n
             packs = _document_terms(batch.column("text"), n_buckets)
             n = len(packs)
             columns = [pa.array(c, t) for c, t in zip(zip(*packs, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)] if packs else [pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, dtype=np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, row_type), pa.nulls(n, _BASE), pa.nulls(n, _NEAR), *columns], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, dtype=np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, row_type), pa.nulls(n, _BASE), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.string()), *columns], schema=schema)
 
     return run
 
 
-def _frequencies(packs: pa.Table, wanted: pa.Table) -> pa.Table:
-    """In how many documents the wanted terms of a bucket stand."""
-    want = np.sort(wanted.column("term").to_numpy().view(np.uint64))
-    total = np.zeros(len(want), dtype=np.int64)
-    for terms, counts in zip(packs.column("terms").to_pylist(), packs.column("counts").to_pylist(), strict=True):
-        terms = np.frombuffer(terms, dtype="<u8")
-        at = np.minimum(np.searchsorted(terms, want), len(terms) - 1)
-        hit = terms[at] == want
-        total[hit] += np.frombuffer(counts, dtype="<u4")[at[hit]]
-    return pa.table({"term": pa.array(want.view(np.int64)), "n_term": pa.array(total)})
+def _held_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, term and most of the distinct terms of each document, but for those in more than most documents of a batch."""
+    for batch in batches:
+        rids, most = batch.column("rid").to_numpy(), batch.column("most").to_numpy()
+        docs, terms = [], []
+        for i, (text, base) in enumerate(zip(batch.column("held").to_pylist(), batch.column("base").to_pylist(), strict=True)):
+            own = np.unique(_hash_terms([t for t, _, _ in terms_outside(text, [(s["start"], s["kind"], s["end"]) for s in base])]))
+            docs.append(np.full(len(own), i))
+            terms.append(own)
+        if docs:
+            doc, term = np.concatenate(docs), np.concatenate(terms)
+            _, which, counts = np.unique(term, return_inverse=True, return_counts=True)
+            keep = counts[which] <= most[doc]
+            doc, term = doc[keep], term[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(rids[doc]), pa.array(term.view(np.int64)), pa.array(most[doc])], names=["rid", "term", "most"])
+
+
+def _frequencies(support: int):
+    def run(packs: pa.Table, wanted: pa.Table) -> pa.Table:
+        """In how many documents the wanted terms of a bucket stand, from support to most."""
+        want = wanted.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(want)
+        want, most = want[order], wanted.column("most").to_numpy()[order]
+        total = np.zeros(len(want), dtype=np.int64)
+        for terms, counts in zip(packs.column("terms").to_pylist(), packs.column("counts").to_pylist(), strict=True):
+            terms = np.frombuffer(terms, dtype="<u8")
+            at = np.minimum(np.searchsorted(terms, want), len(terms) - 1)
+            hit = terms[at] == want
+            total[hit] += np.frombuffer(counts, dtype="<u4")[at[hit]]
+        keep = (total >= support) & (total <= most)
+        return pa.table({"term": pa.array(want[keep].view(np.int64)), "n_term": pa.array(total[keep])})
+
+    return run
+
+
+def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds every occurrence of a document's disclosing terms to its spans."""
+    for batch in batches:
+        spans = []
+        for text, base, found in zip(batch.column("held").to_pylist(), batch.column("base").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            own = [(s["start"], s["kind"], s["end"], False) for s in base]
+            if found:
+                removed = {f["term"]: f["removed"] for f in found}
+                terms = terms_outside(text, [s[:3] for s in own])
+                hashes = _hash_terms([t for t, _, _ in terms]).view(np.int64).tolist()
+                own = sorted(own + [(a, 4, b, removed[h]) for (_, a, b), h in zip(terms, hashes, strict=True) if h in removed])
+            spans.append(own)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), _structs(_MARKS, spans)], names=["row", "spans"])
 
 
 def find(docs: DataFrame, *, carry: list[str] | None = None, generalise_at: float = 0.8, remove_at: float = 0.95, support: int = 2) -> DataFrame:
@@ -176,32 +219,39 @@ def find(docs: DataFrame, *, carry: list[str] | None = None, generalise_at: floa
     terms.  A null or empty text has neither.  Repeated rows each keep their spans and count as
     documents of their own; doc_id is not used.  An empty table gives an empty table.
     generalise_at, remove_at: the shares of a value's information from which a term goes.
-    support: in how many documents a term must stand near a value.
+    support: in how many documents a term must stand with a value.  With 1, every word that no other
+    document has tells a value that no other document has.
     """
     spark = docs.sparkSession
     n_buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in carry or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
     scan = storage.materialise(rows.mapInArrow(_scan(n_buckets), _scan_schema(rows.schema["row"].dataType)), "pii")
-    found = scan.where("kind = 0").select("rid", "row", "base", "near")
-    near = found.where("size(near) > 0").select("rid", F.inline("near"))
-    pairs = near.select("rid", "term", "entity").distinct()
-    joint = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entities = pairs.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    found = scan.where("kind = 0").select("rid", "row", "base", "entities", "held")
+    n = found.count()
+    held = found.select("rid", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= support) & (F.col("n_entity") < n))
+    # A little more than the bound, for rounding.
+    most = F.col("n_entity") * F.pow(F.lit(float(max(n, 1))) / F.col("n_entity"), F.lit(1.0 - generalise_at)) * (1 + 1e-9)
+    known = storage.materialise(held.join(entities, "entity").withColumn("bound", most), "pii")
+    bounds = known.groupBy("rid").agg(F.max("bound").alias("most"))
+    own = storage.materialise(found.select("rid", "held", "base").where("held is not null").join(bounds, "rid").mapInArrow(_held_terms, "rid long, term long, most double"), "pii")
     # The bucket of a term is that of its hash as an unsigned number, as in the scan.
-    wanted = joint.select("term").distinct().withColumn("bucket", F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(term, 32) * {n_buckets}L, 32) as int)"))
+    wanted = own.groupBy("term").agg(F.max("most").alias("most")).withColumn("bucket", F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(term, 32) * {n_buckets}L, 32) as int)"))
     packs = scan.where("kind = 1").select("bucket", "terms", "counts")
-    terms = packs.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_frequencies, "term long, n_term long")
-    n = found.count()
+    terms = packs.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_frequencies(support), "term long, n_term long")
+    rare = own.join(terms, "term").where(F.col("n_term") <= F.col("most")).select("rid", "term", "n_term")
+    pairs = storage.materialise(rare.join(known, "rid").where(F.col("n_term") <= F.col("bound")).drop("bound"), "pii")
+    joint = pairs.groupBy("term", "entity", "n_term", "n_entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     share = 1 + F.log2(F.col("n_both") / F.col("n_term")) / F.log2(F.lit(float(max(n, 1))) / F.col("n_entity"))
-    disclosed = joint.join(terms, "term").join(entities, "entity").where(F.col("n_entity") < n).withColumn("share", share).where(F.col("share") >= generalise_at)
-    disclosed = disclosed.select("term", "entity", (F.col("share") >= remove_at).alias("removed"))
-    hits = near.join(disclosed, ["term", "entity"]).groupBy("rid", "start", "end").agg(F.max("removed").alias("removed"))
-    hits = hits.groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "removed")).alias("terms"))
+    disclosed = joint.withColumn("share", share).where(F.col("share") >= generalise_at).select("term", "entity", (F.col("share") >= remove_at).alias("removed"))
+    hits = pairs.select("rid", "term", "entity").join(disclosed, ["term", "entity"]).groupBy("rid", "term").agg(F.max("removed").alias("removed"))
+    hits = hits.groupBy("rid").agg(F.collect_list(F.struct("term", "removed")).alias("found"))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("removed")))
-    # Rows without a term near a value are most of them and need no join.
-    plain = found.where("size(near) = 0").select("row", base.alias("base"), base.alias("spans"))
-    joined = found.where("size(near) > 0").join(hits, "rid", "left").select("row", base.alias("base"), F.when(F.col("terms").isNull(), base).otherwise(F.array_sort(F.concat(base, "terms"))).alias("spans"))
-    return plain.unionByName(joined)
+    # Rows without a value are most of them and need no join.
+    plain = found.where("held is null").select("row", base.alias("base"), base.alias("spans"))
+    marked = StructType([StructField("row", scan.schema["row"].dataType), *StructType.fromDDL(f"spans {_MARKS_DDL}")])
+    joined = found.where("held is not null").join(hits, "rid", "left").select("row", "held", "base", "found").mapInArrow(_with_terms, marked)
+    return plain.unionByName(joined.select("row", F.filter("spans", lambda s: s["kind"] < 4).alias("base"), "spans"))
 
 
 def as_text(spans: str) -> Column:
