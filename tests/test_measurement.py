@@ -1,5 +1,6 @@
 """Universe, manifests, endpoints, bootstrap, signatures and the guard."""
 
+import collections
 import datetime as dt
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil import constants
 from vigil.operators import bootstrap, manifest as logs, signatures, universe, workload
+from vigil.plans import analysis
 from vigil.plans.guard import EndpointsSuppressed
 
 D = dt.date
@@ -116,6 +118,23 @@ def test_threshold_curve_repeats_the_cooldown(spark):
     assert workload.threshold_grid(spark).count() == 22
 
 
+def test_full_analysis_covers_all_streams(spark):
+    args = ["--data", "d", "--out", "o", "--matrix", "m"]
+    assert analysis.arguments(args).frequencies == analysis.arguments([*args, "--frequencies"]).frequencies == ["25S", "15S", "5S"]
+    with pytest.raises(SystemExit):
+        analysis.arguments(args[:4])
+    own = episodes(spark, [("A", 0, "volume_zscore"), ("A", 9000, "volume_zscore")]).withColumn("score", F.expr("case when hour(ts_utc) % 2 = 0 then 9.0 else 2.5 end")).withColumn("frequency", F.lit(""))
+    scores = [r["score"] for r in own.collect()]
+    got = collections.defaultdict(dict)
+    for r in workload.threshold_curve(own, workload.stream_thresholds(spark, ["25S", "5S"])).collect():
+        got[r["detector"], r["frequency"]][r["threshold"]] = r["alerts"]
+    assert {k: (len(v), min(v), max(v)) for k, v in got.items()} == {("upstream_rf", "25S"): (22, 0.05, 0.95), ("upstream_rf", "5S"): (22, 0.05, 0.95), ("volume_zscore", ""): (17, 2.0, 10.0), ("price_jump", ""): (29, 0.01, 0.15)}
+    assert got["volume_zscore", ""] == {t: sum(s >= t for s in scores) for t in got["volume_zscore", ""]} and set(got["price_jump", ""].values()) == {0}
+    monitored = spark.createDataFrame([(D(2026, 8, 1), "A"), (D(2026, 8, 1), "B")], "day date, symbol string")
+    rate = analysis.sensitivity_rates(own, monitored, logs.RULES[1]).first()
+    assert (rate["alerts"], rate["pair_hours"], rate["rate"], rate["pair_hours_rule"]) == (2, 48.0, pytest.approx(2000 / 48), "universe-membership")
+
+
 def test_bootstrap(spark):
     rows = spark.createDataFrame([("a", 10, 24.0), ("b", 0, 24.0)], "pair string, n int, hours double")
     one, two = (bootstrap.bootstrap_ratio(rows, "pair", ["n"], "hours", n_draws=300).first() for _ in range(2))

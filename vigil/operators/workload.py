@@ -50,11 +50,21 @@ def rate_per_1000_hours(episodes: DataFrame, hours: float) -> DataFrame:
 
 @endpoint
 def threshold_curve(candidates: DataFrame, thresholds: DataFrame, *, seconds: int = constants.COOLDOWN_SECONDS) -> DataFrame:
-    """Alerts that a cooldown leaves at or above each threshold, per detector and frequency, also where none does."""
+    """Alerts that a cooldown leaves at or above each threshold, per detector and frequency, also where none does.
+
+    Thresholds that name detector and frequency hold for that stream, and give rows also where it has no candidate.
+    """
+    if {"detector", "frequency"} <= set(thresholds.columns):
+        every = thresholds.select("detector", "frequency", F.col("threshold").cast("double").alias("threshold")).distinct()
+        hits = candidates.join(F.broadcast(every), ["detector", "frequency"]).where(F.col("score") >= F.col("threshold"))  # a few hundred
+        return _curve(hits, every, seconds)
     grid = F.broadcast(thresholds.select(F.col("threshold").cast("double").alias("threshold")).distinct())  # a few dozen
     hits = candidates.join(grid, F.col("score") >= F.col("threshold"))
+    return _curve(hits, candidates.select("detector", "frequency").distinct().crossJoin(grid), seconds)
+
+
+def _curve(hits: DataFrame, every: DataFrame, seconds: int) -> DataFrame:
     kept = count_kept(hits, ["detector", "frequency", "threshold", "pair"], seconds=seconds).groupBy("detector", "frequency", "threshold").agg(F.sum("kept").alias("alerts"))
-    every = candidates.select("detector", "frequency").distinct().crossJoin(grid)
     return every.join(kept, ["detector", "frequency", "threshold"], "left").withColumn("alerts", F.coalesce("alerts", F.lit(0)))
 
 
@@ -101,3 +111,11 @@ def threshold_grid(spark, *, step: float = 0.05, extra: tuple[float, ...] = (con
     n = round(1 / step)
     regular = spark.range(1, n).select(F.round(F.col("id") * step, 10).alias("threshold"))
     return regular.unionByName(spark.createDataFrame([(float(x),) for x in extra], "threshold double")).distinct()
+
+
+def stream_thresholds(spark, frequencies: list[str]) -> DataFrame:
+    """The thresholds of the burden curves: detector, frequency and threshold, for the forest at each frequency and the two baselines."""
+    forest = sorted({*(round(k * 0.05, 4) for k in range(1, 20)), constants.ANCHOR, *constants.STAR.values()})
+    grids = [("upstream_rf", f, forest) for f in frequencies]
+    grids += [("volume_zscore", "", [k * 0.5 for k in range(4, 21)]), ("price_jump", "", [round(k * 0.005, 4) for k in range(2, 31)])]
+    return spark.createDataFrame([(d, f, t) for d, f, grid in grids for t in grid], "detector string, frequency string, threshold double")

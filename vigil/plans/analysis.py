@@ -64,6 +64,12 @@ def forest_episodes(spark: SparkSession, data: str, matrix_root: str, frequency:
     return found, detectors.episodes(found, detectors.forest_thresholds(frequency), inclusive=True, seconds_available=seconds)
 
 
+def sensitivity_rates(made: DataFrame, monitored: DataFrame, rule: str) -> DataFrame:
+    """The rates of all episodes under another rule of pair-hours, whose pair-days are monitored."""
+    own = workload.restrict_to_monitored(made, monitored)
+    return workload.rate_per_1000_hours(own, monitored.count() * constants.HOURS_A_PAIR_DAY).withColumn("pair_hours_rule", F.lit(rule))
+
+
 def full_analysis(spark: SparkSession, args: argparse.Namespace) -> int:
     done = archives.read_days(spark, f"{args.data}/manifests/days_completed.txt")
     tables = inputs(spark, args.data, rule=args.pair_hours_rule, reinstate=not args.exclude_amendment2_pairs)
@@ -88,10 +94,16 @@ def full_analysis(spark: SparkSession, args: argparse.Namespace) -> int:
     names = [r[0] for r in own.select(streams).distinct().collect()]  # one name a stream: nine at most
     by_pair = hours.join(own.withColumn("s", streams).groupBy("pair").pivot("s", names or ["none"]).count(), "pair", "left").na.fill(0)
     strata = members.strata(tables["governed"])
+    total = hours.agg(F.sum("hours")).first()[0] or 0
+    curves = workload.threshold_curve(found, workload.stream_thresholds(spark, args.frequencies))
+    other = next(r for r in logs.RULES if r != args.pair_hours_rule)
+    monitored_otherwise = inputs(spark, args.data, rule=other, reinstate=not args.exclude_amendment2_pairs)["monitored"].select("day", F.col("pair").alias("symbol"))
     evaluated = signatures.evaluate(own, grid, signatures.rules_table(spark))
     results = {
-        "alerts_per_day": per_day, "distribution": workload.distribution(per_day), "rates": workload.rate_per_1000_hours(own, hours.agg(F.sum("hours")).first()[0] or 0),
-        "stratified": workload.stratified(own, strata, monitored.withColumnRenamed("pair", "symbol")), "agreement": workload.agreement(own), "curves": workload.threshold_curve(found, workload.threshold_grid(spark)),
+        "alerts_per_day": per_day, "distribution": workload.distribution(per_day), "rates": workload.rate_per_1000_hours(own, total),
+        "stratified": workload.stratified(own, strata, monitored.withColumnRenamed("pair", "symbol")), "agreement": workload.agreement(own),
+        "curves": curves.withColumn("pair_hours", F.lit(float(total))).withColumn("rate", F.col("alerts") * constants.RATE_SCALE / F.lit(float(total))),
+        "rates_sensitivity_rule": sensitivity_rates(made, monitored_otherwise, other),
         "signatures": evaluated, "precision": signatures.summarise(evaluated), "sample": bootstrap.draw_sample(own, n=args.manual_sample),
     }
     if names:
@@ -119,19 +131,27 @@ def structural_check(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
-def main(argv: list[str] | None = None) -> int:
+def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--data", required=True)
     parser.add_argument("--out", required=True)
     parser.add_argument("--matrix", default="")
     parser.add_argument("--partial-structural-check", action="store_true")
     parser.add_argument("--pair-hours-rule", choices=logs.RULES, default=logs.RULES[0])
-    parser.add_argument("--frequencies", nargs="*", choices=list(constants.BIN_SECONDS), default=[])
+    parser.add_argument("--frequencies", nargs="*", choices=list(constants.BIN_SECONDS), default=list(constants.BIN_SECONDS))
     parser.add_argument("--grid-scope", choices=("continuous", "day"), default="continuous")
     parser.add_argument("--skip-detectors", action="store_true")
     parser.add_argument("--exclude-amendment2-pairs", action="store_true")
     parser.add_argument("--manual-sample", type=int, default=constants.SAMPLE_SIZE)
     args = parser.parse_args(argv)
+    args.frequencies = args.frequencies or list(constants.BIN_SECONDS)
+    if not args.partial_structural_check and not args.matrix:
+        parser.error("the full analysis fits the forest and needs --matrix")
+    return args
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = arguments(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     return structural_check(spark, args) if args.partial_structural_check else full_analysis(spark, args)
 
