@@ -194,10 +194,36 @@ def test_substrings_on_periodic_texts(spark):
 
 def test_a_small_sketch_loses_nothing(spark, documents):
     docs = documents.where("length(text) < 40000")
-    got = substrings.remove_repeats(docs, sketch_cells=1 << 20)
+    got = substrings.remove_repeats(docs, cells_a_seed=0.01)
     assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got.collect()) == brute_repeats(collected(docs), 20)
 
 
+def _swapped(n):
+    """Two different words of 2 ** n letters whose polynomial hashes modulo 2 ** 64 are equal in any base."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_built_to_collide_stay_apart(spark):
+    words, (a, b) = [f"w{i}" for i in range(19)], _swapped(10)
+    docs = spark.createDataFrame([(1, " ".join([*words, a])), (2, " ".join([*words, b])), (3, a), (4, b)], "doc_id long, text string")
+    assert {r["n_removed"] for r in substrings.remove_repeats(docs).collect()} == {0}
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs.where("doc_id > 2")).collect()} == {3: 3, 4: 4}
+
+
+def test_a_line_in_many_contexts_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_SEED", 5)
+    rng = np.random.default_rng(4)
+    line = " ".join(f"l{i}" for i in range(14))
+    around = lambda: " ".join(f"c{x}" for x in rng.integers(0, 900, 24))
+    rows = [(i, f"{around()} {line} {around()}") for i in range(60)] + [(100 + i, f"{around()} {line} {line}") for i in range(20)]
+    rows += [(200, rows[3][1]), (201, rows[9][1] + " more")]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got.collect()) == brute_repeats(rows, 20)
+
+
 # Near-duplicates
 
 
@@ -239,6 +265,21 @@ def test_near_duplicates_of_many_edits(spark):
     assert got == brute_components(rows, 2, 80)
 
 
+def test_hot_shingles_are_joined_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 8)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):  # a family whose pairs lie on both sides of the bound
+        own = list(base)
+        for k in rng.choice(60, rng.integers(2, 6), replace=False):
+            own[k] = f"e{rng.integers(0, 500)}"
+        rows.append((int(i // 2) if i % 7 else None, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = collections.Counter(map(tuple, minhash.near_duplicates(docs, shingle_words=2).collect()))
+    assert got == brute_components(rows, 2, 80)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     whole = np.unique(rng.integers(0, 2**64, 1200, dtype=np.uint64))

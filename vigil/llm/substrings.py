@@ -5,16 +5,18 @@ its words that hashes lowest.  Equal windows have equal seeds, and neighbouring
 share one, so there are far fewer seeds than windows and a seed's count is never below that of
 any window that it stands for.
 
-1. Every partition counts its seeds in a count-min sketch; the sketches are merged by blocks of
-   cells.  Cells only tell 0, 1 and more.
-2. Windows whose seed the merged sketch estimates at two or more are grouped exactly, by the
-   128 bits of seed and window hash; all others are unique and go nowhere.  Within a batch the
+1. Every batch counts its seeds and sends them to the shards that have their cells.  A shard merges
+   what it gets into a count-min sketch of its own, as wide as its seeds ask for, so the sketch
+   grows with the corpus and no task or broadcast holds it whole.
+2. Documents take back which of their seeds the sketch estimates at two or more.  Windows with
+   such a seed are grouped exactly; all others are unique and go nowhere.  Within a batch the
    first occurrence alone goes to the shuffle: the later ones are known to be repeats at once,
    so a passage that a third of all documents share is one row a batch.
 3. Every window but the first of its group marks its words; documents take their marks by a join.
 
-The sketch has a fixed size.  A corpus far beyond it sends more windows to the exact pass, and
-none are lost.
+Windows meet in the task of their seed, run by run.  A seed that stands very often, such as that of a line
+in many contexts, is cut: its windows each go to a task of their own hash.  Two windows are equal
+if seed and window hash are, which come from independent halves of the words' digests.
 """
 
 from __future__ import annotations
@@ -31,41 +33,37 @@ from .textblocks import Words, mix, windows_hash, word_blocks
 
 #: Words in the shingle that stands for a window, if windows are long enough.
 SEED_WORDS = 8
-#: Cells in each of the two rows of the sketch; two bitmaps of this many bits are broadcast (2 x 16 MB).
-SKETCH_CELLS = 1 << 27
+#: Cells in each of the two rows of a shard's sketch, for each seed that it gets; more cells pass fewer unique seeds.
+CELLS_A_SEED = 4.0
 _ROWS = 2
-_CELLS_IN_BLOCK = 1 << 20
-_WINDOW_BASE, _SEED_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: A seed is cut from this count on, or from a millionth of all counts, so that at most a million are.
+HOT_SEED, HOT_SEEDS = 1_000, 1_000_000
 #: The smallest id, for rows without one: they count as standing before all others.
 _NO_ID = -(2**63)
 
 
-def _windows(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start word, hash and seed of all windows of a block."""
+def _seeds(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start word and seed of all windows of a block, and the hashes of all its shingles."""
     seed_words = min(SEED_WORDS, length)
-    hashes = words.hashes()
-    whole = windows_hash(hashes, length, _WINDOW_BASE)
+    shingles = windows_hash(words.hashes(0), seed_words)
     doc = np.repeat(np.arange(len(words.first) - 1), words.counts())
-    n = len(whole)
-    starts = np.flatnonzero(doc[:n] == doc[length - 1 : length - 1 + n]) if n else np.empty(0, dtype=np.int64)
+    n = len(doc) - length + 1
+    starts = np.flatnonzero(doc[:n] == doc[length - 1 :]) if n > 0 else np.empty(0, dtype=np.int64)
     if not len(starts):
-        return starts, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
-    seeds = windows_hash(hashes, seed_words, _SEED_BASE)
-    span = length - seed_words + 1
-    return starts, whole[starts], _sliding(np.minimum, seeds, span)[starts]
+        return starts, np.empty(0, dtype=np.uint64), shingles
+    return starts, _sliding(np.minimum, shingles, length - seed_words + 1)[starts], shingles
 
 
-def _seed_occurrences(words: Words, length: int) -> np.ndarray:
-    """The seeds of a block's windows, each as often as it stands there for some window."""
-    starts, _, low = _windows(words, length)
+def _occurrences(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds of a block's windows, each as often as it stands there for some window, and their documents."""
+    starts, low, shingles = _seeds(words, length)
     if not len(starts):
-        return low
-    seed_words = min(SEED_WORDS, length)
-    seeds, span = windows_hash(words.hashes(), seed_words, _SEED_BASE), length - seed_words + 1
-    padded = np.zeros(len(seeds) + span - 1, dtype=np.uint64)
+        return low, starts
+    span = length - min(SEED_WORDS, length) + 1
+    padded = np.zeros(len(shingles) + span - 1, dtype=np.uint64)
     padded[starts + span - 1] = low
-    return seeds[_sliding(np.maximum, padded, span) == seeds]
-
+    at = np.flatnonzero(_sliding(np.maximum, padded, span) == shingles)
+    return shingles[at], np.searchsorted(words.first, at, side="right") - 1
 
 def _sliding(of, values: np.ndarray, span: int) -> np.ndarray:
     """Minimum or maximum of every span neighbours, by doubling: that of a stretch is that of two in it."""
@@ -76,71 +74,105 @@ def _sliding(of, values: np.ndarray, span: int) -> np.ndarray:
     return of(out[:n], out[span - reach : span - reach + n])
 
 
-def _cells(seeds: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return (mix(seeds + np.uint64(0x9E3779B97F4A7C15 * (row + 1) % 2**64)) % np.uint64(cells)).astype(np.int64)
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values of a sorted array begin, and their sizes."""
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    begins = np.flatnonzero(new)
+    return begins, np.diff(np.append(begins, len(values)))
 
 
-def _runs(starts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Where a run of neighbouring windows of one seed begins."""
-    new = np.ones(len(starts), dtype=bool)
-    new[1:] = (seeds[1:] != seeds[:-1]) | (np.diff(starts) != 1)
-    return new
+_SHARE = "shard int, ones binary, keys binary, more binary, counts binary, known binary, known_keys binary"
+_SHARE_SCHEMA = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("ones", "keys", "more", "counts", "known", "known_keys"))])
 
 
-def _sketch(length: int, n_cells: int):
+def _shares(length: int, n_shards: int):
+    """A batch's part of each shard's sketch.
+
+    Seeds that stand once in the batch go with the key of their document, which wants to know whether others have them
+    (ones, keys); the rest go with their counts (more, counts), and who has them is known already (known, known_keys).
+    """
+
+    def shard_of(x: np.ndarray) -> np.ndarray:
+        return ((mix(x) >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for _, _, words in word_blocks(batch.column("text")):
-                found.append(_seed_occurrences(words, length))
-            seeds = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
-            out: dict[str, list] = {"row": [], "block": [], "ones": [], "more": []}
-            for row in range(_ROWS):
-                cells, counts = np.unique(_cells(seeds, row, n_cells), return_counts=True)
-                cuts = np.flatnonzero(np.diff(cells // _CELLS_IN_BLOCK)) + 1
-                for c, n in zip(np.split(cells, cuts), np.split(counts, cuts), strict=True):
-                    if len(c):
-                        at = (c % _CELLS_IN_BLOCK).astype("<u4")
-                        for k, v in (("row", row), ("block", int(c[0]) // _CELLS_IN_BLOCK), ("ones", at[n == 1].tobytes()), ("more", at[n > 1].tobytes())):
-                            out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", pa.int32()), ("block", pa.int32()), ("ones", pa.binary()), ("more", pa.binary())]))
+            keys, parts = batch.column("doc_key").to_numpy(), []
+            for i, j, words in word_blocks(batch.column("text")):
+                seeds, doc = _occurrences(words, length)
+                parts.append((seeds, keys[i:j][doc]))
+            if not parts:
+                continue
+            seeds, owner = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((owner, seeds))
+            seeds, owner = seeds[order], owner[order]
+            begins, sizes = _groups(seeds)
+            once = begins[sizes == 1]
+            often, counts = begins[sizes > 1], sizes[sizes > 1]
+            have = np.repeat(sizes > 1, sizes)
+            have[1:] &= (seeds[1:] != seeds[:-1]) | (owner[1:] != owner[:-1])
+            columns = {"ones": seeds[once], "keys": owner[once]}, {"more": seeds[often], "counts": counts}, {"known": seeds[have], "known_keys": owner[have]}
+            rows: dict[int, dict] = {}
+            for part, by in zip(columns, ("ones", "more", "known_keys"), strict=True):
+                shard = shard_of(part[by].view(np.uint64))
+                order = np.argsort(shard, kind="stable")
+                shard = shard[order]
+                at, size = _groups(shard)
+                for a, n in zip(at.tolist(), size.tolist(), strict=True):
+                    rows.setdefault(int(shard[a]), {}).update({c: v[order[a : a + n]].astype("<i8" if c in ("keys", "counts", "known_keys") else "<u8").tobytes() for c, v in part.items()})
+            yield pa.RecordBatch.from_pylist([{"shard": k} | v for k, v in rows.items()], schema=_SHARE_SCHEMA)
 
     return run
 
 
-def _merge(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block of cells over all partitions: the bitmap of those that count more than one."""
-    once, more = np.zeros(_CELLS_IN_BLOCK, dtype=bool), np.zeros(_CELLS_IN_BLOCK, dtype=bool)
-    for table in tables:
-        for ones, many in zip(table.column("ones").to_pylist(), table.column("more").to_pylist(), strict=True):
-            at = np.frombuffer(ones, dtype="<u4")
-            more[at[once[at]]] = True
-            once[at] = True
-            more[np.frombuffer(many, dtype="<u4")] = True
-            once[np.frombuffer(many, dtype="<u4")] = True
-    yield pa.RecordBatch.from_pydict({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([np.packbits(more).tobytes()], pa.binary())})
-
-
-def _merged_sketch(docs: DataFrame, length: int, n_cells: int) -> Broadcast:
-    parts = docs.select("text").mapInArrow(_sketch(length, n_cells), "row int, block int, ones binary, more binary")
-    merged = parts.groupBy("row", "block").applyInArrow(_merge, "row int, block int, bits binary")
-    bits = np.zeros((_ROWS, n_cells // 8), dtype=np.uint8)
-    for r in merged.toLocalIterator():  # as many blocks as the fixed sketch has
-        bits[r["row"], r["block"] * _CELLS_IN_BLOCK // 8 : (r["block"] + 1) * _CELLS_IN_BLOCK // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(bits)
-
-
-def _repeated(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Whether the sketch estimates a seed at two or more."""
-    out = np.ones(len(seeds), dtype=bool)
-    for row in range(_ROWS):
-        cells = _cells(seeds, row, bits.shape[1] * 8)
-        out &= (bits[row][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
-    return out
+_REPLY = "doc_key long, seed long, n long"
+_REPLY_SCHEMA = pa.schema([("doc_key", pa.int64()), ("seed", pa.int64()), ("n", pa.int64())])
 
 
-_FOUND = "kind int, seed long, doc_id long, doc_key long, start int, data binary"
-_FOUND_SCHEMA = pa.schema([("kind", pa.int32()), ("seed", pa.int64()), ("doc_id", pa.int64()), ("doc_key", pa.int64()), ("start", pa.int32()), ("data", pa.binary())])
+def _replies(keys: np.ndarray | None, seeds: np.ndarray, n: np.ndarray | None) -> pa.RecordBatch:
+    empty = pa.nulls(len(seeds), pa.int64())
+    return pa.RecordBatch.from_arrays([empty if keys is None else pa.array(keys), pa.array(seeds.view(np.int64)), empty if n is None else pa.array(n)], schema=_REPLY_SCHEMA)
+
+
+def _cells(seeds: np.ndarray, row: int, cells: int) -> np.ndarray:
+    return ((mix(seeds + np.uint64(0x9E3779B97F4A7C15 * (row + 1) % 2**64)) >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+
+
+def _estimate(cells_a_seed: float):
+    def run(key: tuple, shares: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Merges a shard's shares; tells documents which of their seeds may stand twice, and which seeds are frequent.
+
+        Replies have doc_key and seed, frequent seeds seed and n, and one row n alone: the counts of the whole shard.
+        """
+        got: dict[str, list[np.ndarray]] = {"ones": [], "keys": [], "more": [], "counts": []}
+        for row in (r for batch in shares for r in batch.to_pylist()):
+            if row["known"]:
+                yield _replies(np.frombuffer(row["known_keys"], dtype="<i8"), np.frombuffer(row["known"], dtype="<u8"), None)
+            for c in got:
+                got[c].append(np.frombuffer(row[c] or b"", dtype="<u8" if c in ("ones", "more") else "<i8"))
+        total = sum(map(len, got["ones"])) + sum(int(n.sum()) for n in got["counts"])
+        cells = max(8, int(cells_a_seed * sum(len(x) for c in ("ones", "more") for x in got[c])))
+        sketch = np.zeros((_ROWS, cells), dtype=np.uint32)
+        for r in range(_ROWS):
+            for ones, more, counts in zip(got["ones"], got["more"], got["counts"], strict=True):
+                at, n = np.unique(_cells(ones, r, cells), return_counts=True)
+                sketch[r, at] += n.astype(np.uint32)
+                np.add.at(sketch[r], _cells(more, r, cells), counts.astype(np.uint32))
+        estimate = lambda seeds: np.minimum.reduce([sketch[r, _cells(seeds, r, cells)] for r in range(_ROWS)])
+        yield _replies(None, np.empty(0, dtype=np.uint64), None) if not total else pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], schema=_REPLY_SCHEMA)
+        frequent = [x[n >= HOT_SEED] for c in ("ones", "more") for x in got[c] for n in (estimate(x),)]
+        if frequent and len(seeds := np.unique(np.concatenate(frequent))):
+            yield _replies(None, seeds, estimate(seeds).astype(np.int64))
+        for seeds, keys in zip(got["ones"], got["keys"], strict=True):
+            hit = estimate(seeds) > 1
+            yield _replies(keys[hit], seeds[hit], None)
+
+    return run
+
+
+_FOUND = "kind int, part long, seed long, doc_id long, doc_key long, start int, data binary"
+_FOUND_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("seed", pa.int64()), ("doc_id", pa.int64()), ("doc_key", pa.int64()), ("start", pa.int32()), ("data", pa.binary())])
 
 
 def _mark_rows(doc_ids: np.ndarray, doc_keys: np.ndarray, starts: np.ndarray) -> dict[str, list]:
@@ -156,7 +188,7 @@ def _mark_rows(doc_ids: np.ndarray, doc_keys: np.ndarray, starts: np.ndarray) ->
     ranges = np.stack([s[begins], s[ends]], axis=1).astype("<i4") if len(d) else np.empty((0, 2), dtype="<i4")
     at = np.append(np.flatnonzero(same[begins]), len(begins)) if len(d) else np.zeros(1, dtype=np.int64)
     docs = begins[at[:-1]]
-    return {"kind": [1] * len(docs), "seed": [None] * len(docs), "doc_id": d[docs].tolist(), "doc_key": k[docs].tolist(), "start": [0] * len(docs), "data": [ranges[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]}
+    return {"kind": [1] * len(docs), "part": k[docs].tolist(), "seed": [None] * len(docs), "doc_id": d[docs].tolist(), "doc_key": k[docs].tolist(), "start": [0] * len(docs), "data": [ranges[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]}
 
 
 def _first_of_group(a: np.ndarray, b: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -170,37 +202,46 @@ def _first_of_group(a: np.ndarray, b: np.ndarray, doc_ids: np.ndarray, starts: n
     return out
 
 
-def _find(length: int, sketch: Broadcast):
+def _find(length: int, hot: Broadcast):
+    """The windows of documents that may stand twice, but for those that stand in the batch before: these are marked at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sketch.value
+        frequent = hot.value
         for batch in batches:
-            ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("doc_key").to_numpy(zero_copy_only=False)
+            ids, keys, text = batch.column("doc_id").to_numpy(), batch.column("doc_key").to_numpy(), batch.column("row").field("text")
             parts = []
-            for i, j, words in word_blocks(batch.column("text")):
-                starts, whole, seeds = _windows(words, length)
-                keep = _repeated(bits, seeds)
-                starts, whole, seeds = starts[keep], whole[keep], seeds[keep]
+            for i, j, words in word_blocks(text):
+                starts, seeds, _ = _seeds(words, length)
+                asked = np.unique(batch.column("seeds").slice(i, j - i).flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
+                if not len(starts) or not len(asked):
+                    continue
+                keep = np.isin(seeds, asked)
+                starts, seeds = starts[keep], seeds[keep]
+                whole = windows_hash(words.hashes(1), length)[starts]
                 doc = np.searchsorted(words.first, starts, side="right") - 1
                 parts.append((ids[i:j][doc], keys[i:j][doc], starts - words.first[doc], whole, seeds))
-            d, k, s, whole, seeds = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, dtype=np.int64),) * 5
-            if not len(d):
+            if not parts:
                 continue
+            d, k, s, whole, seeds = (np.concatenate(x) for x in zip(*parts, strict=True))
             first = _first_of_group(seeds, whole, d, s)
             yield pa.RecordBatch.from_pydict(_mark_rows(d[~first], k[~first], s[~first]), schema=_FOUND_SCHEMA)
             d, k, s, whole, seeds = d[first], k[first], s[first], whole[first], seeds[first]
-            new = _runs(s, seeds)
-            new[1:] |= (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+            cut = np.isin(seeds, frequent)
+            part = np.where(cut, mix(whole ^ seeds), seeds)
+            new = np.ones(len(d), dtype=bool)  # where a run of neighbouring windows of one part begins
+            new[1:] = (part[1:] != part[:-1]) | (np.diff(s) != 1) | (d[1:] != d[:-1]) | (k[1:] != k[:-1])
             begins = np.flatnonzero(new)
             raw, at = whole.astype("<u8").tobytes(), np.append(begins, len(d)) * 8
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(begins), dtype=np.int32)), "seed": pa.array(seeds[begins].view(np.int64)), "doc_id": pa.array(d[begins]), "doc_key": pa.array(k[begins]), "start": pa.array(s[begins].astype(np.int32)), "data": pa.array([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())}, schema=_FOUND_SCHEMA)
+            data = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(begins), dtype=np.int32)), pa.array(part[begins].view(np.int64)), pa.array(seeds[begins].view(np.int64)), pa.array(d[begins]), pa.array(k[begins]), pa.array(s[begins].astype(np.int32)), pa.array(data, pa.binary())], schema=_FOUND_SCHEMA)
 
     return run
 
 
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by seed: marks the windows that are not the first of their kind.
+    """Rows sorted by part: marks the windows that are not the first of their kind, and lets marks through.
 
-    Rows of the last seed of a batch wait for the next one, since more of them may follow.
+    Rows of the last part of a batch wait for the next one, since more of them may follow.
     """
     held: list[pa.RecordBatch] = []
 
@@ -214,10 +255,14 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict(_mark_rows(d[late], k[late], s[late]), schema=_FOUND_SCHEMA)
 
     for batch in batches:
+        known = batch.column("kind").to_numpy() == 1
+        if known.any():
+            yield batch.filter(pa.array(known))
+            batch = batch.filter(pa.array(~known))
         if not batch.num_rows:
             continue
-        seeds = batch.column("seed").to_numpy()
-        cut = int(np.searchsorted(seeds, seeds[-1], side="left"))
+        parts = batch.column("part").to_numpy()
+        cut = int(np.searchsorted(parts, parts[-1], side="left"))
         if cut:
             yield marks(pa.Table.from_batches([*held, batch.slice(0, cut)]))
             held = []
@@ -236,7 +281,15 @@ def _covered(n: int, ranges: list[bytes] | None, length: int) -> np.ndarray:
     return np.cumsum(out[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 20, sketch_cells: int = SKETCH_CELLS) -> DataFrame:
+def _hot_seeds(replies: DataFrame) -> Broadcast:
+    """Seeds that a millionth of all counts or more falls to; their number has that bound."""
+    told = replies.where("doc_key is null")
+    total = told.where("seed is null").agg(F.sum("n")).first()[0] or 0
+    rows = told.where(F.col("seed").isNotNull() & (F.col("n") >= max(HOT_SEED, total // HOT_SEEDS))).select("seed").toArrow()
+    return replies.sparkSession.sparkContext.broadcast(np.sort(rows.column("seed").to_numpy().astype(np.int64).view(np.uint64)))
+
+
+def remove_repeats(docs: DataFrame, *, length: int = 20, cells_a_seed: float = CELLS_A_SEED) -> DataFrame:
     """Removes each word that a window covers which also starts earlier in the corpus.
 
     Earlier is a smaller doc_id, or the same and an earlier start; windows are those of the
@@ -245,18 +298,22 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, sketch_cells: int = SKE
     words and keeps the empty text.  Rows that share doc_id and start are equally early: neither
     takes words from the other, so repeated rows are all treated alike.  Rows without doc_id
     count as earlier than all others.  An empty table gives an empty table.
-    sketch_cells: cells in a row of the sketch, a multiple of 2**20; it bounds what is broadcast.
+    cells_a_seed: the width of the sketch; it decides how many unique windows go to the exact pass, never the result.
     """
-    key = F.xxhash64("doc_id", "text")
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), key.alias("doc_key"), F.col("text").cast("string").alias("text"))
-    sketch = _merged_sketch(slim, length, sketch_cells)
-    found = storage.materialise(slim.mapInArrow(_find(length, sketch), _FOUND), "windows")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = found.where("kind = 0").repartition(n, "seed").sortWithinPartitions("seed").mapInArrow(_group, _FOUND)
-    marks = grouped.unionByName(found.where("kind = 1")).groupBy("doc_id", "doc_key").agg(F.collect_list("data").alias("ranges"))
     own = docs.drop("n_words", "n_removed", "kept_text")
-    rows = own.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), key.alias("doc_key"))
-    joined = rows.join(marks, ["doc_id", "doc_key"], "left").select("row", "ranges")
+    text = F.col("text").cast("string")
+    rows = own.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"))
+    n_shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = own.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("doc_key")).mapInArrow(_shares(length, n_shards), _SHARE)
+    replies = storage.materialise(shares.groupBy("shard").applyInArrow(_estimate(cells_a_seed), _REPLY), "seeds")
+    asked = replies.where("doc_key is not null").groupBy("doc_key").agg(F.collect_list("seed").alias("seeds"))
+    # Sorted, so that a task that runs again has the same batches.
+    sought = rows.join(asked, "doc_key").select("row", "doc_id", "doc_key", "seeds").sortWithinPartitions("doc_key")
+    found = sought.mapInArrow(_find(length, _hot_seeds(replies)), _FOUND)
+    marks = found.repartition(n_shards, "part").sortWithinPartitions("part").mapInArrow(_group, _FOUND)
+    # doc_id is compared as a difference, so that both joins deal rows by doc_key and share one shuffle of the texts.
+    marks = marks.select(F.col("doc_key").alias("marked"), F.col("doc_id").alias("marked_id"), "data").repartition("marked").groupBy("marked", "marked_id").agg(F.collect_list("data").alias("ranges"))
+    joined = rows.join(marks, (F.col("doc_key") == F.col("marked")) & (F.col("doc_id").bitwiseXOR(F.col("marked_id")) == 0), "left").select("row", "ranges")
     return joined.mapInArrow(_apply(length), own.selectExpr("*", "0L n_words", "0L n_removed", "'' kept_text").schema)
 
 

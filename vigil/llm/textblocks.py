@@ -6,6 +6,8 @@ single bytes in UTF-8, so the byte view finds the same words as the character vi
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,39 +19,10 @@ SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 #: Bytes of text whose arrays are held in memory together; one longer document is a block alone.
 BLOCK_BYTES = 1_000_000
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.empty(n, dtype=np.uint64)
-    if n:
-        out[0] = 1
-        out[1:] = np.uint64(base)
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-class _Powers:
-    """Powers of one base and of its inverse, grown on demand and kept by a worker."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = powers(base, 0)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up, self.down = powers(self.base, size), powers(self.inverse, size)
-        return self.up[:n], self.down[:n]
-
-
-_CACHE: dict[int, _Powers] = {}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: spreads every input bit over the result."""
     x = x ^ (x >> np.uint64(33))
@@ -59,23 +32,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """A polynomial hash of values[s:e] for every span, from one pass of prefix sums."""
-    if not len(starts):
-        return np.empty(0, dtype=np.uint64)
-    up, down = _CACHE.setdefault(base, _Powers(base)).get(len(values) + 1)
-    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[:-1], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+#: Words of up to this many bytes fit a 128-bit block with their length.
+_SHORT = 15
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_ROUNDS = tuple(np.uint64(int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=8).digest(), "little")) for k in range(6))
+
+
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The halves of a 128-bit digest of every word, as two rows.
+
+    The bytes and the length of a short word are a block, and its digest is a permutation of that, so
+    two short words never share both halves.  Longer words take BLAKE2b, each distinct one once.
+    """
+    sizes = ends - starts
+    padded = np.zeros(len(data) + 16, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 9,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place
+    short = np.minimum(sizes, _SHORT)
+    low = eight[starts] & _MASKS[np.minimum(short, 8)]
+    high = eight[starts + np.minimum(8, sizes)] & _MASKS[np.maximum(short, 8) - 8] | short.astype(np.uint64) << np.uint64(56)
+    for a, b in zip(_ROUNDS[::2], _ROUNDS[1::2], strict=True):
+        low = low + mix(high ^ a)
+        high = high + mix(low ^ b)
+    out = np.stack([low, high])
+    long = np.flatnonzero(sizes > _SHORT)
+    if len(long):
+        offsets = np.zeros(len(long) + 1, dtype=np.int64)
+        np.cumsum(sizes[long], out=offsets[1:])
+        letters = data[np.arange(offsets[-1]) + np.repeat(starts[long] - offsets[:-1], sizes[long])]
+        words = pa.Array.from_buffers(pa.large_binary(), len(long), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        table = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist()])
+        out[:, long] = np.frombuffer(table, dtype="<u8").reshape(-1, 2)[words.indices.to_numpy()].T
+    return out
+
 
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * np.uint64(0x9FB21C651E98DF25) + right)
 
-def windows_hash(hashes: np.ndarray, length: int, base: int) -> np.ndarray:
-    """The hash of hashes[i:i+length] for every i; windows may run over document borders."""
+
+def windows_hash(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of hashes[i:i+length] for every i, by doubling; windows may run over document borders."""
     n = len(hashes) - length + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    starts = np.arange(n)
-    return spans_hash(hashes, starts, starts + length, base)
+    out, done, part, size = None, 0, hashes, 1
+    while done < length:
+        if length & size:
+            here = part[done : done + n]
+            out, done = here if out is None else _pair(out, here), done + size
+        if done < length:
+            part, size = _pair(part[:-size], part[size:]), 2 * size
+    return out
 
 
 @dataclass
@@ -91,8 +98,13 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return spans_hash(_BYTE_VALUES[self.data], self.starts, self.ends)
+    @functools.cached_property
+    def digests(self) -> np.ndarray:
+        return word_digests(self.data, self.starts, self.ends)
+
+    def hashes(self, half: int = 0) -> np.ndarray:
+        """One half of each word's digest; the halves are independent of each other."""
+        return self.digests[half]
 
     def joined(self, doc: int, keep: np.ndarray | None = None) -> bytes:
         """A document's words (those marked in keep, one mark a word), with one space between them."""
