@@ -173,27 +173,44 @@ def test_vptree_search(spark, factor, recall, monkeypatch):
     assert all(r["vec_id"] != r["query_id"] for r in few)
 
 
-def test_embedding_near_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 40)
-    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 16)
-    table, dims = vectors_table(spark)
-    rows = table.collect()
-    own = [(k, r["vec_id"], np.array(r["embedding"], dtype=float), r["label"]) for k, r in enumerate(rows) if r["label"] is not None and r["embedding"] is not None and usable([r], dims)]
-    root, links = {k: r["vec_id"] for k, r in enumerate(rows)}, collections.Counter()
+def brute_links(rows, dims, least=0.98):
+    own = [(k, np.array(r["embedding"], dtype=float), r["label"]) for k, r in enumerate(rows) if r["label"] is not None and usable([r], dims)]
+    ids, links = [-(2**63) if r["vec_id"] is None else r["vec_id"] for r in rows], collections.Counter()
     groups = {k: {k} for k in range(len(rows))}
-    for a, (k, _, v, y) in enumerate(own):
-        for m, _, w, z in own[:a]:
-            if y == z and (v * w).sum() / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
+    for a, (k, v, y) in enumerate(own):
+        for m, w, z in own[:a]:
+            if y == z and (v * w).sum() / np.linalg.norm(v) / np.linalg.norm(w) >= least:
                 links[k] += 1
                 links[m] += 1
                 both = groups[k] | groups[m]
                 for x in both:
                     groups[x] = both
-    want = collections.Counter((r["vec_id"], links[k], min(root[x] for x in groups[k]), r["vec_id"] == min(root[x] for x in groups[k])) for k, r in enumerate(rows))
-    assert collections.Counter(map(tuple, embedding_dedup.near_duplicates(table.repartition(3)).collect())) == want
+    real = lambda x: None if x == -(2**63) else x
+    low = [min(ids[x] for x in groups[k]) for k in range(len(rows))]
+    return collections.Counter((r["vec_id"], links[k], real(low[k]), ids[k] == low[k]) for k, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_embedding_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", block)
+    table, dims = vectors_table(spark)
+    assert collections.Counter(map(tuple, embedding_dedup.near_duplicates(table.repartition(3)).collect())) == brute_links(table.collect(), dims)
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [40, 2048])
+def test_links_across_cells(spark, monkeypatch, block):
+    """Vectors of three dimensions in 20 cells, with links over all their borders, ids that repeat and rows without one."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(420, 3)).astype(np.float32)
+    rows = [(None if i % 50 == 7 else i // 2 if i % 9 == 0 else i, [float(v) for v in r], i % 2 if i > 400 else 0, 5) for i, r in enumerate(x)]
+    table = spark.createDataFrame([*rows, rows[3], rows[4]], "vec_id long, embedding array<float>, label int, cell int")
+    for least in (0.98, 0.999):
+        got = collections.Counter(map(tuple, embedding_dedup.near_duplicates(table.repartition(3), least=least, sample_rows=160).collect()))
+        assert got == brute_links(table.collect(), 3, least)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, int(x)) for x in range(101, 160)] + [tuple(map(int, e)) for e in rng.integers(200, 260, (40, 2))]
