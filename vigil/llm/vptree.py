@@ -6,8 +6,8 @@ triangle inequality holds.
 
 A vantage-point tree on a bounded sample cuts the space into shards; every row goes down it to its
 shard.  A query goes to each shard that may hold a near enough row, as far as the distances to
-the vantage points on the way tell.  Each shard has a tree of its own, and a query enters a part of it on
-the same condition.  With a factor above one, a part is skipped although its bound is only that
+the vantage points on the way tell.  Each shard, or part of a large one, has a tree of its own, which its task builds once and
+then streams the queries through; a query enters a branch on the same condition.  With a factor above one, a part is skipped although its bound is only that
 much below the distance to beat; factor one gives exact results.
 """
 
@@ -20,12 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .vectors import matrix, usable_rows
+from .vectors import matrix, usable
 
 LEAF = 256
-#: Rows in a shard, or in one of the parts that a large shard is split into; queries that meet them at a time.
-SHARD_ROWS, QUERY_BLOCK = 8_192, 16_384
-MAX_SHARDS = 1_024
+#: Rows in a shard, or in one of the parts that a large shard is split into; shards that the sample is cut into at most.
+SHARD_ROWS, MAX_SHARDS = 8_192, 1_024
 _SLACK = 1e-9
 
 
@@ -77,6 +76,7 @@ class _Search:
         self.best = np.repeat(least[:, None], k, axis=1)
         self.base = (queries * queries).sum(axis=1) + longest**2
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.compared = 0  # inner products taken
 
     def beat(self, who: np.ndarray) -> np.ndarray:
         """The distance of the k-th best so far."""
@@ -87,6 +87,7 @@ class _Search:
             return
         if node.point is None:
             s = self.q[who] @ self.own[node.rows].T
+            self.compared += s.size
             s[node.rows[None, :] == self.own_rows[who][:, None]] = -np.inf
             both = np.concatenate([self.best[who], s], axis=1)
             self.best[who] = -np.partition(-both, self.k - 1, axis=1)[:, : self.k]
@@ -102,39 +103,56 @@ class _Search:
         self.visit(node.inner, who[~first][(d[~first] - node.radius) * self.factor <= self.beat(who[~first])])
 
 
-def best_in_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, longest: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, inner product) of at most k rows for each query.
+class Part:
+    """The tree of a part's rows.
 
-    Rows with the same vector enter the tree once, with the k + 1 smallest ids: no more can be among the best.
+    Rows with the same vector enter it once, with the k + 1 smallest ids: no more can be among the best.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], np.ascontiguousarray(x[order]) + 0.0
-    _, first, of = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel(), return_index=True, return_inverse=True)
-    by = np.argsort(of, kind="stable")
-    begin = np.searchsorted(of[by], np.arange(len(first)))
-    size = np.minimum(np.diff(np.append(begin, len(by))), k + 1)
-    vectors = x[first]
-    # A vector is a query's own only where no other row has it.
-    position = {int(i): int(u) for i, u in zip(ids[first[size == 1]].tolist(), np.flatnonzero(size == 1).tolist(), strict=True)} if len(first) else {}
-    own_rows = np.array([position.get(int(i), -1) for i in query_ids.tolist()], dtype=np.int64)
-    tree = build(augment(vectors, longest), np.arange(len(vectors)), LEAF, np.random.default_rng(5))
-    search = _Search(augment(vectors, longest), vectors, q, least, own_rows, longest, k, factor)
-    search.visit(tree, np.arange(len(q)))
-    if not search.pairs:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
-    who, what = (np.concatenate(c) for c in zip(*search.pairs, strict=True))
-    score = (q[who] * vectors[what]).sum(axis=1)
-    keep = score >= search.best[who].min(axis=1) - _SLACK
-    who, what, score = who[keep], what[keep], score[keep]
-    n = size[what]
-    at = np.repeat(begin[what] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    who, row, score = np.repeat(who, n), ids[by[at]], np.repeat(score, n)
-    other = row != query_ids[who]
-    who, row, score = who[other], row[other], score[other]
-    order = np.lexsort((row, -score, who))
-    who, row, score = who[order], row[order], score[order]
-    rank = np.arange(len(who)) - np.searchsorted(who, who)
-    return query_ids[who[rank < k]], row[rank < k], score[rank < k]
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, longest: float, k: int):
+        order = np.argsort(ids, kind="stable")
+        self.ids, x, self.longest, self.k = ids[order], np.ascontiguousarray(x[order]) + 0.0, longest, k
+        _, first, of = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel(), return_index=True, return_inverse=True)
+        self.by = np.argsort(of, kind="stable")
+        self.begin = np.searchsorted(of[self.by], np.arange(len(first)))
+        self.size = np.minimum(np.diff(np.append(self.begin, len(self.by))), k + 1)
+        self.vectors = x[first]
+        self.wide = augment(self.vectors, longest)
+        # A vector is a query's own only where no other row has it.
+        self.position = {int(i): int(u) for i, u in zip(self.ids[first[self.size == 1]].tolist(), np.flatnonzero(self.size == 1).tolist(), strict=True)}
+        self.tree = build(self.wide, np.arange(len(self.vectors)), LEAF, np.random.default_rng(5))
+
+    def best(self, query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, row id, inner product) of at most k rows for each query."""
+        own_rows = np.array([self.position.get(int(i), -1) for i in query_ids.tolist()], dtype=np.int64)
+        search = _Search(self.wide, self.vectors, q, least, own_rows, self.longest, self.k, factor)
+        search.visit(self.tree, np.arange(len(q)))
+        self.compared = search.compared
+        if not search.pairs:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        who, what = (np.concatenate(c) for c in zip(*search.pairs, strict=True))
+        score = (q[who] * self.vectors[what]).sum(axis=1)
+        keep = score >= search.best[who].min(axis=1) - _SLACK
+        who, what, score = who[keep], what[keep], score[keep]
+        n = self.size[what]
+        at = np.repeat(self.begin[what] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        who, row, score = np.repeat(who, n), self.ids[self.by[at]], np.repeat(score, n)
+        other = row != query_ids[who]
+        who, row, score = who[other], row[other], score[other]
+        order = np.lexsort((row, -score, who))
+        who, row, score = who[order], row[order], score[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        return query_ids[who[rank < self.k]], row[rank < self.k], score[rank < self.k]
+
+
+def _stretches(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Borders of the runs in which all columns stay the same."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    for c in columns:
+        new[1:] &= c[1:] == c[:-1]
+    new[1:] = ~new[1:]
+    begins = np.flatnonzero(new).tolist()
+    return list(zip(begins, [*begins[1:], len(new)], strict=True))
 
 
 def nearest(embeddings: DataFrame, *, every: int = 20, k: int = 20, factor: float = 1.05, sample_rows: int = 4_096) -> DataFrame:
@@ -148,12 +166,13 @@ def nearest(embeddings: DataFrame, *, every: int = 20, k: int = 20, factor: floa
     sample_rows: rows that the cut into shards is made from; all rows are in shards.
     """
     spark = embeddings.sparkSession
-    rows = usable_rows(embeddings.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")), "v")
+    rows = embeddings.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(usable("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, longest = rows.agg(F.count("*"), F.max(norm)).first()
     out = "query_id long, rank int, vec_id long, score double"
-    if not n:
+    lengths = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), F.desc("size")).first()
+    if not lengths:
         return spark.createDataFrame([], out)
+    rows, n, longest = rows.where(F.size("v") == lengths["size"]), lengths["n"], lengths["longest"]
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
     sample_ids, sample_x = sample["vec_id"].to_numpy(), np.array(sample["v"].tolist(), dtype=np.float64)
     wide = augment(sample_x, longest)
@@ -201,19 +220,31 @@ def nearest(embeddings: DataFrame, *, every: int = 20, k: int = 20, factor: floa
 
     placed = rows.mapInArrow(place, "vec_id long, v array<double>, shard int")
     counts = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}  # at most MAX_SHARDS
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     parts = F.create_map(*(x for s, c in counts.items() for x in (F.lit(s), F.lit(-(-c // SHARD_ROWS)))))
-    held = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.element_at(parts, F.col("shard"))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    asked = queries.mapInArrow(route, "vec_id long, v array<double>, least double, shards array<int>").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode("shards")).where(F.map_contains_key(parts, F.col("shard"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("shard")) - 1))).drop("shards")
-
-    def search(held: pa.Table, asked: pa.Table) -> pa.Table:
-        empty = not held.num_rows or not asked.num_rows
-        found = ([], [], []) if empty else best_in_shard(held.column("vec_id").to_numpy(), matrix(held.column("v")), asked.column("vec_id").to_numpy(), matrix(asked.column("v")), asked.column("least").to_numpy(), longest, k, factor)
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
+    in_part = F.pmod(F.xxhash64("vec_id"), F.element_at(parts, F.col("shard"))).cast("int")
+    held = placed.select("shard", in_part.alias("part"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(0.0).alias("least"))
+    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
+    asked = queries.mapInArrow(route, "vec_id long, v array<double>, least double, shards array<int>").withColumn("shard", F.explode("shards")).where(F.map_contains_key(parts, F.col("shard")))
+    asked = asked.select("shard", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("shard")) - 1)).alias("part"), F.lit(1).alias("kind"), "vec_id", "v", "least")
 
-    key = ["shard", "part", "block"]
-    found = held.groupBy(key).cogroup(asked.groupBy(key)).applyInArrow(search, "query_id long, vec_id long, score double")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each part's rows and then its queries, a batch at a time."""
+        key, rows, tree = None, [], None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("shard", "part", "kind")]
+            for a, b in _stretches(*columns) if batch.num_rows else ():
+                own, kind = (columns[0][a], columns[1][a]), columns[2][a]
+                if own != key:
+                    key, rows, tree = own, [], None
+                ids, x = batch.column("vec_id").to_numpy()[a:b], matrix(batch.column("v").slice(a, b - a))
+                if kind == 0:
+                    rows.append((ids, x))
+                elif rows:
+                    tree = tree or Part(*(np.concatenate(c) for c in zip(*rows, strict=True)), longest, k)
+                    found = tree.best(ids, x, batch.column("least").to_numpy()[a:b], factor)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    together = held.unionByName(asked).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "part").sortWithinPartitions("shard", "part", "kind", "vec_id")
+    found = together.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
