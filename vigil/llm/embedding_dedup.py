@@ -129,7 +129,8 @@ def near_duplicates(embeddings: DataFrame, *, least: float = 0.98, sample_rows:
     are vectors of their own.  Rows without vec_id count as smaller than all others, and so have a null
     component_id with all that link to them.  Further columns are ignored and an empty table gives an empty table.
     sample_rows: distinct vectors that the centres are fitted on; every vector is in a cell.  There are as many cells as the
-    root of the number of classes of the largest label, up to an eighth of sample_rows.
+    cube root of the number of classes of the largest label, or one for four blocks of them if these are more, up to an eighth of
+    sample_rows.  Vectors without clusters are guests in about a tenth of all cells, so more cells would cost more than they save.
     """
     rows = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
     usable = usable_rows(rows.where("label is not null"), "v")
@@ -140,7 +141,7 @@ def near_duplicates(embeddings: DataFrame, *, least: float = 0.98, sample_rows:
         named = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     else:
         largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
-        centres = spherical_kmeans(_unit(sample), max(1, min(math.isqrt(largest), len(sample) // SAMPLE_A_CENTRE)))
+        centres = spherical_kmeans(_unit(sample), max(1, min(max(math.ceil(largest ** (1 / 3)), largest // (4 * BLOCK_ROWS)), len(sample) // SAMPLE_A_CENTRE)))
         numbered = classes.select(F.col("label").cast("string").alias("label"), "v", "n", "node")
         placed = storage.materialise(numbered.mapInArrow(_assign(centres, least), "label string, v array<double>, n long, node long, cells array<int>"), "cells")
         members = placed.select("label", "v", "n", "node", "cells", F.posexplode("cells").alias("place", "cell"))
