@@ -68,6 +68,9 @@ def pages_table(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
 
 
+FIVE = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def brute_warc(rows, least):
     out, best = [], {}
     for p, h in rows:
@@ -84,7 +87,11 @@ def brute_warc(rows, least):
 def test_warc_round_trip(spark, least):
     pages = pages_table(spark)
     got = warc_zip.read(warc_zip.write(pages.repartition(3), storage.new_path(spark, "w"), least_bytes=least))
-    assert collections.Counter(map(tuple, got.collect())) == brute_warc([(r["page_id"], r["html"]) for r in pages.collect()], least)
+    records = got.collect()
+    named = {r["record_id"]: r for r in records}
+    assert len(named) == len(records) and all(named[r["refers_to_id"]]["payload_digest"] == r["payload_digest"] and named[r["refers_to_id"]]["record_type"] == "response" for r in records if r["record_type"] == "revisit")
+    assert collections.Counter(bytes(r["payload"]).decode() for r in records if r["payload"]) == collections.Counter(h for h in {r["html"] for r in pages.collect()} if h)
+    assert collections.Counter(map(tuple, got.select(*FIVE).collect())) == brute_warc([(r["page_id"], r["html"]) for r in pages.collect()], least)
     assert warc_zip.read(warc_zip.write(pages.limit(0), storage.new_path(spark, "w"))).count() == 0
 
 
@@ -95,7 +102,7 @@ def test_repeated_pages_have_one_response(spark):
 
 
 def test_zip64_directory_and_missing_index(tmp_path):
-    data = [warc_zip.record(i, f"u{i}", b"p" * i, None, "0") for i in range(4)]
+    data = [warc_zip.record(i, f"u{i}", b"p" * i, warc_zip.base32_sha1(b"p" * i)) for i in range(4)]
     import gzip
 
     member = b"".join(gzip.compress(d) for d in data)
@@ -120,7 +127,7 @@ def test_zip64_directory_and_missing_index(tmp_path):
         (tmp_path / name).write_bytes(content)
         archive = warc_zip._Range(f"file://{tmp_path}/{name}")
         ranges = list(warc_zip.record_ranges(archive))
-        assert [warc_zip.parse(gzip.decompress(archive.read(a, n)))[:2] for a, n in ranges] == [(i, i) for i in range(4)]
+        assert [warc_zip.parse(gzip.decompress(archive.read(a, n)))[4::3] for a, n in ranges] == [(i, i) for i in range(4)]
     with zipfile.ZipFile(tmp_path / "packed.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("records.warc.gz", b"a" * 1000)
     for name in ("packed.zip", "none.zip"):
@@ -130,6 +137,39 @@ def test_zip64_directory_and_missing_index(tmp_path):
     assert pyarrow.fs.FileSystem.from_uri(f"file://{tmp_path}")
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_one_payload_on_many_pages(spark, monkeypatch, few):
+    monkeypatch.setattr(warc_zip, "BROADCAST_ROWS", few)
+    rows = [(i, f"u{i}", "same" if i % 3 else None if i % 2 else f"own {i}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    written = warc_zip.write(pages, storage.new_path(spark, "w"))
+    assert max(r["records"] for r in written.collect()) < 200  # equal payloads stay in their partitions
+    assert collections.Counter(map(tuple, warc_zip.read(written).select(*FIVE).collect())) == brute_warc([(i, h) for i, _, h in rows], 0)
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_archives_of_another_writer(spark, tmp_path, packed):
+    import gzip
+
+    head = lambda kind, n, *more: ("\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{n:032d}>", "WARC-Date: 2020-01-01T00:00:00Z", *more])).encode()
+    whole = lambda start, block: start + f"\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    records = [
+        whole(head("warcinfo", 1, "Content-Type: application/warc-fields"), b"software: other\r\n"),
+        whole(head("request", 2, "Content-Type: application/http;msgtype=request"), b"GET / HTTP/1.1\r\n\r\n"),
+        whole(head("response", 3, "WARC-Target-URI: http://a.example/", "Content-Type: application/http; msgtype=response"), http + b"body"),
+        whole(head("revisit", 4, "WARC-Refers-To: <urn:uuid:3>", "Content-Type: application/http;msgtype=response"), http),
+        whole(head("metadata", 5), b"x"), whole(head("response", 6, "WARC-Payload-Digest: sha256:00", "Content-Type: application/http"), http),
+    ]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("data.warc.gz" if packed else "data.warc", b"".join(map(gzip.compress, records) if packed else records))
+        z.writestr("data.cdx", "com,example)/ 2020 http://a.example/ text/html 200 AAAA - - 10 20 data.warc.gz\n")
+        z.writestr("readme.txt", "no records")
+    got = warc_zip.read(spark.createDataFrame([(f"file://{tmp_path}/a.zip",)], "path string")).orderBy("record_id").collect()
+    assert [(r["record_id"][-2], r["record_type"], r["payload_bytes"], r["page_id"], r["refers_to_id"]) for r in got] == [("3", "response", 4, None, None), ("4", "revisit", None, None, "<urn:uuid:3>"), ("6", "response", 0, None, None)]
+    assert got[0]["payload_digest"] == warc_zip.base32_sha1(b"body") and bytes(got[0]["payload"]) == b"body" and got[1]["payload_digest"] is None
+
+
 # Vectors
 
 

@@ -68,7 +68,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_zip.read(warc_zip.write(table(spark, sf_dir, "pages"), storage.new_path(spark, "warc"), least_bytes=0))
+    written = warc_zip.write(table(spark, sf_dir, "pages"), storage.new_path(spark, "warc"), least_bytes=0)
+    return warc_zip.read(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_vptree_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ records.cdx, a line with offset and length for each.  The reader parses the cent
 archive's end (with its ZIP64 forms), finds where the stored members begin, reads the index,
 and then only the byte ranges of the records; nothing is extracted.  Archives are read and
 written through pyarrow's file systems, so they can be in any store that these know.
+
+A response's record id follows from its page and payload digest, so that revisits can name it without
+knowing where it is written.  Payloads stay in their partitions: only digests and page ids are
+shuffled, and what repeats comes back by a join.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ RECORDS, INDEX = "records.warc.gz", "records.cdx"
 SPAN_BYTES = 4_000_000
 #: The fixed time in all records: the table has none.
 DATE = "2024-01-01T00:00:00Z"
+_ENTRY = re.compile(rb"\d+ \d+")
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -108,7 +113,8 @@ def _zip64(extra: bytes, packed: int, plain: int, offset: int) -> tuple[int, int
 def record_ranges(archive: _Range) -> Iterator[tuple[int, int]]:
     """Start and length of all records, by the indexes of the archive.
 
-    Records need an index of the same name with the ending cdx; without one their member is walked through.
+    An index has the name of its member with the ending cdx, and offset and length in each line; without one of this form the member
+    is walked through.
     """
     found = members(archive)
     by_name = {m.name: m for m in found}
@@ -118,16 +124,37 @@ def record_ranges(archive: _Range) -> Iterator[tuple[int, int]]:
             if index is None:
                 yield from _walk(archive, m)
                 continue
-            for line in archive.read(index.start, index.size).splitlines():
-                offset, length = map(int, line.split()[:2])
+            lines = archive.read(index.start, index.size).splitlines()
+            if not all(_ENTRY.fullmatch(line) for line in lines):  # an index of another form
+                yield from _walk(archive, m)
+                continue
+            for offset, length in (map(int, line.split()) for line in lines):
                 if offset + length > m.size:
                     raise ValueError("the index points beyond its member")
                 yield m.start + offset, length
 
 
+def _walk_plain(archive: _Range, m: Member) -> Iterator[tuple[int, int]]:
+    """Records that are not compressed, by the lengths in their heads."""
+    at, end = m.start, m.start + m.size
+    while at < end:
+        size, head = 4096, b""
+        while b"\r\n\r\n" not in head:
+            if len(head) == end - at:
+                raise ValueError(f"member {m.name} ends in the head of a record")
+            head, size = archive.read(at, min(size, end - at)), size * 4
+        found = re.search(rb"(?im)^content-length:\s*(\d+)", head.partition(b"\r\n\r\n")[0])
+        if not found:
+            raise ValueError(f"a record of member {m.name} has no length")
+        length = head.index(b"\r\n\r\n") + 4 + int(found[1]) + 4
+        yield at, min(length, end - at)
+        at += length
+
+
 def _walk(archive: _Range, m: Member) -> Iterator[tuple[int, int]]:
     if not m.name.endswith(".gz"):
-        raise ValueError(f"member {m.name} has no index and its records are not compressed one by one")
+        yield from _walk_plain(archive, m)
+        return
     at, begin = m.start, m.start
     stream = zlib.decompressobj(31)
     while at < m.start + m.size:
@@ -146,38 +173,63 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: str | None, name: str) -> bytes:
-    """One WARC record, not compressed; with refers_to, a revisit that has the HTTP head alone."""
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """The id of a page's record; that of a response which others refer to has no place."""
+    return f"<urn:page:{page_id}:{digest}{':' * bool(place)}{place}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None = None, place: str = "") -> bytes:
+    """One WARC record, not compressed; with refers_to, a record id, a revisit that has the HTTP head alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{page_id}:{name}>"),
+        ("WARC-Record-ID", record_id(page_id, digest, place)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url or "")),
-        ("WARC-Payload-Digest", "sha1:" + base32_sha1(payload)),
-        *([("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")] if refers_to is not None else ()),
+        ("WARC-Payload-Digest", "sha1:" + digest),
+        *([("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", refers_to)] if refers_to is not None else ()),
         ("Content-Type", "application/http;msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
-    """(page_id, payload bytes, payload digest, type, page referred to) of a record."""
+_PAGE = re.compile(r"<?urn:page:(None|-?\d+):")
+_RECORD = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_id", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+
+
+def _page_of(record_id: str | None) -> int | None:
+    """The page in a record id of this writer; ids of others name none."""
+    found = _PAGE.match(record_id or "")
+    return int(found[1]) if found and found[1] != "None" else None
+
+
+def parse(raw: bytes) -> tuple | None:
+    """The fields of a response or revisit, in the order of read(), or None for a record of another type.
+
+    A response whose SHA-1 digest is wrong ends the job; one without any gets it here.  A revisit's payload is as long as its HTTP
+    head says, if it does.
+    """
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    kind, name = fields.get("warc-type", "").lower(), fields.get("warc-record-id")
+    if kind not in ("response", "revisit"):
+        return None
     block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-    number = lambda text: None if text == "None" else int(text)
-    page_id = number(fields["warc-record-id"].split(":")[2])
-    if kind == "response":
-        if base32_sha1(payload) != digest:
-            raise ValueError(f"the payload of page {page_id} does not have its digest")
-        return page_id, len(payload), digest, kind, None
-    size = int(re.search(rb"(?i)^content-length:\s*(\d+)", http, re.MULTILINE)[1])
-    return page_id, size, digest, kind, number(fields["warc-refers-to"].strip("<>").split(":")[2])
+    http, _, payload = block.partition(b"\r\n\r\n") if fields.get("content-type", "application/http").startswith("application/http") else (b"", b"", block)
+    label, _, digest = fields.get("warc-payload-digest", "").rpartition(":")
+    known = digest.upper() if label.lower() == "sha1" else None
+    refers, size = None, len(payload)
+    if kind == "revisit":
+        found = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+        size, payload, refers = int(found[1]) if found else None, None, fields.get("warc-refers-to")
+    else:
+        own = base32_sha1(payload)
+        if known not in (None, own):
+            raise ValueError(f"the payload of record {name} does not have its digest")
+        known = own
+    return name, kind, fields.get("warc-target-uri"), fields.get("warc-date"), size, known, refers, _page_of(name), _page_of(refers), payload
 
 
 def _write(folder: str):
@@ -194,7 +246,9 @@ def _write(folder: str):
                     sink = files.open_output_stream(f"{path}/{name}")
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True)
                     member = archive.open(RECORDS, "w", force_zip64=True)
-                plain = record(r["page_id"], r["url"], (r["html"] or "").encode(), None if r["response"] else str(r["first"]), f"{part}-{len(index)}")
+                digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
+                refers_to = None if r["response"] else record_id(r["first"], digest)
+                plain = record(r["page_id"], r["url"], r["html"].encode(), digest, refers_to, "" if r["referred"] else f"{part}-{len(index)}")
                 pack = zlib.compressobj(4, zlib.DEFLATED, 31)
                 data = pack.compress(plain) + pack.flush()
                 member.write(data)
@@ -210,6 +264,10 @@ def _write(folder: str):
     return run
 
 
+#: Repeated pages that are broadcast at most; more of them are joined by a shuffle of the pages.
+BROADCAST_ROWS, SALTS = 200_000, 16
+
+
 def write(pages: DataFrame, folder: str, *, least_bytes: int = 0) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html) and returns path and records of each archive.
 
@@ -221,23 +279,33 @@ def write(pages: DataFrame, folder: str, *, least_bytes: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    keys = rows.groupBy("digest", "page_id").agg(F.count("*").alias("n"))
-    firsts = keys.groupBy("digest").agg(F.max("page_id").alias("first"), F.max("n").alias("copies"))
-    repeated = not firsts.where("copies > 1").isEmpty()
-    joined = rows.join(firsts.drop("copies"), "digest")
-    # Only a table that repeats a page needs an order among its copies.
-    copy = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) if repeated else F.lit(1)
-    small = F.octet_length("html") < least_bytes
-    joined = joined.withColumn("copy", copy).withColumn("response", small | F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1))
-    written = joined.select("page_id", "url", "html", "first", "response").mapInArrow(_write(folder), "path string, records long")
-    return storage.materialise(written, "archives")
+    # Digests that several rows have, with the page that is their response.
+    keys = storage.materialise(rows.where(F.octet_length("html") >= least_bytes).groupBy("digest", "page_id").agg(F.count("*").alias("copies")), "digests")
+    firsts = keys.groupBy("digest").agg(F.max("page_id").alias("first"), F.sum("copies").alias("n")).where("n > 1").drop("n")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    repeated = storage.materialise(salted.join(firsts.select("*", every), ["digest", "salt"]).select("digest", "page_id", "first", "copies"), "repeated")
+    known = repeated.select(F.col("digest").alias("its_digest"), F.col("page_id").alias("its_page"), "first", "copies", F.lit(True).alias("several"))
+    few = repeated.count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(known) if few else known, (F.col("digest") == F.col("its_digest")) & F.col("page_id").eqNullSafe(F.col("its_page")), "left")
+    joined = joined.withColumns({"several": F.coalesce("several", F.lit(False)), "leads": F.col("page_id").eqNullSafe(F.col("first"))})
+    columns = ["page_id", "url", "html", "digest", "first", (~F.col("several") | F.col("leads")).alias("response"), (F.col("several") & F.col("leads")).alias("referred")]
+    if repeated.where((F.col("copies") > 1) & F.col("page_id").eqNullSafe(F.col("first"))).isEmpty():
+        written = joined.select(*columns)
+    else:  # rows that repeat both page and payload of a response need an order among them
+        twice = F.col("several") & F.col("leads") & (F.col("copies") > 1)
+        ordered = joined.where(twice).withColumn("leads", F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) == 1)
+        written = joined.where(~twice).select(*columns).unionByName(ordered.select(*columns))
+    return storage.materialise(written.mapInArrow(_write(folder), "path string, records long"), "archives")
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """The records of all archives (path): page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """The responses and revisits of all archives (path), of this writer and of others.
 
+    Returns record_id, record_type, target_uri, date, payload_bytes, payload_digest (base32 SHA-1), refers_to_id, payload (null
+    for a revisit), and page_id and refers_to, the pages that this writer's ids name.  Records of other types are passed over.
     Directories are read where their rows are; what the ranges hold is dealt out over all tasks.
-    A broken archive, or a payload without its digest, ends the job.
+    A broken archive, or a payload with a wrong digest, ends the job.
     """
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,13 +322,15 @@ def read(archives: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["path", "start", "lengths"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         for r in (row for b in batches for row in b.to_pylist()):
             data, at, out = _Range(r["path"]).read(r["start"], sum(r["lengths"])), 0, []
             for length in r["lengths"]:
-                out.append(parse(zlib.decompress(data[at : at + length], 31)))
+                raw = data[at : at + length]
+                if found := parse(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw):
+                    out.append(found)
                 at += length
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _RECORD.types, strict=True)], schema=_RECORD)
 
     listed = archives.select("path").repartition("path").mapInArrow(spans, "path string, start long, lengths array<long>")
-    return listed.repartition("path", "start").mapInArrow(fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return listed.repartition("path", "start").mapInArrow(fetch, "record_id string, record_type string, target_uri string, date string, payload_bytes long, payload_digest string, refers_to_id string, page_id long, refers_to long, payload binary")
