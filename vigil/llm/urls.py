@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -77,70 +80,98 @@ def lexical(url: str, host: str, path: str) -> list[float]:
     return [float(x) for x in (n, len(host), len(path), sum(1 for p in path.split("/") if p), host.count(".") + 1 if host else 0, digits / max(n, 1), entropy, parameters, len(query), url.count("-"), longest)]
 
 
-_SCHEMA = "features array<double>, suffix string, ending string"
+#: Buckets of the statistics of suffixes, and as many of those of endings.
+BUCKETS = 1 << 16
 
 
-def _with_lexical(df: DataFrame) -> DataFrame:
-    """Adds features, suffix and ending to rows with url, host and path."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            urls, hosts, paths = (batch.column(c).to_pylist() for c in ("url", "host", "path"))
-            found = [lexical(u or "", h, p) for u, h, p in zip(urls, hosts, paths, strict=True)]
-            kept = [i for i, c in enumerate(batch.schema.names) if c != "url"]
-            arrays = [batch.column(i) for i in kept] + [pa.array(found, pa.list_(pa.float64())), pa.array(map(_suffix, hosts), pa.string()), pa.array(map(_ending, paths), pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in kept] + ["features", "suffix", "ending"])
-
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "url")
-    return df.mapInArrow(run, f"{rest}, {_SCHEMA}")
+def _groups(host: str, path: str) -> tuple[int, int]:
+    """The buckets of a URL's suffix and ending."""
+    return zlib.crc32(_suffix(host).encode()) % BUCKETS, BUCKETS + zlib.crc32(_ending(path).encode()) % BUCKETS
 
 
 @dataclass
 class UrlModel:
-    """Trees and the statistics of suffixes and endings; without trees one verdict for all."""
+    """Trees and, for each bucket of suffixes and endings, how many labelled URLs it has and how many of them are blocked.
+
+    Without trees there is one verdict for all, that of the prior.
+    """
 
     trees: GBTClassificationModel | None
-    rates: dict[str, dict[str, tuple[float, float]]]
+    counts: Broadcast | None
     prior: float
 
-    def statistics(self, column: str) -> Column:
-        """The rate of blocked URLs and the number seen for a suffix or ending."""
-        known = self.rates[column]
-        unseen = F.array(F.lit(self.prior), F.lit(0.0))
-        if not known:
-            return unseen
-        table = F.create_map(*(x for k, (rate, n) in known.items() for x in (F.lit(k), F.array(F.lit(rate), F.lit(n)))))
-        return F.coalesce(F.try_element_at(table, F.col(column)), unseen)
+    def features(self, df: DataFrame) -> DataFrame:
+        """Replaces url by features, for rows with url, host and path."""
+        counts, prior = self.counts, self.prior
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                urls, hosts, paths = (batch.column(c).to_pylist() for c in ("url", "host", "path"))
+                found = []
+                for u, h, p in zip(urls, hosts, paths, strict=True):
+                    seen = [counts.value[g] for g in _groups(h, p)]
+                    # Rates are smoothed by ten rows of the overall rate.
+                    found.append(lexical(u or "", h, p) + [float(x) for n, blocked in seen for x in ((blocked + 10 * prior) / (n + 10), math.log1p(n))])
+                kept = [i for i, c in enumerate(batch.schema.names) if c != "url"]
+                arrays = [batch.column(i) for i in kept] + [pa.array(found, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in kept] + ["features"])
+
+        rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "url")
+        return df.mapInArrow(run, f"{rest}, features array<double>")
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Replaces features, suffix and ending by blocked, the probability of block."""
+        """Replaces url by blocked, the probability of block."""
         if self.trees is None:
-            return df.drop("features", "suffix", "ending").withColumn("blocked", F.lit(self.prior))
-        whole = F.concat("features", self.statistics("suffix"), self.statistics("ending"))
-        scored = self.trees.transform(df.withColumn("features", array_to_vector(whole)))
-        return scored.withColumn("blocked", vector_to_array("probability")[1]).drop("features", "suffix", "ending", "rawPrediction", "probability", "prediction")
+            return df.drop("url").withColumn("blocked", F.lit(self.prior))
+        scored = self.trees.transform(self.features(df).withColumn("features", array_to_vector("features")))
+        return scored.withColumn("blocked", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def _bucket_counts(labelled: DataFrame) -> np.ndarray:
+    """Rows and blocked rows of every bucket, over all labelled URLs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2 * BUCKETS, 2), dtype=np.int64)
+        for batch in batches:
+            for h, p, y in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "label")), strict=True):
+                for g in _groups(h, p):
+                    total[g] += 1, int(y)
+        at = np.flatnonzero(total[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at, 0]), pa.array(total[at, 1])], names=["bucket", "n", "blocked"])
+
+    out = np.zeros((2 * BUCKETS, 2))
+    merged = labelled.select("host", "path", "label").mapInArrow(run, "bucket long, n long, blocked long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    rows = merged.toArrow()  # at most 2 * BUCKETS
+    out[rows.column("bucket").to_numpy()] = np.stack([rows.column("n").to_numpy(), rows.column("blocked").to_numpy()], axis=1)
+    return out
 
 
-def train(labelled: DataFrame, *, max_rows: int = 20_000, max_groups: int = 200, trees: int = 20, depth: int = 4) -> UrlModel:
+def train(labelled: DataFrame, *, max_rows: int = 20_000, trees: int = 20, depth: int = 4) -> UrlModel:
     """Fits trees to rows with url, host, path and verdict.
 
-    At most max_rows rows are used, those with the lowest hashes, and statistics are held for the
-    max_groups most frequent suffixes and endings of these; the others count as unseen.  Rates are smoothed by
-    ten rows of the overall rate.  With one class, or no rows, there are no trees.
+    At most max_rows distinct URLs are used, half of them from each class, those with the lowest hashes; each counts as many as it
+    stands for in its class.  Statistics of suffixes and endings are over all rows, in buckets by hash: those that share one share
+    its rate.  With one class, or no rows, there are no trees.
     """
-    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(max_rows)
-    sample = storage.materialise(_with_lexical(sample.select("url", "host", "path", (F.col("verdict") == BLOCK).cast("double").alias("label"))), "urls")
-    n, blocked = sample.agg(F.count("*"), F.sum("label")).first()
-    if not n or blocked in (0, n):
-        return UrlModel(None, {"suffix": {}, "ending": {}}, float(blocked / n) if n else 0.0)
-    prior, rates = blocked / n, {}
-    for column in ("suffix", "ending"):
-        groups = sample.groupBy(column).agg(F.count("*").alias("n"), F.sum("label").alias("b")).orderBy(F.desc("n"), column).limit(max_groups)
-        rates[column] = {r[column]: ((r["b"] + 10 * prior) / (r["n"] + 10), float(r["n"])) for r in groups.collect()}
-    model = UrlModel(None, rates, prior)
-    whole = F.concat("features", model.statistics("suffix"), model.statistics("ending"))
-    data = sample.select("label", array_to_vector(whole).alias("features"))
-    model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, stepSize=0.2).fit(data)
+    rows = labelled.select("url", "host", "path", (F.col("verdict") == BLOCK).cast("double").alias("label"))
+    hashed = F.xxhash64("url")
+    sizes = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("url").alias("urls")).collect()}
+    n = sum(r["n"] for r in sizes.values())
+    prior = float(sizes[1.0]["n"] / n) if 1.0 in sizes else 0.0
+    if len(sizes) < 2:
+        return UrlModel(None, None, prior)
+    taken = []
+    for label, size in sizes.items():
+        # About twice as many distinct URLs as are wanted have hashes below this, so copies of one never fill the sample.
+        below = min(2**63 - 1, 2**64 * max_rows // max(1, size["urls"]) - 2**63)
+        own = rows.where((F.col("label") == label) & (hashed <= below)).dropDuplicates(["url"])
+        taken.append(own.orderBy(hashed, "url").limit(max_rows // 2))
+    sample = storage.materialise(taken[0].unionByName(taken[1]), "urls")
+    used = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    model = UrlModel(None, labelled.sparkSession.sparkContext.broadcast(_bucket_counts(rows)), prior)
+    weight = F.when(F.col("label") == 1, prior / used[1.0]).otherwise((1 - prior) / used[0.0]) * sum(used.values())
+    data = model.features(sample).select("label", array_to_vector("features").alias("features"), weight.alias("weight"))
+    model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, stepSize=0.2, weightCol="weight").fit(data)
     return model
 
 
@@ -155,6 +186,6 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rows = rows.withColumn("rule", fitting_rule(rules, lambda r: r.text)).withColumn("fixed", fitting_rule(rules, lambda r: r.verdict))
     model = train(rows.where("fixed is not null").select("url", "host", "path", F.col("fixed").alias("verdict")))
-    scored = model.score(_with_lexical(rows))
+    scored = model.score(rows)
     own = F.when(F.col("blocked") >= 0.5, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("fixed", own).alias("verdict"), "blocked")
