@@ -35,9 +35,10 @@ def _repeats(group: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every line with a word: its document, its length in bytes and its features."""
-    empty = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, len(FEATURES)), dtype=np.float32)
+def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every line with a word: its document, its length in bytes, its features, and its place among all lines of the document."""
+    none = np.empty(0, dtype=np.int64)
+    empty = none, none, np.empty((0, len(FEATURES)), dtype=np.float32), none
     words: Words = find_words(data, offsets)
     if not len(words.starts):
         return empty
@@ -64,7 +65,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     np.add.at(line_hash, line, hashes * mix(np.arange(len(hashes), dtype=np.uint64) - first_word.astype(np.uint64)[line] + np.uint64(7)))
     n_lines = np.bincount(doc, minlength=len(offsets) - 1)[doc]
     columns = [np.log1p(end - start), np.log1p(n_words), (seen / n_words), upper / np.maximum(1, lower + upper), digits / seen, symbols / seen, stops / seen, per_line(odd_end), 1 - per_line(_repeats(line, hashes)), per_line(last), _repeats(doc, line_hash), lead / seen, n_lines == 1]
-    return doc, end - start, np.stack(columns, axis=1).astype(np.float32)
+    return doc, end - start, np.stack(columns, axis=1).astype(np.float32), lines - np.searchsorted(line_starts, offsets[:-1])[doc]
 
 
 def _neighbours(doc: np.ndarray, bins: np.ndarray) -> np.ndarray:
@@ -127,15 +128,16 @@ class Field:
         ahead, back = _Chain(doc).messages(score, self.transitions)
         return _sigmoid(ahead + back)
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The quality of each document; 0 without a word."""
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The quality of each document, 0 without a word; and of each line its document, its place there and how likely it is good."""
         n = len(offsets) - 1
-        out, (doc, length, features) = np.zeros(n), line_features(data, offsets)
+        out, good, (doc, length, features, line) = np.zeros(n), np.empty(0), line_features(data, offsets)
         if len(doc):
+            good = self.marginals(doc, features)
             total = np.bincount(doc, weights=length, minlength=n)
-            mean = np.bincount(doc, weights=length * self.marginals(doc, features), minlength=n)[total > 0] / total[total > 0]
+            mean = np.bincount(doc, weights=length * good, minlength=n)[total > 0] / total[total > 0]
             out[total > 0] = _sigmoid(self.scale[0] * _logit(mean) + self.scale[1])
-        return out
+        return out, doc, line, good
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -152,12 +154,13 @@ def _adam(gradient, start: np.ndarray, steps: int, rate: float) -> np.ndarray:
     return x
 
 
-def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], *, steps: int = 100, penalty: float = 1e-4) -> Field:
+def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], *, steps: int = 100, penalty: float = 1e-4, stretch: int = 128) -> Field:
     """Fits a field to (line lengths, line features, label) of some documents.
 
     At first a document's lines all have its label.  A bad document may hold good lines, so the
     field is fitted again with those of its lines good that the first fit finds so, all but its
-    worst one.  Without documents every score is 0.5.
+    worst one.  Long documents are learnt as chains of stretch lines, so that the cost does not follow
+    the longest one.  Without documents every score is 0.5.
     """
     width = 3 * len(FEATURES) * (_BINS + 1) + 1
     if not documents:
@@ -169,7 +172,8 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], *, steps: int = 100
     y = label[doc]
     edges = [np.unique(np.quantile(features[:, i], np.arange(1, _BINS) / _BINS)) for i in range(len(FEATURES))]
     field = Field(edges, np.zeros(width), np.zeros((2, 2)))
-    index, chain, n = _neighbours(doc, field._bins(features)), _Chain(doc), len(doc)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+    index, chain, n = _neighbours(doc, field._bins(features)), _Chain(doc * (len(doc) + 1) + place // stretch), len(doc)
     both = [(y[chain.inner] == u) & (y[chain.inner + 1] == v) for u in (0, 1) for v in (0, 1)]
 
     def gradient(x: np.ndarray) -> np.ndarray:
@@ -206,36 +210,39 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = column_bytes(batch.column("text"))
         for i, j in blocks(offsets):
-            doc, length, features = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            doc, length, features, _ = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             cuts = np.searchsorted(doc, np.arange(j - i + 1))
             parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), pa.array(np.diff(cuts)), pa.array([length[a:b].astype("<i8").tobytes() for a, b in parts], pa.binary()), pa.array([features[a:b].astype("<f4").tobytes() for a, b in parts], pa.binary())], names=["label", "n", "length", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("place", "text_key", "label")), pa.array(np.diff(cuts)), pa.array([length[a:b].astype("<i8").tobytes() for a, b in parts], pa.binary()), pa.array([features[a:b].astype("<f4").tobytes() for a, b in parts], pa.binary())], names=["place", "text_key", "label", "n", "length", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_documents: int = 8000, max_lines: int = 200_000) -> Field:
     """Fits a field on labelled documents: labels has doc_id and label (0 or 1; other values are left out).
 
     At most max_documents labelled rows are used, those whose id has the lowest hashes, and of
-    these as many as have max_lines lines together, so what reaches the driver has a fixed bound.
+    these, in that order, as many as have max_lines lines together, so what reaches the driver has a fixed bound and
+    does not depend on how the tables are cut.  A doc_id of several rows or labels gives a document for each pair of them.
     """
     order = F.xxhash64("doc_id")
     sample = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label")).orderBy(order, "doc_id", "label").limit(max_documents)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("label", "text")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("label", "text", order.alias("place"), F.xxhash64("text").alias("text_key"))
+    found = rows.mapInArrow(_line_rows, "place long, text_key long, label int, n long, length binary, features binary").where("n > 0")
     taken, lines = [], 0
-    for r in rows.mapInArrow(_line_rows, "label int, n long, length binary, features binary").where("n > 0").toLocalIterator():
+    for r in found.orderBy("place", "text_key", "label").toLocalIterator():
         if lines + r["n"] <= max_lines:
             lines += r["n"]
             taken.append((np.frombuffer(r["length"], dtype="<i8"), np.frombuffer(r["features"], dtype="<f4").reshape(-1, len(FEATURES)), r["label"]))
     return fit(taken)
 
 
-def score(docs: DataFrame, field: Field) -> DataFrame:
+def score(docs: DataFrame, field: Field, *, lines: bool = False) -> DataFrame:
     """docs with score, from 0 to 1, added in place of any column of that name.
 
-    A null text or one without words scores 0.  Rows are scored each on its own, so repeated rows
-    and rows without doc_id are no special case, and an empty table gives an empty table.
+    With lines, also line_labels: for every line with a word its number of lines from the top, its probability of being good,
+    and whether it is.  A null text or one without words scores 0 and has no lines.  Rows are scored each on its own, so
+    repeated rows and rows without doc_id are no special case, and an empty table gives an empty table.
     """
-    own = docs.drop("score")
+    own = docs.drop("score", "line_labels") if lines else docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +250,17 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
             row = pa.RecordBatch.from_struct_array(batch.column("row"))
             data, offsets = column_bytes(row.column("text"))
             parts = [shared.value.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in blocks(offsets)]
-            yield row.append_column("score", pa.array(np.concatenate(parts) if parts else [], pa.float64()))
+            out = row.append_column("score", pa.array(np.concatenate([p for p, *_ in parts]) if parts else [], pa.float64()))
+            if lines:
+                labels = [x for p, doc, at, good in parts for x in _by_document(doc, at, good, len(p))]
+                out = out.append_column("line_labels", pa.array(labels, pa.list_(pa.struct([("line", pa.int32()), ("probability", pa.float64()), ("good", pa.bool_())]))))
+            yield out
 
-    return own.select(F.struct("*").alias("row")).mapInArrow(run, own.selectExpr("*", "0D score").schema)
+    added = ["0D score", *(["array(named_struct('line', 0, 'probability', 0D, 'good', true)) line_labels"] if lines else [])]
+    return own.select(F.struct("*").alias("row")).mapInArrow(run, own.selectExpr("*", *added).schema)
+
+
+def _by_document(doc: np.ndarray, line: np.ndarray, good: np.ndarray, n: int) -> Iterator[list[dict]]:
+    cuts = np.searchsorted(doc, np.arange(n + 1)).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield [{"line": k, "probability": p, "good": p >= 0.5} for k, p in zip(line[a:b].tolist(), good[a:b].tolist(), strict=True)]
