@@ -55,10 +55,21 @@ def test_trees_learn_held_out_urls(spark):
         rows.append((f"https://{rng.choice('abc')}.{'spam.example' if bad else 'good.example'}{path}", "block" if bad else "allow"))
     df = spark.createDataFrame(rows, "url string, verdict string").withColumn("host", urls.host_of(F.col("url"))).withColumn("path", urls.path_of(F.col("url")))
     model = urls.train(df.limit(800))
-    scored = model.score(urls._with_lexical(df.select("url", "host", "path", "verdict"))).collect()[800:]
+    scored = model.score(df.select("url", "host", "path", "verdict")).collect()[800:]
     assert np.mean([(r["blocked"] >= 0.5) == (r["verdict"] == "block") for r in scored]) > 0.95
 
 
+def test_copies_of_one_url_do_not_fill_the_sample(spark):
+    rows = [("http://a.com/en/1", "block")] * 3000 + [(f"http://h{i}.net/de/{i}", "allow") for i in range(300)] + [(f"http://h{i}.com/en/{i}", "block") for i in range(300)]
+    df = spark.createDataFrame(rows, "url string, verdict string").withColumn("host", urls.host_of(F.col("url"))).withColumn("path", urls.path_of(F.col("url")))
+    model = urls.train(df, max_rows=200)
+    assert model.trees is not None and abs(model.prior - 3300 / 3600) < 1e-9
+    scored = model.score(df.dropDuplicates(["url"]).select("url", "host", "path", "verdict")).collect()
+    assert np.mean([(r["blocked"] >= 0.5) == (r["verdict"] == "block") for r in scored]) > 0.99
+    counts = model.counts.value
+    assert counts[: urls.BUCKETS].sum(axis=0).tolist() == [3600, 3300] == counts[urls.BUCKETS :].sum(axis=0).tolist()
+
+
 # WARC
 
 
@@ -302,6 +313,29 @@ def test_pipeline(spark, tmp_path):
     assert pii.KINDS[4] == "term"
 
 
+def test_near_dedup_of_clashing_and_missing_ids(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda k, *more: " ".join([f"{w}k{k}" for w in words] + list(more))
+    rows = [(1, text(1)), (2, text(1, "end")), (2, text(2)), (3, text(3)), (3, text(3)), (None, text(4)), (None, text(5)), (9, text(5, "end")), (7, None), (7, None), (7, ""), (8, text(8)), (8, text(8, "more"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, goes string")
+    kept = corpus_pipeline.near_dedup(spark, docs.repartition(3), str(tmp_path)).collect()
+    left = collections.Counter((r["doc_id"], r["text"]) for r in kept)
+    eight = [k for k in left if k[0] == 8]
+    assert len(eight) == 1 and left - collections.Counter(eight) == collections.Counter([rows[0], rows[2], rows[3], rows[5], rows[6], rows[8], rows[9], rows[10]])
+
+
+def test_a_cluster_needs_the_shared_folder(spark, monkeypatch):
+    class Elsewhere:
+        master, applicationId = "spark://host:7077", "none"
+
+    class Session:
+        conf, sparkContext = spark.conf, Elsewhere()
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            storage.shared_dir(Session())
+
+
 def test_stages_on_empty_documents(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

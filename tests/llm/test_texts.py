@@ -111,6 +111,14 @@ test_word_tokenizer_equals_the_library_on_added_tokens.own = packing.WordTokeniz
 test_word_tokenizer_equals_the_library_on_added_tokens.whole = tokenizers.Tokenizer.from_file(WORD_FILE)
 
 
+@pytest.mark.parametrize("letters", ["a", "é", "Σ", "ж", "a'", "字", "1a"])
+def test_long_chunks_have_the_ids_of_the_library(letters):
+    own, library = packing.WordTokenizer(WORD_FILE), tokenizers.Tokenizer.from_file(WORD_FILE)
+    for n in (998, 999, 1000, 1001, 2500):
+        text = f"x {(letters * n)[:n]} y"
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_of_added_tokens(spark):
     texts = ["hello <|endoftext|> world", "<|startoftext|>a b", "no such token", None]
     got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORD_FILE).collect()
@@ -383,6 +391,41 @@ def test_quality(spark, documents):
     assert {r["score"] for r in quality.score(own, none).collect()} == {0.5}
 
 
+def test_line_labels_and_scores(spark, documents):
+    own = corpus(spark)
+    field = quality.train(own.select("doc_id", "text"), own.select("doc_id", "label"))
+    again = quality.train(own.select("doc_id", "text").repartition(7), own.select("doc_id", "label").repartition(2))
+    assert (field.weights == again.weights).all() and field.scale == again.scale  # however the tables are cut
+    few = quality.train(own.select("doc_id", "text"), own.select("doc_id", "label"), max_lines=400)
+    assert (few.weights == quality.train(own.select("doc_id", "text").repartition(5), own.select("doc_id", "label"), max_lines=400).weights).all()
+    clean = []
+    for r in quality.score(own.withColumn("line_labels", F.lit("mine")), field, lines=True).collect():
+        lines = r["text"].split("\n")
+        assert [x["line"] for x in r["line_labels"]] == list(range(len(lines)))
+        mean = sum(x["probability"] * len(t) for x, t in zip(r["line_labels"], lines, strict=True)) / sum(map(len, lines))
+        assert abs(quality._sigmoid(field.scale[0] * quality._logit(np.array(mean)) + field.scale[1]) - r["score"]) < 1e-9
+        if r["label"] == 0:  # every fourth line is as those of good documents
+            assert all(x["good"] == (x["probability"] >= 0.5) for x in r["line_labels"]) and min(r["line_labels"], key=lambda x: x["probability"])["line"] % 4
+            clean.append(np.mean([x["probability"] for x in r["line_labels"] if x["line"] % 4 == 0]) - np.mean([x["probability"] for x in r["line_labels"] if x["line"] % 4]))
+    assert np.mean(clean) > 0
+    odd = {r["row"]: r["line_labels"] for r in quality.score(documents, field, lines=True).collect()}
+    assert odd[0] == odd[1] == odd[2] == [] and [x["line"] for x in odd[13]] == [0, 2] and len(odd) == 16
+    assert quality.score(empty(documents), field, lines=True).count() == 0
+
+
+def test_the_cost_of_training_does_not_follow_the_longest_document():
+    rng = np.random.default_rng(2)
+    lines = [(rng.integers(10, 90, n), rng.normal(size=(n, len(quality.FEATURES))).astype(np.float32), int(n % 2)) for n in (20_001, 30, 31)]
+    chain = quality._Chain
+    steps = []
+    try:
+        quality._Chain = lambda doc: steps.append(chain(doc)) or steps[-1]
+        quality.fit(lines, steps=1)
+    finally:
+        quality._Chain = chain
+    assert len(steps[0].active) == 128
+
+
 def test_chain_equals_enumeration():
     rng = np.random.default_rng(6)
     doc = np.repeat([0, 1, 2], [1, 4, 3])

@@ -31,7 +31,8 @@ BANDS, ROWS = 48, 7
 _BINS = BANDS * ROWS
 #: For every bin the order in which an empty one asks the others.
 _PROBES = np.argsort(np.random.default_rng(9).random((_BINS, _BINS)), axis=0)
-_NO_ID = -(2**63)
+#: Stands for a missing doc_id.
+NO_ID = -(2**63)
 #: Sets in a block of a shingle that many have; parts that the rows of a shingle are dealt over to meet a table of shingles.
 BLOCK_SETS, SALTS = 1_024, 16
 
@@ -176,7 +177,7 @@ def near_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -
     text_key is xxhash64(text).  first is the struct (doc_id, text_key) of the group's document that comes
     first by both, and null without a word.  Missing doc_ids are the smallest long here.
     """
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     described = storage.materialise(slim.mapInArrow(_describe(shingle_words), "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>"), "minhash")
     found = described.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
     classes = storage.materialise(found.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
@@ -226,5 +227,5 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     """
     out = near_groups(docs, shingle_words=shingle_words, percent=percent)
     component = F.coalesce("first.doc_id", "doc_id")
-    real = lambda c: F.when(c != _NO_ID, c)
+    real = lambda c: F.when(c != NO_ID, c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))

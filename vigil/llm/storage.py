@@ -14,9 +14,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir.  Only where it is unset, as in tests, a local one is made."""
+    """The folder in spark.checkpoint.dir.  Where it is unset and all runs in one process, as in tests, a local one is made."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     application = spark.sparkContext.applicationId
     if application not in _OWN:
         _OWN[application] = "file://" + tempfile.mkdtemp(prefix="vigil-")
@@ -28,12 +30,20 @@ def fresh_name(name: str) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; release() deletes all of them."""
+    """A fresh path below the shared folder.  release() deletes all of them, and at the latest the driver's end does."""
     path = f"{shared_dir(spark)}/vigil/{fresh_name(name)}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    hadoop, files = _file_system(spark, path)
+    files.mkdirs(hadoop.getParent())
+    files.deleteOnExit(hadoop)
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet once and reads it back: later plans start from the files, which outlive executors."""
     path = new_path(df.sparkSession, name)
@@ -42,8 +52,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    hadoop, files = _file_system(spark, path)
+    files.delete(hadoop, True)
 
 
 @contextmanager
