@@ -10,7 +10,7 @@ import functools
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vigil.llm import minhash, packing, pii, quality, storage, substrings
 from vigil.llm.queries import GOOD, fit_quality, table
@@ -32,7 +32,10 @@ _LEFT: dict[str, list[str]] = {}
 
 
 def _stage(work: Stage) -> Stage:
-    """Deletes what the stage before has left in the shared folder: its result is written by now."""
+    """Deletes what the stage before has left in the shared folder.
+
+    So the result of a stage must be written before the next stage is called, as run() does; frames that are not written are lost then.
+    """
 
     @functools.wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +59,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest doc_id.
 
-    Documents without a word, and those that link with nothing, all stay.
+    Of several rows with that doc_id the text decides, and of fully equal ones any one stays.  A row is judged by its own text, whatever other
+    rows have its doc_id or none.  Documents without a word, and those that link with nothing, all stay.
     """
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    found = minhash.near_groups(docs).where("first is not null").groupBy("doc_id", "text_key").agg(F.any_value("first").alias("first"), F.count("*").alias("n"))
+    goes = (F.col("first") != F.struct("doc_id", "text_key")).alias("goes")
+    odd = found.select(F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_text"), "n", goes).where("goes or n > 1")
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(minhash.NO_ID)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    joined = keyed.join(odd, (F.col("id") == F.col("its_id")) & (F.col("key") == F.col("its_text")), "left").where(~F.coalesce("goes", F.lit(False)))
+    one = joined.where("n > 1").withColumn("place", F.row_number().over(Window.partitionBy("id", "key").orderBy(F.xxhash64("row")))).where("place = 1")
+    return joined.where("n is null or n = 1").select("row.*").unionByName(one.select("row.*"))
 
 
 @_stage
