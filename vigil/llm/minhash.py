@@ -135,11 +135,11 @@ def _shingles(size: int):
     return run
 
 
-def _meet(rows: DataFrame, shingles: DataFrame) -> DataFrame:
-    """The join of rows (node, shingle) and a row for each shingle, without all rows of a shingle in one task."""
+def _meet(rows: DataFrame, table: DataFrame, key: str = "shingle") -> DataFrame:
+    """The join of rows (node, key) and a table with one row a key, without all rows of a key in one task."""
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-    return rows.select("*", salt).join(shingles.select("*", every), ["shingle", "salt"]).drop("salt")
+    return rows.select("*", salt).join(table.select("*", every), [key, "salt"]).drop("salt")
 
 
 def _rarest_first(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -207,9 +207,9 @@ def near_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -
     open_ = storage.materialise(labelled.join(mixed, "key", "left_semi").select("node", "n_shingles", "component").distinct(), "open")
     rest = _rarest_first(open_, texts, shingle_words, percent).join(stars, ["a", "b"], "left_anti")
     groups = components(linked.unionByName(links(rest)))
-    named = classes.select("digest", "node", "first").join(groups, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
-    first = named.groupBy("component").agg(F.min("first").alias("first"))
-    named = named.drop("first").join(first, "component").select("digest", "first")
+    first = classes.select("node", "first").join(groups, "node").groupBy("component").agg(F.min("first").alias("its_first"))
+    to_first = _meet(groups, first, "component").select("node", "its_first")
+    named = classes.select("digest", "node", "first").join(to_first, "node", "left").select("digest", F.coalesce("its_first", "first").alias("first"))
     return described.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest", "left").drop("digest")
 
 
