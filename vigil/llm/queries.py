@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import bpe, embedding_dedup, minhash, packing, pii, quality, storage, substrings, urls, vptree, warc_zip
+from .sql import ORACLE_SQL as ORACLE_SQL
 from .urls import ALLOW, BLOCK, Rule
 
 
@@ -103,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+

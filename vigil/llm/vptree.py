@@ -131,7 +131,9 @@ class Part:
         if not search.pairs:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
         who, what = (np.concatenate(c) for c in zip(*search.pairs, strict=True))
-        score = (q[who] * self.vectors[what]).sum(axis=1)
+        score = np.zeros(len(who))
+        for d in range(q.shape[1]):  # one component after the other, as any plain loop adds them
+            score += q[who, d] * self.vectors[what, d]
         keep = score >= search.best[who].min(axis=1) - _SLACK
         who, what, score = who[keep], what[keep], score[keep]
         n = self.size[what]
