@@ -62,6 +62,11 @@ def cycle(value: Column, last: int) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
+def json_fields(text: Column, fields: str) -> Column:
+    """Typed fields of a JSON text; null where the text is none."""
+    return F.from_json(text, fields)
+
+
 def symbol_list(text: Column) -> Column:
     """The distinct symbols of a comma-separated text, in upper case and order."""
     parts = F.transform(F.split(text, ","), lambda s: F.upper(F.trim(s)))

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 def with_position(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
     """Adds each row's place from 0.  Rows are dealt by range and sorted; only the sizes of the ranges are gathered."""
-    ranged = df.sort(*order).select("*", F.monotonically_increasing_id().alias("_id")).cache()  # both uses see the same ranges
+    ranged = df.sort(*order).select("*", F.monotonically_increasing_id().alias("_id"))
+    ranged = ranged.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else ranged.cache()  # both uses see the same ranges, also after a lost executor
     part = F.shiftright("_id", 33)
     sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     if not sizes:

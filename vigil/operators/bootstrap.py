@@ -6,7 +6,10 @@ engine can repeat.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vigil import constants
@@ -18,15 +21,12 @@ from vigil.plans.guard import endpoint
 def draws(spark, n: int, n_draws: int, seed: int, generator: str) -> DataFrame:
     """draw, place, position: which of n clusters (from 0) stand in each draw.
 
-    numpy's numbers are made by one generator on the driver, n_draws * n of them; md5's where they are needed.
+    numpy's numbers come from one generator, so one task makes all of them, some draws at a time; md5's are made where they are needed.
     """
     if n < 1:
         raise ValueError("no clusters")
     if generator == "numpy":
-        index = np.random.default_rng(seed).integers(0, n, (n_draws, n))
-        import pandas as pd
-
-        return spark.createDataFrame(pd.DataFrame({"draw": np.repeat(np.arange(n_draws), n), "place": np.tile(np.arange(n), n_draws), "position": index.ravel()}))
+        return spark.range(0, 1, 1, 1).mapInArrow(_numpy_draws(n, n_draws, seed), "draw long, place long, position long")
     if generator != "md5":
         raise ValueError(f"unknown generator {generator}")
     places = spark.range(n_draws * n).select(F.expr(f"id div {n}").alias("draw"), F.expr(f"id % {n}").alias("place"))
@@ -34,6 +34,18 @@ def draws(spark, n: int, n_draws: int, seed: int, generator: str) -> DataFrame:
     return places.withColumn("position", F.conv(F.substring(text, 1, 8), 16, 10).cast("long") % n)
 
 
+def _numpy_draws(n: int, n_draws: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        list(batches)
+        rng, draw, place = np.random.default_rng(seed), 0, 0
+        while draw < n_draws:
+            here = min(n - place, 100_000)
+            yield pa.RecordBatch.from_pydict({"draw": np.full(here, draw), "place": np.arange(place, place + here), "position": rng.integers(0, n, here)})
+            draw, place = (draw + 1, 0) if place + here == n else (draw, place + here)
+
+    return run
+
+
 def _numbered(clusters: DataFrame, key: str) -> tuple[DataFrame, int]:
     """Clusters, one row a pair, with their position by key, and their number."""
     return with_position(clusters, key), clusters.count()
@@ -68,11 +80,20 @@ def bootstrap_ratio(clusters: DataFrame, key: str, numerators: list[str], denomi
 
 
 @endpoint
-def draw_sample(episodes: DataFrame, *, n: int = constants.SAMPLE_SIZE, seed: int = constants.SAMPLE_SEED) -> DataFrame:
-    """A seeded sample without replacement, in canonical order, with empty columns for a verdict."""
-    total = episodes.count()
-    picks = np.sort(np.random.default_rng(seed).choice(total, size=min(n, total), replace=False)) if total else []
-    positions = episodes.sparkSession.createDataFrame([(i + 1, int(p)) for i, p in enumerate(picks)], "sample_id int, position long")
+def draw_sample(episodes: DataFrame, *, n: int = constants.SAMPLE_SIZE, seed: int = constants.SAMPLE_SEED, generator: str = "numpy") -> DataFrame:
+    """A seeded sample without replacement, in canonical order, with empty columns for a verdict.
+
+    By numpy's choice of places, or by md5 the n places with the lowest digests of seed and place.
+    """
+    spark, total = episodes.sparkSession, episodes.count()
+    if generator == "md5":
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
+        picks = sorted(r[0] for r in spark.range(total).orderBy(digest, "id").limit(n).collect())
+    elif generator == "numpy":
+        picks = np.sort(np.random.default_rng(seed).choice(total, size=min(n, total), replace=False)) if total else []
+    else:
+        raise ValueError(f"unknown generator {generator}")
+    positions = spark.createDataFrame([(i + 1, int(p)) for i, p in enumerate(picks)], "sample_id int, position long")
     numbered = with_position(episodes.select("pair", "ts_utc", "detector", "frequency", "threshold_label"), "ts_utc", "pair", "detector", F.col("frequency").asc_nulls_last(), "threshold_label")
     blank = {c: F.lit("") for c in ("verdict", "verifier", "verified_at_utc", "evidence_citation", "notes")}
     return numbered.join(F.broadcast(positions), "position").drop("position").withColumns(blank).select("sample_id", "pair", "ts_utc", "detector", "frequency", "threshold_label", *blank)

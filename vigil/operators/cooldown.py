@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -26,11 +30,36 @@ def apply_cooldown(hits: DataFrame, keys: list[str], *, ts: str = "ts_utc", scor
     rows = hits.where(F.col(ts).isNotNull()).select(*keys, ts, score)
     if carried is not None:
         rows = rows.join(carried.select(*keys, "last"), keys, "left").where(F.col("last").isNull() | (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp")) >= seconds * 1_000_000)).drop("last")
-    hit = F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(ts).alias("t"), F.col(score).alias("s"))
-    folded = _islands(rows, keys, ts, seconds).groupBy(*keys, "_island").agg(F.sort_array(F.collect_list(hit)).alias("h"))
-    empty = F.filter("h", lambda x: F.lit(False))
-    kept = F.aggregate("h", empty, lambda kept, x: F.when((F.size(kept) == 0) | (x["at"] - F.element_at(kept, -1)["at"] >= seconds * 1_000_000), F.concat(kept, F.array(x))).otherwise(kept))
-    return folded.select(*keys, F.explode(F.when(F.size("h") == 1, F.col("h")).otherwise(kept)).alias("x")).select(*keys, F.col("x.t").alias(ts), F.col("x.s").alias(score))
+    islands = _islands(rows, keys, ts, seconds)
+    ordered = islands.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(*keys, "_island").sortWithinPartitions(*keys, "_island", "_at", score)
+    return ordered.mapInArrow(_fold([*keys, "_island"], [*keys, ts, score], seconds * 1_000_000), rows.schema).select(*keys, ts, score)
+
+
+def _fold(keys: list[str], columns: list[str], width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keeps hits of sorted rows, with the key and time of the last one kept as all its state."""
+        key = last = None
+        for batch in batches:
+            new, at = np.zeros(batch.num_rows, dtype=bool), batch.column("_at").to_numpy()
+            for c in keys:
+                codes = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = [0, *np.flatnonzero(new).tolist()] if batch.num_rows else []
+            keep = []
+            for i, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                own = tuple(batch.column(c)[i].as_py() for c in keys)
+                last, key = (last if own == key else None), own
+                while i < end:
+                    if last is not None:  # the first hit that lies far enough behind
+                        i += int(np.searchsorted(at[i:end], last + width))
+                        if i == end:
+                            break
+                    keep.append(i)
+                    last = int(at[i])
+                    i += 1
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in columns], names=columns)
+
+    return run
 
 
 def count_kept(hits: DataFrame, keys: list[str], *, ts: str = "ts_utc", seconds: int = 1800) -> DataFrame:

@@ -48,6 +48,14 @@ def candidates(scored: DataFrame, detector: str, *, ts: str, frequency: str = ""
     return rows.select("pair", F.col(ts).alias("ts_utc"), F.lit(detector).alias("detector"), F.lit(frequency).alias("frequency"), "score", F.date_format(ts, "yyyy-MM-dd").alias("day"))
 
 
+def on_day(hits: DataFrame, day: str, *, ts: str = "ts_utc", carried: DataFrame | None = None, cooldown: int = constants.COOLDOWN_SECONDS) -> DataFrame:
+    """Episodes of one day alone: scores come from all bars before it, the cooldown only from what was carried over."""
+    start = F.to_timestamp_ntz(F.lit(day))
+    own = hits.where((F.col(ts) >= start) & (F.col(ts) < start + F.expr("interval 1 day")))
+    kept = apply_cooldown(own, ["pair", "detector", "frequency"], ts=ts, seconds=cooldown, carried=carried)
+    return kept.withColumn("day", F.date_format(ts, "yyyy-MM-dd"))
+
+
 def forest_thresholds(frequency: str) -> dict[str, float]:
     return {"tau_anchor": constants.ANCHOR, "tau_star": constants.STAR[frequency]}
 

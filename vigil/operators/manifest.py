@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigil import constants
 
@@ -85,6 +85,23 @@ def taxonomy(status: Column, date: Column, today: str, *, deadline: int = consta
     return F.when(status != "404", status).when(pending, "pending").otherwise("listing gap")
 
 
+def checksum_states(files: DataFrame, published: DataFrame, *, key: str = "file") -> DataFrame:
+    """Adds source_checksum_ok to files (key, sha256): 1 if published (key, published) has the same digest, 0 if another, empty if none."""
+    state = F.when(F.coalesce("published", F.lit("")) == "", "").when(F.lower("published") == F.lower("sha256"), "1").otherwise("0")
+    return files.join(published, key, "left").withColumn("source_checksum_ok", state).drop("published")
+
+
+def fetch_status(expected: DataFrame, found: DataFrame, published: DataFrame, before: DataFrame) -> DataFrame:
+    """Status of each expected file: skipped if it was there before, ok if found with the digest published or none, else failed or 404.
+
+    found has file and sha256, published file and published, before file.
+    """
+    states = checksum_states(found.select("file", "sha256"), published)
+    joined = expected.select("file").join(states, "file", "left").join(before.select("file", F.lit(True).alias("there")), "file", "left")
+    status = F.when(F.col("there"), "skipped").when(F.col("sha256").isNull(), "404").when(F.col("source_checksum_ok") == "0", "failed").otherwise("ok")
+    return joined.select("file", status.alias("status"), F.coalesce("sha256", F.lit("")).alias("sha256"), F.coalesce("source_checksum_ok", F.lit("")).alias("source_checksum_ok"))
+
+
 def missing_files(expected: DataFrame, present: DataFrame, *, examples: int = 10) -> DataFrame:
     """The first of the expected files that are not there."""
     return expected.join(present, "file", "left_anti").select("file").orderBy("file").limit(examples)
@@ -107,6 +124,23 @@ def denominator_report(governed: DataFrame, verified: DataFrame, days: DataFrame
     return out
 
 
+def denominators_by_day(governed: DataFrame, verified: DataFrame, days: DataFrame) -> DataFrame:
+    """Per rule and day: pairs and hours, also where there are none."""
+    parts = [pair_hours_by_day(monitored_pair_days(governed, verified, rule), days).withColumn("rule", F.lit(rule)) for rule in RULES]
+    return parts[0].unionByName(parts[1]).select("rule", "day", "pairs", "hours")
+
+
+def excluded_rows(log: DataFrame, dates: tuple[str, ...] = constants.EXCLUDED_DATES) -> DataFrame:
+    """How many rows of the log each excluded date has."""
+    return log.where(F.col("date").cast("string").isin(*dates)).groupBy("date").agg(F.count("*").alias("rows"))
+
+
+def in_order(bars: DataFrame, *, seq: str = "seq") -> DataFrame:
+    """Per pair: whether times never fall in the order of the archive."""
+    before = F.lag("open_time").over(Window.partitionBy("pair").orderBy(seq))
+    return bars.select("pair", (F.col("open_time") >= before).alias("up")).groupBy("pair").agg(F.coalesce(F.bool_and("up"), F.lit(True)).alias("monotonic"))
+
+
 def bar_coverage(grid: DataFrame, bars: DataFrame) -> DataFrame:
     """Per pair: minutes, filled minutes, first and last time, and bars that repeat a time."""
     twice = bars.groupBy("pair", "open_time").count().groupBy("pair").agg(F.sum(F.col("count") - 1).alias("repeated"))

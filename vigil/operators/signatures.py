@@ -29,27 +29,25 @@ def evaluate(episodes: DataFrame, bars: DataFrame, rules: DataFrame, *, trail: i
     placed = bars.select("pair", "open_time", "high", "low", "close", "quote_volume").withColumn("pos", F.row_number().over(order).cast("int") - 1)
     sizes = placed.groupBy("pair").agg(F.count("*").cast("int").alias("n"))
     minute = F.date_trunc(cut, F.col("ts_utc")).cast("timestamp_ntz")
-    rule_rows = F.broadcast(rules)  # a handful
-    alerts = episodes.select(*ALERT).withColumn("minute", minute).withColumn("id", F.xxhash64(*ALERT))
+    longest = rules.agg(F.max("gain_window").alias("gain"), F.max("retrace_window").alias("retrace")).first()
+    alerts = episodes.select(*ALERT).withColumn("minute", minute)
     at = placed.select("pair", F.col("open_time").cast("timestamp_ntz").alias("minute"), "pos", F.col("close").alias("ref"))
-    found = alerts.select("id", "pair", "minute").distinct().join(at, ["pair", "minute"], "left").groupBy("id", "pair").agg(F.count("pos").alias("matches"), F.min("pos").alias("at"), F.min_by("ref", "pos").alias("ref"))
-    cases = found.join(sizes, "pair", "left").crossJoin(rule_rows)
-    usable = cases.where((F.col("matches") == 1) & (F.col("at") + F.col("gain_window") < F.col("n")) & (F.col("at") >= trail)).select("id", "pair", "rule", "at", "gain_window", "retrace_window")
-    # Each alert takes its bars by place: a join on pair and block of places, so that no pair is crossed with itself.
-    block = 512
+    found = alerts.select("pair", "minute").distinct().join(at, ["pair", "minute"], "left").groupBy("pair", "minute").agg(F.count("pos").alias("matches"), F.min("pos").alias("at"), F.min_by("ref", "pos").alias("ref"))
+    # Each time of an alert takes its bars once, by place: a join on pair and block of places, so that no pair is crossed with itself.
+    block, after = 512, (longest["gain"] or 0) + (longest["retrace"] or 0)
     numbered = placed.withColumn("block", F.expr(f"pos div {block}"))
-    reach = usable.withColumn("block", F.explode(F.sequence(F.expr(f"(at - {trail}) div {block}"), F.expr(f"(at + gain_window) div {block}"))))
-    near = reach.join(numbered, ["pair", "block"]).where(F.col("pos").between(F.col("at") - trail, F.col("at") + F.col("gain_window")))
-    ahead, before = F.col("pos") > F.col("at"), F.col("pos") < F.col("at")
-    high = F.when(ahead & ~F.isnan("high"), F.col("high"))
-    unknown = F.min(F.when(ahead & F.coalesce(F.isnan("high"), F.lit(True)), F.col("pos")))
-    forward = near.groupBy("id", "rule", "pair", "retrace_window").agg(
-        F.max(high).alias("peak"), F.coalesce(unknown, F.min_by(F.when(high.isNotNull(), F.col("pos")), F.when(high.isNotNull(), F.struct(-F.col("high"), "pos")))).alias("peak_pos"),
-        F.max(F.when(ahead, F.col("quote_volume"))).alias("volume"), F.percentile(F.when(before, F.col("quote_volume")), F.lit(0.5)).alias("median"),
-    )
-    later = forward.select("id", "rule", "pair", "peak_pos", "retrace_window").withColumn("block", F.explode(F.sequence(F.expr(f"(peak_pos + 1) div {block}"), F.expr(f"(peak_pos + retrace_window) div {block}"))))
-    trough = later.join(numbered, ["pair", "block"]).where(F.col("pos").between(F.col("peak_pos") + 1, F.col("peak_pos") + F.col("retrace_window"))).groupBy("id", "rule").agg(F.min("low").alias("trough"))
-    facts = cases.join(forward.drop("pair", "retrace_window"), ["id", "rule"], "left").join(trough, ["id", "rule"], "left")
+    reach = found.where((F.col("matches") == 1) & (F.col("at") >= trail)).select("pair", "at").withColumn("block", F.explode(F.sequence(F.expr(f"(at - {trail}) div {block}"), F.expr(f"(at + {after}) div {block}"))))
+    near = reach.join(numbered, ["pair", "block"]).where(F.col("pos").between(F.col("at") - trail, F.col("at") + after))
+    bar = F.when(F.col("pos") > F.col("at"), F.struct((F.col("pos") - F.col("at")).alias("o"), "high", "low", F.col("quote_volume").alias("volume")))
+    facts = near.groupBy("pair", "at").agg(F.sort_array(F.collect_list(bar)).alias("ahead"), F.percentile(F.when(F.col("pos") < F.col("at"), F.col("quote_volume")), F.lit(0.5)).alias("median"))
+    cases = found.join(sizes, "pair", "left").join(facts, ["pair", "at"], "left").crossJoin(F.broadcast(rules))  # a handful of rules
+    missing = lambda x: x["high"].isNull() | F.isnan(x["high"])
+    cases = cases.withColumn("gain_bars", F.filter("ahead", lambda x: x["o"] <= F.col("gain_window")))
+    cases = cases.withColumn("peak", F.array_max(F.transform(F.filter("gain_bars", lambda x: ~missing(x)), lambda x: x["high"])))
+    first = lambda test: F.try_element_at(F.transform(F.filter("gain_bars", test), lambda x: x["o"]), F.lit(1))
+    cases = cases.withColumn("peak_at", F.coalesce(first(missing), first(lambda x: x["high"] == F.col("peak"))))
+    later = F.filter("ahead", lambda x: (x["o"] > F.col("peak_at")) & (x["o"] <= F.col("peak_at") + F.col("retrace_window")))
+    facts = cases.withColumns({"peak_pos": F.col("at") + F.col("peak_at"), "volume": F.array_max(F.transform("gain_bars", lambda x: x["volume"])), "trough": F.array_min(F.transform(later, lambda x: x["low"]))})
     reason = (
         F.when(F.col("n").isNull(), "no bars of the pair")
         .when(F.col("matches") == 0, "time absent")
@@ -67,7 +65,7 @@ def evaluate(episodes: DataFrame, bars: DataFrame, rules: DataFrame, *, trail: i
         "volume_ok": when(F.col("volume") > F.col("volume_factor") * F.col("median")),
         "retrace_ok": when(F.col("trough") <= F.col("peak") - F.col("retrace") * (F.col("peak") - F.col("ref"))),
     }).withColumn("matched", F.col("gain_ok") & F.col("volume_ok") & F.col("retrace_ok"))
-    return alerts.join(judged.select("id", "rule", "evaluable", "reason", "gain_ok", "volume_ok", "retrace_ok", "matched"), "id").drop("id", "minute")
+    return alerts.join(judged.select("pair", "minute", "rule", "evaluable", "reason", "gain_ok", "volume_ok", "retrace_ok", "matched"), ["pair", "minute"]).drop("minute")
 
 
 @endpoint

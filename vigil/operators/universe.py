@@ -26,6 +26,16 @@ def rank_table(volumes: DataFrame, *, excluded: int = constants.TOP_EXCLUDED) ->
     return volumes.withColumn("rank", F.row_number().over(order)).withColumn("included", F.col("rank") > excluded)
 
 
+def latest_table(tables: DataFrame) -> DataFrame:
+    """The rows of the newest table of any date."""
+    newest = tables.agg(F.max("table_date").alias("table_date"))
+    return tables.join(F.broadcast(newest), "table_date", "left_semi")  # one row
+
+
+def included_symbols(table: DataFrame) -> DataFrame:
+    return table.where("included").select("symbol", "rank").orderBy("rank")
+
+
 def governing_table(days: DataFrame, tables: DataFrame) -> DataFrame:
     """Per day: the newest table_date strictly before it, or null."""
     dates = F.broadcast(tables.select("table_date").distinct())  # one row a table: a few a month

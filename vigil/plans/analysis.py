@@ -6,14 +6,16 @@ python -m vigil.plans.analysis --data DIR --out DIR [--partial-structural-check]
 from __future__ import annotations
 
 import argparse
+import functools
 import json
 import os
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigil import constants
-from vigil.operators import bootstrap, detectors, features, manifest as logs, model, signatures, timegrid, universe as members, workload
+from vigil.operators import bootstrap, builds, detectors, features, manifest as logs, model, signatures, timegrid, universe as members, workload
 from vigil.operators.cooldown import gap_audit
 from vigil.plans.provenance import provenance
 from vigil.sources import archives, sinks
@@ -28,8 +30,7 @@ def missing_days(spark: SparkSession, done: DataFrame, days: DataFrame) -> int:
 
 
 def inputs(spark: SparkSession, data: str, *, rule: str, reinstate: bool) -> dict[str, DataFrame]:
-    log = "date date, symbol string, file string, bytes long, sha256 string, source_checksum_ok string"
-    raw = archives.read_log(spark, f"{data}/manifests/pull_manifest.csv", log).withColumn("seq", F.monotonically_increasing_id())
+    raw = archives.read_manifest(spark, f"{data}/manifests/pull_manifest.csv")
     tables, days = archives.read_universe(spark, f"{data}/universe"), window_days(spark)
     governed = members.governed(days, tables, reinstated=constants.REINSTATED if reinstate else ())
     monitored = logs.monitored_pair_days(governed, logs.verified_pair_days(logs.without_dates(raw)), rule)
@@ -52,12 +53,12 @@ def baseline_episodes(grid: DataFrame, *, scope: str) -> tuple[DataFrame, DataFr
     return found[0][0].unionByName(found[1][0]), made[0].unionByName(made[1])
 
 
-def forest_episodes(spark: SparkSession, data: str, matrix_root: str, frequency: str, monitored: DataFrame) -> tuple[DataFrame, DataFrame]:
+def forest_episodes(spark: SparkSession, data: str, matrix_root: str, frequency: str, monitored: DataFrame, *, warmup_days: int = constants.WARMUP_DAYS) -> tuple[DataFrame, DataFrame]:
     trades = archives.read_trades(spark, f"{data}/raw/aggTrades")
     seconds, size = constants.BIN_SECONDS[frequency], constants.ROLLING_CHUNKS[frequency]
     days = trades.select("pair", F.to_date("ts").alias("day")).distinct()
     matrix = features.drop_nonfinite(features.feature_matrix(trades, seconds, size))
-    keep = features.scorable(trades, days, seconds, size).withColumnRenamed("bin", "date")
+    keep = features.scorable(trades, days, seconds, size, warmup_days=warmup_days).withColumnRenamed("bin", "date")
     matrix = matrix.join(keep, ["pair", "date"], "left_semi").withColumn("day", F.to_date("date")).join(monitored, ["pair", "day"], "left_semi").drop("day")
     fitted = model.fit(archives.read_matrix(spark, f"{matrix_root}/features_{frequency}.csv.gz", constants.FEATURES))
     found = detectors.candidates(model.score(fitted, matrix), "upstream_rf", ts="date", frequency=frequency)
@@ -81,7 +82,7 @@ def full_analysis(spark: SparkSession, args: argparse.Namespace) -> int:
     grid = grids(spark, args.data, monitored)
     found, made = baseline_episodes(grid, scope=args.grid_scope)
     for frequency in args.frequencies:
-        more = forest_episodes(spark, args.data, args.matrix, frequency, monitored)
+        more = forest_episodes(spark, args.data, args.matrix, frequency, monitored, warmup_days=args.warmup_days)
         found, made = found.unionByName(more[0]), made.unionByName(more[1])
     out = args.out
     sinks.write_candidates(found, f"{out}/candidates", format="parquet", provenance=None)
@@ -108,26 +109,64 @@ def full_analysis(spark: SparkSession, args: argparse.Namespace) -> int:
     }
     if names:
         results["intervals"] = bootstrap.bootstrap_ratio(by_pair, "pair", names, "hours")
+    if os.path.isdir(f"{args.data}/raw/aggTrades") or "://" in args.data:
+        results["feature_build_log"] = build_logs(spark, args, monitored)
     for name, df in results.items():
         sinks.write_table(df, f"{out}/{name}", stamp)
+    monitored.unpersist()
     return 0
 
 
+def build_logs(spark: SparkSession, args: argparse.Namespace, monitored: DataFrame) -> DataFrame:
+    """The build log of the monitored pair-days at all frequencies."""
+    trades = archives.read_trades(spark, f"{args.data}/raw/aggTrades")
+    logs_ = [builds.build_log(trades, constants.BIN_SECONDS[f], constants.ROLLING_CHUNKS[f], warmup_days=args.warmup_days).withColumn("frequency", F.lit(f)) for f in args.frequencies]
+    keys = monitored.select(F.col("pair").alias("symbol"), "day")
+    return functools.reduce(DataFrame.unionByName, logs_).join(keys, ["symbol", "day"], "left_semi")
+
+
 def structural_check(spark: SparkSession, args: argparse.Namespace) -> int:
     """Facts about inputs and form, without any endpoint."""
     os.environ["VIGIL_STRUCTURAL_ONLY"] = "1"
     tables = inputs(spark, args.data, rule=args.pair_hours_rule, reinstate=not args.exclude_amendment2_pairs)
     monitored = tables["monitored"].select("pair", "day")
-    facts = {"membership": members.membership_sizes(tables["tables"]), "pair_days": monitored.agg(F.count("*").alias("pair_days"), F.count_distinct("pair").alias("pairs"))}
+    days, governed = tables["days"], tables["governed"]
+    verified = logs.verified_pair_days(logs.without_dates(tables["manifest"]))
+    sample = builds.sample_pair_days(monitored, n=args.sample_pair_days)
+
+    def files() -> DataFrame:
+        pairs = monitored.select("pair", F.col("day").cast("string").alias("day"))
+        need = pairs.select(F.explode(F.array(logs.trades_file(F.col("pair"), F.col("day")), logs.bars_file(F.col("pair"), F.col("day")))).alias("file"))
+        return logs.missing_files(need, archives.present_files(spark, f"{args.data}/raw"))
+
+    def episodes() -> DataFrame:
+        return baseline_episodes(grids(spark, args.data, sample), scope=args.grid_scope)[1]
+
+    stages: dict[str, Callable[[], DataFrame]] = {
+        "membership": lambda: members.membership_sizes(tables["tables"]),
+        "pair_days": lambda: monitored.agg(F.count("*").alias("pair_days"), F.count_distinct("pair").alias("pairs")),
+        "denominators": lambda: logs.denominator_report(governed, verified, days),
+        "denominators_by_day": lambda: logs.denominators_by_day(governed, verified, days).orderBy("rule", "day"),
+        "excluded": lambda: logs.excluded_rows(tables["manifest"]), "missing_files": files, "sample": lambda: sample,
+    }
     if not args.skip_detectors:
-        grid = grids(spark, args.data, monitored)
-        _, made = baseline_episodes(grid, scope=args.grid_scope)
-        facts["coverage"] = logs.bar_coverage(grid, archives.read_bars(spark, f"{args.data}/raw/klines"))
-        facts["cooldown"] = gap_audit(made, ["pair", "detector", "threshold_label"]).agg(F.bool_and("respected").alias("respected"))
-    stamp = provenance("structural")
-    for name, df in facts.items():
-        sinks.write_table(df, f"{args.out}/{name}", stamp)
-    print(json.dumps(stamp))
+        bars = f"{args.data}/raw/klines"
+        stages |= {
+            "coverage": lambda: logs.bar_coverage(grids(spark, args.data, sample), archives.read_bars(spark, bars).join(sample.select("pair"), "pair", "left_semi")),
+            "builds": lambda: builds.rollup(build_logs(spark, args, sample)), "facts": lambda: builds.validate(episodes()),
+            "cooldown": lambda: gap_audit(episodes(), ["pair", "detector", "threshold_label"]).agg(F.coalesce(F.bool_and("respected"), F.lit(True)).alias("respected")),
+        }
+    stamp, done, errors = provenance("structural"), {}, []
+    for name, make in stages.items():
+        try:
+            sinks.write_table(make(), f"{args.out}/{name}", stamp)
+            done[name] = spark.read.csv(f"{args.out}/{name}", header=True)
+        except Exception as error:  # one broken archive must not hide the other facts
+            errors.append((name, repr(error)[:1000]))
+    failed = spark.createDataFrame(errors, "stage string, error string")
+    sinks.write_table(failed, f"{args.out}/errors", stamp)
+    sinks.markdown({**done, "errors": failed}, f"{args.out}/summary", title="Structural check")
+    print(json.dumps({**stamp, "errors": len(errors)}))
     return 0
 
 
@@ -142,6 +181,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--grid-scope", choices=("continuous", "day"), default="continuous")
     parser.add_argument("--skip-detectors", action="store_true")
     parser.add_argument("--exclude-amendment2-pairs", action="store_true")
+    parser.add_argument("--warmup-days", type=int, default=constants.WARMUP_DAYS)
+    parser.add_argument("--sample-pair-days", type=int, default=constants.STRUCTURAL_SAMPLE)
     parser.add_argument("--manual-sample", type=int, default=constants.SAMPLE_SIZE)
     args = parser.parse_args(argv)
     args.frequencies = args.frequencies or list(constants.BIN_SECONDS)

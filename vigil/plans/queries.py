@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigil.functions import numeric
-from vigil.operators import bootstrap, cooldown, detectors, features, manifest as logs, model, signatures, timegrid, universe as members, workload
+from vigil.operators import bootstrap, builds, cooldown, detectors, features, manifest as logs, model, signatures, timegrid, universe as members, workload
 from vigil.plans import sql
 from vigil.plans.tables import COOLDOWN_DAYS, DAY, alerts, brand_bars, daily_bars, daily_grid, hits, manifest, table, trades, universe, weeks
 
@@ -244,7 +244,7 @@ def detector_agreement(spark, sf):
 
 
 _BY_PAIR = f"WITH RECURSIVE {sql.ALERTS}, c AS (SELECT p.pair, count(*) FILTER (a.detector = 'volume_zscore') AS z, count(*) FILTER (a.detector = 'price_jump') AS j, 720.0 AS hours FROM (SELECT DISTINCT pair FROM trades) p LEFT JOIN alerts a USING (pair) GROUP BY p.pair), n AS (SELECT *, row_number() OVER (ORDER BY pair) - 1 AS position, (SELECT count(*) FROM c) AS k FROM c)"
-_DRAWS = "draws AS (SELECT b AS draw, ('0x' || substr(md5('20260722|' || b || '|' || i), 1, 8))::bigint % (SELECT count(*) FROM c) AS position FROM range(200) t(b), (SELECT unnest(range((SELECT count(*) FROM c))) AS i))"
+_DRAWS = "draws AS (SELECT b AS draw, ('0x' || substr(md5('20260722|' || b || '|' || i), 1, 8))::bigint % (SELECT count(*) FROM c) AS position FROM range(2000) t(b), (SELECT unnest(range((SELECT count(*) FROM c))) AS i))"
 
 
 def _by_pair(spark, sf):
@@ -258,23 +258,89 @@ def _by_pair(spark, sf):
     " SELECT stream, round((SELECT sum(CASE v.stream WHEN 'z' THEN z ELSE j END) * 1000.0 / sum(hours) FROM c), 6) AS rate, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) AS n_draws FROM v GROUP BY stream"
 )
 def bootstrap_rate(spark, sf):
-    out = bootstrap.bootstrap_ratio(_by_pair(spark, sf), "pair", ["z", "j"], "hours", n_draws=200, generator="md5")
+    out = bootstrap.bootstrap_ratio(_by_pair(spark, sf), "pair", ["z", "j"], "hours", generator="md5")
     return out.withColumns({c: _six(c) for c in ("rate", "low", "high")})
 
 
 @query(f"{_BY_PAIR}, {_DRAWS}, s AS (SELECT draw, sum(z)::double / max(k) AS value FROM draws JOIN n USING (position) GROUP BY draw) SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) AS n_draws FROM s")
 def bootstrap_mean(spark, sf):
-    return bootstrap.bootstrap_mean(_by_pair(spark, sf), "pair", "z", n_draws=200, generator="md5").withColumns({c: _six(c) for c in ("low", "high")})
+    return bootstrap.bootstrap_mean(_by_pair(spark, sf), "pair", "z", generator="md5").withColumns({c: _six(c) for c in ("low", "high")})
 
 
 @query()
 def bootstrap_rate_numpy(spark, sf):
-    return bootstrap.bootstrap_ratio(_by_pair(spark, sf), "pair", ["z", "j"], "hours", n_draws=200)
+    return bootstrap.bootstrap_ratio(_by_pair(spark, sf), "pair", ["z", "j"], "hours")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {sql.ALERTS}, o AS (SELECT *, row_number() OVER (ORDER BY day, pair, detector) - 1 AS place FROM alerts), picked AS (SELECT * FROM o ORDER BY md5('20260722|' || place), place LIMIT 100)"
+    " SELECT (row_number() OVER (ORDER BY place))::int AS sample_id, pair, day::varchar AS day, detector, '' AS verdict FROM picked"
+)
 def manual_sample(spark, sf):
-    return bootstrap.draw_sample(alerts(spark, sf))
+    return bootstrap.draw_sample(alerts(spark, sf), generator="md5").select("sample_id", "pair", _day().alias("day"), "detector", "verdict")
+
+
+# Ingestion and builds
+
+
+@query(f"WITH {sql.UNIVERSE} SELECT symbol, rank FROM universe WHERE table_date = (SELECT max(table_date) FROM universe) AND rank > 50")
+def latest_table(spark, sf):
+    return members.included_symbols(members.latest_table(universe(spark, sf)))
+
+
+_KNOWN = f"WITH {sql.MANIFEST}, expected AS (SELECT file, sha256, CASE WHEN seq % 5 = 0 THEN '' WHEN seq % 7 = 0 THEN 'other' ELSE sha256 END AS side FROM manifest WHERE status <> '404')"
+
+
+@query(f"{_KNOWN} SELECT file, sha256, CASE WHEN side = '' THEN '' WHEN side = sha256 THEN '1' ELSE '0' END AS source_checksum_ok FROM expected")
+def checksum_states(spark, sf):
+    rows = manifest(spark, sf).where("status <> '404'").withColumn("key", F.col("seq"))
+    files = rows.select("file", "sha256", "key")
+    side = rows.where("seq % 5 <> 0").select("key", F.when(F.col("seq") % 7 == 0, "other").otherwise(F.col("sha256")).alias("published"))
+    return logs.checksum_states(files, side, key="key").drop("key")
+
+
+@query(f"WITH {sql.MONITORED} SELECT rule, day::varchar AS day, count(symbol) AS pairs, 24.0 * count(symbol) AS hours FROM (SELECT 'verified-archive' AS rule, day, symbol FROM weeks LEFT JOIN monitored USING (day) UNION ALL SELECT 'universe-membership', day, symbol FROM weeks LEFT JOIN governed USING (day)) GROUP BY ALL")
+def denominators_by_day(spark, sf):
+    return logs.denominators_by_day(_governed(spark, sf), logs.verified_pair_days(manifest(spark, sf)), weeks(spark, sf)).withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"WITH {sql.MANIFEST} SELECT date::varchar AS date, count(*) AS rows FROM manifest WHERE date IN (DATE '1996-07-22', DATE '1997-03-03') GROUP BY date")
+def excluded_rows(spark, sf):
+    return logs.excluded_rows(manifest(spark, sf), ("1996-07-22", "1997-03-03")).withColumn("date", F.col("date").cast("string"))
+
+
+_BUILDS = (
+    f"WITH {sql.BINS}, b AS (SELECT pair AS symbol, bin::date AS day, bin, lag(bin::date, 5) OVER (PARTITION BY pair ORDER BY bin) AS first FROM bins),"
+    " per AS (SELECT symbol, day, count(*) AS rows, count(*) FILTER (day - first <= 14) AS scorable FROM b GROUP BY ALL)"
+)
+
+
+@query(f"{_BUILDS} SELECT symbol, day::varchar AS day, rows AS n_rows_target_day, scorable AS n_rows_scored, scorable > 0 AS warmup_sufficient FROM per")
+def build_log(spark, sf):
+    out = builds.build_log(trades(spark, sf), SIX_HOURS, 5, warmup_days=14)
+    return out.withColumn("day", F.col("day").cast("string")).select("symbol", "day", "n_rows_target_day", "n_rows_scored", "warmup_sufficient")
+
+
+@query(f"{_BUILDS} SELECT 'six hours' AS frequency, count(*) AS builds, sum(rows)::bigint AS n_rows_target_day, sum(scorable)::bigint AS n_rows_scored, max(rows) AS most_rows, bool_and(scorable > 0) AS all_sufficient, count(*) FILTER (scorable = 0) AS builds_without_rows FROM per")
+def build_rollup(spark, sf):
+    out = builds.build_log(trades(spark, sf), SIX_HOURS, 5, warmup_days=14).withColumn("frequency", F.lit("six hours"))
+    return builds.rollup(out).select("frequency", "builds", "n_rows_target_day", "n_rows_scored", "most_rows", "all_sufficient", "builds_without_rows")
+
+
+@query(f"WITH {sql.SCORED}, f AS (SELECT pair, detector, min(day) AS day FROM hits WHERE day >= DATE '2024-01-15' AND day < DATE '2024-01-16' GROUP BY ALL) SELECT pair, detector, day::varchar AS day FROM f")
+def target_day_episodes(spark, sf):
+    own = hits(spark, sf).withColumns({"frequency": F.lit(""), "day": F.date_format("ts_utc", "yyyy-MM-dd")})
+    return detectors.on_day(own, "2024-01-15").select("pair", "detector", "day")
+
+
+@query("SELECT (row_number() OVER (ORDER BY place))::int AS sample_id, event_id FROM (SELECT * FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events) ORDER BY md5('20260723|' || place), place LIMIT 30)")
+def gate_events(spark, sf):
+    return builds.sample_rows(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"], n=30, seed=20260723).select("sample_id", "event_id")
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events")
+def json_fields(spark, sf):
+    return table(spark, sf, "events").select("event_id", numeric.json_fields(F.col("props"), "k bigint")["k"].alias("k"))
 
 
 # Universe and manifests
@@ -287,11 +353,11 @@ def universe_rank(spark, sf):
 
 @query(f"WITH {sql.GOVERNED} SELECT day::varchar AS day, table_date::varchar AS table_date FROM governing")
 def governing_table_asof(spark, sf):
-    return members.governing_table(weeks(spark), universe(spark, sf)).select(F.col("day").cast("string").alias("day"), F.col("table_date").cast("string").alias("table_date"))
+    return members.governing_table(weeks(spark, sf), universe(spark, sf)).select(F.col("day").cast("string").alias("day"), F.col("table_date").cast("string").alias("table_date"))
 
 
 def _governed(spark, sf):
-    return members.governed(weeks(spark), universe(spark, sf), reinstated=("C1", "C2"), last_defective="1996-07-01")
+    return members.governed(weeks(spark, sf), universe(spark, sf), reinstated=("C1", "C2"), last_defective="1996-07-01")
 
 
 def _monitored(spark, sf):
@@ -378,7 +444,7 @@ def verified_division(spark, sf):
 
 @query(f"WITH {sql.MONITORED} SELECT w.day::varchar AS day, count(m.symbol) AS pairs, 24.0 * count(m.symbol) AS hours FROM weeks w LEFT JOIN monitored m USING (day) GROUP BY ALL")
 def pair_hours_by_day(spark, sf):
-    return logs.pair_hours_by_day(_monitored(spark, sf), weeks(spark)).withColumn("day", F.col("day").cast("string"))
+    return logs.pair_hours_by_day(_monitored(spark, sf), weeks(spark, sf)).withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"WITH {sql.MONITORED} SELECT symbol, 24.0 * count(*) AS hours FROM monitored GROUP BY symbol")
@@ -388,7 +454,7 @@ def pair_hours_by_pair(spark, sf):
 
 @query(f"WITH {sql.MONITORED}, both_rules AS (SELECT 'verified-archive' AS rule, day, symbol FROM monitored UNION ALL SELECT 'universe-membership', day, symbol FROM governed) SELECT rule, count(symbol) AS pair_days, 24.0 * count(symbol) AS pair_hours, count(DISTINCT symbol) AS pairs FROM (SELECT unnest(['verified-archive', 'universe-membership']) AS rule) LEFT JOIN both_rules USING (rule) GROUP BY rule")
 def denominator_report(spark, sf):
-    return logs.denominator_report(_governed(spark, sf), logs.verified_pair_days(manifest(spark, sf)), weeks(spark))
+    return logs.denominator_report(_governed(spark, sf), logs.verified_pair_days(manifest(spark, sf)), weeks(spark, sf))
 
 
 @query(f"WITH {sql.MANIFEST}, present AS (SELECT DISTINCT date, file FROM manifest WHERE seq % 3 = 0) SELECT seq FROM manifest m WHERE status = 'ok' OR status = 'skipped' AND sha256 <> '' AND NOT EXISTS (SELECT 1 FROM present p WHERE p.date = m.date AND p.file = m.file)")
@@ -411,16 +477,17 @@ def status_taxonomy(spark, sf):
     return last.groupBy(logs.taxonomy(F.col("status"), F.col("date"), TODAY).alias("state")).agg(F.count("*").alias("files"))
 
 
-@query(f"WITH {sql.MANIFEST}, done AS (SELECT DISTINCT date AS day FROM manifest WHERE status = 'ok') SELECT day::varchar AS day FROM (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1996-03-31', INTERVAL 1 DAY))::date AS day) ANTI JOIN done USING (day)")
+@query(f"WITH {sql.MANIFEST}, done AS (SELECT DISTINCT date AS day FROM manifest WHERE status = 'ok') SELECT day::varchar AS day FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::date AS day FROM manifest) ANTI JOIN done USING (day)")
 def outstanding_days(spark, sf):
     done = manifest(spark, sf).where("status = 'ok'").select(F.col("date").alias("day")).distinct()
-    return logs.outstanding_days("1996-01-01", "1996-03-31", done).select(F.col("day").cast("string").alias("day"))
+    first, last = manifest(spark, sf).agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    return logs.outstanding_days(first, last, done).select(F.col("day").cast("string").alias("day"))
 
 
-@query(f"WITH {sql.MANIFEST}, days AS (SELECT DISTINCT date, symbol FROM manifest WHERE date < DATE '1996-03-01'), need AS (SELECT symbol || '-aggTrades-' || date::varchar || '.zip' AS file FROM days UNION ALL SELECT symbol || '-1m-' || date::varchar || '.zip' FROM days) SELECT file FROM need WHERE file NOT IN (SELECT file FROM manifest WHERE status = 'ok') ORDER BY file LIMIT 10")
+@query(f"WITH {sql.MANIFEST}, days AS (SELECT DISTINCT date, symbol FROM manifest), need AS (SELECT symbol || '-aggTrades-' || date::varchar || '.zip' AS file FROM days UNION ALL SELECT symbol || '-1m-' || date::varchar || '.zip' FROM days) SELECT file FROM need WHERE file NOT IN (SELECT file FROM manifest WHERE status = 'ok') ORDER BY file LIMIT 10")
 def missing_examples(spark, sf):
     rows = manifest(spark, sf)
-    days = rows.where("date < '1996-03-01'").select(F.col("date").cast("string").alias("day"), "symbol").distinct()
+    days = rows.select(F.col("date").cast("string").alias("day"), "symbol").distinct()
     need = days.select(F.explode(F.array(logs.trades_file(F.col("symbol"), F.col("day")), logs.bars_file(F.col("symbol"), F.col("day")))).alias("file"))
     return logs.missing_files(need, rows.where("status = 'ok'").select("file").distinct())
 

@@ -43,7 +43,7 @@ KEPT = """kept AS (
   SELECT h.pair, h.detector, min(h.day) FROM kept a JOIN hits h ON h.pair = a.pair AND h.detector = a.detector AND h.day >= a.day + 3
   GROUP BY h.pair, h.detector, a.day)"""
 ALERTS = SCORED + ", " + KEPT + ", alerts AS (SELECT k.*, h.score FROM kept k JOIN hits h USING (pair, detector, day))"
-UNIVERSE = """dates AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1998-01-01', INTERVAL 3 MONTH))::date AS table_date),
+UNIVERSE = """dates AS (SELECT unnest(generate_series(date_trunc('quarter', min(o_orderdate)), date_trunc('quarter', max(o_orderdate)), INTERVAL 3 MONTH))::date AS table_date FROM orders),
 volumes AS (SELECT table_date, 'C' || o_custkey AS symbol, sum(o_totalprice::decimal(18,2)) AS volume FROM orders
   JOIN dates ON o_orderdate::date >= table_date - 90 AND o_orderdate::date < table_date GROUP BY ALL),
 universe AS (SELECT *, row_number() OVER (PARTITION BY table_date ORDER BY volume DESC, symbol) AS rank FROM volumes)"""
@@ -56,8 +56,8 @@ MANIFEST = """manifest AS (SELECT o_orderkey * 2 + k AS seq, date_trunc('week',
 GOVERNED = (
     UNIVERSE
     + """,
-weeks AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1997-12-29', INTERVAL 7 DAY))::date AS day),
-governing AS (SELECT day, max(table_date) AS table_date FROM weeks LEFT JOIN dates ON table_date < day GROUP BY day),
+weeks AS (SELECT unnest(generate_series(date_trunc('week', min(o_orderdate)), date_trunc('week', max(o_orderdate)), INTERVAL 7 DAY))::date AS day FROM orders),
+governing AS (SELECT day, max(table_date) AS table_date FROM weeks LEFT JOIN (SELECT DISTINCT table_date FROM universe) ON table_date < day GROUP BY day),
 listed AS (SELECT g.day, g.table_date, symbol, rank FROM governing g JOIN universe u ON g.table_date = u.table_date WHERE rank > 50),
 governed AS (SELECT * FROM listed UNION ALL
   SELECT g.day, g.table_date, x.symbol, NULL FROM governing g, (SELECT unnest(['C1', 'C2']) AS symbol) x

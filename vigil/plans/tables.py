@@ -11,7 +11,6 @@ from vigil.operators.universe import rank_table
 
 DAY = 86_400
 COOLDOWN_DAYS, Z_DAYS, Z_HIT, JUMP_HIT = 3, 7, 1.5, 0.5
-TABLE_DATES, WEEKS = ("1996-01-01", "1998-01-01"), ("1996-01-01", "1997-12-29")
 STREAMS = {"volume_zscore": "volume_zscore", "price_jump": "price_jump"}
 
 
@@ -53,14 +52,20 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as symbols, ranked each quarter by their orders of the 90 days before."""
-    dates = F.broadcast(spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(TABLE_DATES[0])), F.to_date(F.lit(TABLE_DATES[1])), F.expr("interval 3 month"))).alias("table_date")))
+    dates = F.broadcast(_span(spark, sf_dir, "quarter").select(F.explode(F.sequence("first", "last", F.expr("interval 3 month"))).alias("table_date")))
     day = F.to_date("o_orderdate")
     volumes = table(spark, sf_dir, "orders").join(dates, (day >= F.date_sub("table_date", 90)) & (day < F.col("table_date"))).groupBy("table_date", F.concat(F.lit("C"), "o_custkey").alias("symbol")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("volume"))
     return rank_table(volumes)
 
 
-def weeks(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(WEEKS[0])), F.to_date(F.lit(WEEKS[1])), F.expr("interval 7 day"))).alias("day"))
+def _span(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
+    """One row: the first and the last order's quarter or week."""
+    at = lambda of: F.to_date(F.date_trunc(unit, of("o_orderdate")))
+    return table(spark, sf_dir, "orders").agg(at(F.min).alias("first"), at(F.max).alias("last"))
+
+
+def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span(spark, sf_dir, "week").select(F.explode(F.sequence("first", "last", F.expr("interval 7 day"))).alias("day"))
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,25 @@ def read_log(spark: SparkSession, path: str, columns: str) -> DataFrame:
     return spark.read.schema(columns).csv(path, header=True, nullValue="\0", emptyValue="")
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The pull manifest with seq, the order of its rows: its own column, or in a plain file the place of the row."""
+    columns = "date date, symbol string, file string, bytes long, sha256 string, source_checksum_ok string"
+    if "seq" in spark.read.csv(path, header=True).columns:
+        return read_log(spark, path, columns + ", seq long")
+    return read_log(spark, path, columns).withColumn("seq", F.monotonically_increasing_id())
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    schema = "pair string, ts_utc timestamp_ntz, detector string, frequency string, score double, day string"
+    return spark.read.schema(schema).csv(path, header=True).withColumn("frequency", F.coalesce("frequency", F.lit("")))
+
+
+def present_files(spark: SparkSession, path: str) -> DataFrame:
+    """The names of all archives below a folder; their content is not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file")).distinct()
+
+
 def read_episodes(spark: SparkSession, path: str) -> DataFrame:
     schema = "pair string, ts_utc timestamp_ntz, detector string, threshold double, score double, threshold_label string, frequency string, ts_available_utc timestamp_ntz, day string"
     return spark.read.schema(schema).csv(path, header=True).withColumn("frequency", F.coalesce("frequency", F.lit("")))

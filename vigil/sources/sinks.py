@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, functions as F
 
 from vigil import constants
+from vigil.functions.positions import with_position
 
 
 def stamp(df: DataFrame, provenance: dict[str, str]) -> DataFrame:
@@ -27,7 +30,26 @@ def write_candidates(df: DataFrame, path: str, **options) -> None:
 
 
 def append_log(rows: DataFrame, path: str, *, order: tuple[str, ...] = ("symbol", "file")) -> None:
-    write_table(rows.sortWithinPartitions(*order), path, mode="append")
+    """Appends rows with seq, which grows from append to append and within one by order: files of a folder have no order themselves."""
+    placed = with_position(rows.drop("seq"), *order, name="seq")
+    write_table(placed.withColumn("seq", F.col("seq") + time.time_ns() // 1000), path, mode="append")
+
+
+def write_universe(table: DataFrame, path: str) -> None:
+    """Writes a day's membership table once, and beside it the digests of its files; a table that is there is never written again."""
+    write_table(table.orderBy("rank").coalesce(1), path)
+    digests = table.sparkSession.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    digests.select(F.concat_ws("  ", "sha256", "file").alias("value")).write.text(path.rstrip("/") + ".sha256")
+
+
+def markdown(facts: dict[str, DataFrame], path: str, *, title: str, rows: int = 50) -> None:
+    """Writes the first rows of small tables as one Markdown text."""
+    lines = [f"# {title}"]
+    for name, df in facts.items():
+        lines += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " - |" * len(df.columns)]
+        lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect()]
+    spark = next(iter(facts.values())).sparkSession
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def append_new(rows: DataFrame, present: DataFrame, key: str, path: str) -> None:
