@@ -102,7 +102,7 @@ def archive_folder(spark, tmp_path):
             close = 1 + (0.5 if hot else 0) + rng.random() * 0.01
             bars.append(f"{start + 86400000 * d + 60000 * i},1,{close + 0.01},{close - 0.01},{close},5,0,{(5000 if hot else 100) + rng.random()},3,0,0,0")
         _zip(data / f"raw/klines/2026-07-{24 + d}", f"A-1m-2026-07-{24 + d}.zip", "\n".join(bars) + "\n")
-        at = [start + 86400000 * d + 25000 * i + k * (i * 7 % 3) for i in range(3456) for k in range(3)]  # in every third bin all at one time
+        at = [start + 86400000 * d + 25000 * i + k * (i * 7 % 3) for i in range(3456) for k in range(2 + i % 2)]  # in every third bin all at one time
         trades = [f"{i},{1 + rng.random() * 0.1},{1 + rng.random()},1,1,{t},False,True" for i, t in enumerate(at)]
         _zip(data / f"raw/aggTrades/2026-07-{24 + d}", f"A-aggTrades-2026-07-{24 + d}.zip", "\n".join(trades) + "\n")
     for f in ("25S",):
