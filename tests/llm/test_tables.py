@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigil.llm import embedding_dedup, packing, pii, storage, urls, vptree, warc_zip
+from vigil.llm import components as components_module, embedding_dedup, packing, pii, storage, urls, vptree, warc_zip
 from vigil.llm.components import components
 from vigil.llm.queries import URL_RULES
 
@@ -262,7 +262,9 @@ def test_links_across_cells(spark, monkeypatch, block):
         assert got == brute_links(table.collect(), 3, least)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [256, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components_module, "HUB_EDGES", hub)
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, int(x)) for x in range(101, 160)] + [tuple(map(int, e)) for e in rng.integers(200, 260, (40, 2))]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
