@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, embedding_dedup, minhash, packing, pii, quality, storage, substrings, urls, vptree, warc_zip
+from . import bpe, embedding_dedup, lloyd, minhash, packing, pii, quality, slack_packing, storage, substrings, urls, variants, vptree, warc_zip
 from .sql import ORACLE_SQL as ORACLE_SQL
 from .urls import ALLOW, BLOCK, Rule
 
@@ -91,6 +91,18 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op11_variant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1)
+
+
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op2_url_filter": op2_url_filter,
@@ -102,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_variant_groups": op11_variant_groups,
+    "op12_slack_packing": op12_slack_packing,
+    "op13_lloyd": op13_lloyd,
 }
-
-
