@@ -3,21 +3,26 @@
 Each letter has one of 63 bits, and a word's mask tells which bits occur an odd number of times.  Inserting or
 deleting a letter flips one bit, replacing one flips two (none, if both share a bit).  So of three bands of the mask one at least stays equal
 under one edit, and two do if the length changes.  Words of one length meet where a band is equal, words whose lengths differ
-by one where two bands are; the join itself drops pairs whose masks differ in too many bits, and the rest are verified.
+by one where two bands are: they go to one key, where a task compares the masks of all in blocks of numbers, and compares
+the letters of those few whose masks differ in no more bits than an edit flips.
 
 A bucket of more than BLOCK words is dealt into blocks, and each pair of blocks is a key of its own: no task takes a
-whole bucket, and no pair is made that the masks exclude.
+whole bucket, and no pair leaves a task but those that are verified.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import storage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of one bucket that meet in one key.
-BLOCK = 4_096
+#: Words of one bucket that meet in one key; from so many pairs on, a group is compared as a matrix, so many rows at once.
+BLOCK, LARGE, STRIPE = 2_048, 2_000, 256
 # Letters of Latin texts, the usual first, so that each band gets as many usual ones.
 _USUAL = "etaoinsrhldcumfpgwybvkxjqz"
 
@@ -57,38 +62,155 @@ def count_words(docs: DataFrame, *, least_letters: int = 6, least_count: int = 5
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
 
 
+def _letters(words: list[str], length: int) -> np.ndarray:
+    """Words of one length as a matrix; all letters are below U+0100."""
+    return np.frombuffer("".join(words).encode("latin-1"), dtype=np.uint8).reshape(len(words), length)
+
+
+def _one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of a and b, of equal length or b one longer, differ by one replaced or one inserted letter."""
+    n = a.shape[1]
+    if b.shape[1] == n:
+        return (a != b).sum(axis=1) == 1
+    begin = np.logical_and.accumulate(a == b[:, :n], axis=1).sum(axis=1)
+    end = np.logical_and.accumulate((a == b[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+    return begin + end >= n
+
+
+def _within(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x and y whose masks differ in at most so many bits."""
+    found = []
+    for i in range(0, len(x), STRIPE):
+        at, to = np.nonzero(np.bitwise_count(x[i : i + STRIPE, None] ^ y[None, :]) <= most)
+        found.append((at + i, to))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _candidates(masks: np.ndarray, groups: list[tuple[int, int, int, int]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs whose masks are near, from groups (left begin, left end, right begin, right end): small groups many at once."""
+    small, pairs = [], 0
+
+    def flush() -> tuple[np.ndarray, np.ndarray]:
+        g = np.array(small)
+        left, right = g[:, 1] - g[:, 0], g[:, 3] - g[:, 2]
+        n = left * right
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = np.repeat(right, n)
+        a, b = np.repeat(g[:, 0], n) + within // width, np.repeat(g[:, 2], n) + within % width
+        near = np.bitwise_count(masks[a] ^ masks[b]) <= most
+        return a[near], b[near]
+
+    for group in groups:
+        a, b, c, d = group
+        if (b - a) * (d - c) > LARGE:
+            at, to = _within(masks[a:b], masks[c:d], most)
+            yield at + a, to + c
+            continue
+        small.append(group)
+        pairs += (b - a) * (d - c)
+        if pairs > 200 * LARGE:
+            yield flush()
+            small, pairs = [], 0
+    if small:
+        yield flush()
+
+
+def _compare(parts: list[int]):
+    """Near pairs among rows that are sorted by key and side: 0 with 1, and 2 among themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            borders = _borders(table)
+            yield from compare(table.slice(0, borders[-2]), borders[:-1])
+            rest = table.slice(borders[-2])
+        if rest is not None:
+            yield from compare(rest, _borders(rest))
+
+    def _borders(table: pa.Table) -> list[int]:
+        new = np.zeros(len(table), dtype=bool)
+        for c in ("letters", "band", "value", "i", "j"):
+            x = table.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return [0, *np.flatnonzero(new).tolist(), len(table)]
+
+    def compare(table: pa.Table, borders: list[int]) -> Iterator[pa.RecordBatch]:
+        if not len(table):
+            return
+        masks = table.column("mask").to_numpy().view(np.uint64)
+        side, band, letters = (table.column(c).to_numpy() for c in ("side", "band", "letters"))
+        begins = np.array(borders[:-1])
+        shape = band[begins] // 3 + 2 * letters[begins].astype(np.int64)  # whether lengths differ, and the shorter length
+        for own in np.unique(shape).tolist():
+            longer, length = own % 2, own // 2
+            groups = []
+            for k in np.flatnonzero(shape == own).tolist():
+                a, d = borders[k], borders[k + 1]
+                right, both = (a + int(np.searchsorted(side[a:d], s)) for s in (1, 2))
+                groups += [g for g in ((a, right, right, both), (both, d, both, d)) if g[1] > g[0] and g[3] > g[2]]
+            if groups:
+                yield from verify(table, masks, side, band, groups, longer, length)
+
+    def verify(table, masks, side, band, groups, longer, length) -> Iterator[pa.RecordBatch]:
+        first, last = groups[0][0], max(g[3] for g in groups)
+        words = table.column("word").slice(first, last - first).to_pylist()
+        matrix = np.zeros((2, len(words)), dtype=np.int64)  # a word's row in the letters of its length
+        lengths = np.array([len(w) for w in words])
+        own = [_letters([w for w in words if len(w) == length + k], length + k) for k in range(longer + 1)]
+        for k in range(longer + 1):
+            at = lengths == length + k
+            matrix[k, at] = np.arange(at.sum())
+        for a, b in _candidates(masks, groups, 1 if longer else 2):
+            if not longer:  # once: in one order among themselves, and in the first band that is equal
+                differ = masks[a] ^ masks[b]
+                keep = (side[a] != 2) | (a < b)
+                for k in (1, 2):
+                    for before in range(k):
+                        keep &= (band[a] != k) | (differ & np.uint64(parts[before]) != 0)
+                a, b = a[keep], b[keep]
+            for i in range(0, len(a), step := max(1, 8_000_000 // (length + 1))):
+                x, y = a[i : i + step], b[i : i + step]
+                near = _one_edit(own[0][matrix[0, x - first]], own[longer][matrix[longer, y - first]])
+                x, y = pa.array(x[near]), pa.array(y[near])
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([_take(table, "word", x), _take(table, "n", x), _take(table, "word", y), _take(table, "n", y)], names=["a", "n_a", "b", "n_b"])
+
+    def _take(table: pa.Table, column: str, at: pa.Array) -> pa.Array:
+        return table.column(column).combine_chunks().take(at)
+
+    return run
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, n_a, b, n_b: each pair of words that one inserted, deleted or replaced letter turns into each other, once.
 
-    words (word, n) has distinct words of the letters that count_words() gives, and is read several times.
+    words (word, n) has distinct words of the letters that count_words() gives, and is read twice.
     """
-    parts = bands()
-    rows = words.select("word", "n", parity_mask(F.col("word")).alias("mask"), F.char_length("word").alias("letters"))
+    parts, block = bands(), BLOCK
     kept = [*parts, *(sum(parts) - b for b in parts)]  # a band alone, or both others
-    key = lambda k, letters: F.struct(F.lit(k).alias("band"), F.col("mask").bitwiseAND(F.lit(kept[k])).alias("value"), letters.alias("letters"))
-    same, longer = range(3), range(3, 6)
-    length = F.col("letters")
-    left = rows.select("word", "n", "mask", F.explode(F.array(*(key(k, length) for k in (*same, *longer)))).alias("key"))
-    right = rows.select("word", "n", "mask", F.explode(F.array(*(key(k, length) for k in same), *(key(k, length - 1) for k in longer))).alias("key"))
-    sizes = left.select("key", F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(right.select("key", F.lit(0), F.lit(1))).groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    large = sizes.where((F.greatest("l", "r") > BLOCK) & (F.least("l", "r") > 0)).select("key", blocks("l").alias("rows"), blocks("r").alias("columns"))
-    hashed, cells = F.xxhash64("word"), lambda n: F.sequence(F.lit(0), n - 1)
-
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        """A word's block on its own side, once for each block of the other."""
-        at = side.join(large, "key", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("rows", "columns")})
-        return at.withColumns({f"{own}_block": F.pmod(hashed, F.col(own)).cast("int"), f"{other}_block": F.explode(cells(F.col(other)))}).drop("rows", "columns")
-
-    a, b = dealt(left, "rows", "columns").alias("a"), dealt(right, "columns", "rows").alias("b")
-    differ = F.col("a.mask").bitwiseXOR(F.col("b.mask"))
-    equal = lambda k: differ.bitwiseAND(F.lit(parts[k])) == 0
-    band = F.col("a.key.band")
-    first = ((band == 0) | (band == 1) & ~equal(0) | (band == 2) & ~equal(0) & ~equal(1)) & (F.col("a.word") < F.col("b.word"))  # once, by the first equal band
-    possible = F.when(band < 3, (F.bit_count(differ) <= 2) & first).otherwise(F.bit_count(differ) == 1)
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rows_block") == F.col("b.rows_block")) & (F.col("a.columns_block") == F.col("b.columns_block")) & possible)
-    pairs = met.select(F.col("a.word").alias("a"), F.col("a.n").alias("n_a"), F.col("b.word").alias("b"), F.col("b.n").alias("n_b"))
-    return pairs.where(F.levenshtein("a", "b", 1) == 1)
+    rows = words.select("word", "n", parity_mask(F.col("word")).alias("mask"), F.char_length("word").alias("length"))
+    key = lambda k, letters, side: F.struct(letters.alias("letters"), F.lit(k).alias("band"), F.col("mask").bitwiseAND(F.lit(kept[k])).alias("value"), F.lit(side).alias("side"))
+    keys = [*(key(k, F.col("length"), 2) for k in range(3)), *(key(k, F.col("length"), 0) for k in range(3, 6)), *(key(k, F.col("length") - 1, 1) for k in range(3, 6))]
+    keyed = rows.select("word", "n", "mask", F.inline(F.array(*keys)))
+    own = ["letters", "band", "value"]
+    sizes = keyed.groupBy(*own).agg(F.count_if(F.col("side") != 1).alias("left"), F.count_if(F.col("side") != 0).alias("right")).where((F.greatest("left", "right") > block) & (F.least("left", "right") > 0))
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    dealt = keyed.join(sizes.select(*own, blocks("left").alias("rows"), blocks("right").alias("columns")), own, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("rows", "columns")})
+    number = F.pmod(F.xxhash64("word"), F.when(F.col("side") == 1, F.col("columns")).otherwise(F.col("rows"))).cast("int")
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    cells = (
+        F.when(F.col("side") == 0, F.transform(upto("columns"), lambda j: cell(F.col("at"), j, F.lit(0))))
+        .when(F.col("side") == 1, F.transform(upto("rows"), lambda i: cell(i, F.col("at"), F.lit(1))))
+        .otherwise(F.transform(upto("rows"), lambda k: cell(F.least("at", k), F.greatest("at", k), F.when(k > F.col("at"), 0).when(k < F.col("at"), 1).otherwise(2))))
+    )
+    placed = dealt.withColumn("at", number).select("word", "n", "mask", *own, F.inline(cells))
+    spark = words.sparkSession
+    order = [*own, "i", "j"]
+    together = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order, "side")
+    return together.mapInArrow(_compare(parts), "a string, n_a long, b string, n_b long")
 
 
 def roots(forms: DataFrame) -> DataFrame:
