@@ -1,0 +1,342 @@
+"""Operators that read their rows once, against plain Python."""
+
+import collections
+import datetime as dt
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import Window, functions as F
+
+from vigil.functions.positions import with_rank
+from vigil.functions.rolling import rolling_stats
+from vigil.operators import bootstrap, builds, cooldown, features, signatures, universe, workload
+from vigil.streaming.streams import stream_cooldown_by_time
+
+START = dt.datetime(2026, 8, 1)
+
+
+@pytest.fixture
+def small_batches(spark):
+    """State must outlive a batch: a key's rows come in many."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def trailing(values, size, behind):
+    """(mean, deviation) of the size values that end behind before each, by numpy."""
+    for i in range(len(values)):
+        own = values[i - behind - size + 1 : i - behind + 1] if i - behind - size + 1 >= 0 else []
+        if len(own) == size and None not in own:
+            yield float(np.mean(own)), float(np.std(own, ddof=1)) if size > 1 else 0.0, len(set(own)) == 1
+        else:
+            yield None, None, False
+
+
+@pytest.mark.parametrize(("size", "behind"), [(1, 0), (2, 0), (7, 1), (50, 0), (50, 1)])
+def test_rolling_statistics_equal_numpy(spark, size, behind):
+    rng = random.Random(size)
+    shapes = {
+        "usual": [rng.random() * 100 for _ in range(233)], "offset": [1e6 + rng.random() for _ in range(180)], "constant": [100.1] * 130, "short": [1.0] * (size - 1),
+        "steps": [float(i // 70) for i in range(300)], "gaps": [None if i % 83 == 5 else rng.random() for i in range(250)], "exactly": [rng.random() for _ in range(2 * size)],
+    }
+    rows = [(k, i, v) for k, own in shapes.items() for i, v in enumerate(own)]
+    rng.shuffle(rows)
+    df = rolling_stats(spark.createDataFrame(rows, "k string, t int, v double"), ["v"], size, ["k"], "t", behind=behind)
+    got = {(r["k"], r["t"]): (r["v_mean"], r["v_sd"]) for r in df.collect()}
+    assert df.columns == ["k", "t", "v", "v_mean", "v_sd"]
+    for k, own in shapes.items():
+        for i, (mean, sd, equal) in enumerate(trailing(own, size, behind)):
+            if mean is None:
+                assert got[k, i] == (None, None)
+            elif equal:
+                assert got[k, i] == (own[i - behind], 0.0)
+            else:
+                assert got[k, i][0] == pytest.approx(mean, rel=1e-12) and got[k, i][1] == pytest.approx(sd, rel=1e-9 if k == "offset" else 1e-12)
+
+
+def test_rolling_statistics_shuffle_once_and_by_key(spark):
+    df = rolling_stats(spark.range(100).select((F.col("id") % 3).alias("k"), "id", F.rand().alias("v")), ["v"], 10, ["k"], "id")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+# Cooldown and curves
+
+
+def greedy(times, width):
+    last, kept = None, []
+    for t in sorted(times):
+        if last is None or t - last >= width:
+            kept.append(t)
+            last = t
+    return kept
+
+
+def test_cooldown_over_many_batches_and_null_keys(spark, small_batches):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), START + dt.timedelta(seconds=rng.randrange(40_000)), rng.random()) for _ in range(600)]
+    got = cooldown.apply_cooldown(spark.createDataFrame(rows, "pair string, ts_utc timestamp_ntz, score double"), ["pair"]).collect()
+    for pair in ("a", "b", None):
+        assert [r["ts_utc"] for r in got if r["pair"] == pair] == greedy([t for p, t, _ in rows if p == pair], dt.timedelta(seconds=1800))
+
+
+def test_all_thresholds_in_one_pass_equal_a_cooldown_each(spark, small_batches):
+    rng = random.Random(2)
+    rows = [(rng.choice(["z", "j"]), rng.choice(["", "5S"]), rng.choice("abc"), START + dt.timedelta(seconds=rng.randrange(100_000)), round(rng.random(), 2)) for _ in range(900)]
+    found = spark.createDataFrame(rows, "detector string, frequency string, pair string, ts_utc timestamp_ntz, score double")
+    levels = [0.0, 0.25, 0.5, 0.5, 0.99, 2.0]
+
+    def want(detector, frequency, level):
+        own = collections.defaultdict(list)
+        for d, f, pair, t, s in rows:
+            if (d, f) == (detector, frequency) and s >= level:
+                own[pair].append(t)
+        return sum(len(greedy(times, dt.timedelta(seconds=1800))) for times in own.values())
+
+    got = workload.threshold_curve(found, spark.createDataFrame([(x,) for x in levels], "threshold double")).collect()
+    assert len(got) == 4 * 5 and all(r["alerts"] == want(r["detector"], r["frequency"], r["threshold"]) for r in got)
+    own = spark.createDataFrame([("z", "", 0.5), ("z", "", 0.9), ("j", "5S", 0.1), ("none", "", 0.1)], "detector string, frequency string, threshold double")
+    got = workload.threshold_curve(found, own).collect()
+    assert {(r["detector"], r["frequency"], r["threshold"]): r["alerts"] for r in got} == {(d, f, t): want(d, f, t) for d, f, t in [("z", "", 0.5), ("z", "", 0.9), ("j", "5S", 0.1), ("none", "", 0.1)]}
+    assert workload.threshold_curve(found.limit(0), own).agg(F.sum("alerts")).first()[0] == 0
+
+
+def test_curves_shuffle_hits_once_whatever_the_thresholds(spark):
+    found = spark.createDataFrame([("z", "", "a", START, 1.0)], "detector string, frequency string, pair string, ts_utc timestamp_ntz, score double")
+    kept = cooldown.count_kept_at(found, ["detector", "frequency", "pair"], lambda key: [0.1] * 50)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "collect_list" not in plan
+
+
+def test_score_grid_spans_the_scores(spark):
+    found = spark.createDataFrame([("z", "", 0.12), ("z", "", 0.31), ("j", "", 0.01), ("j", "", 0.02)], "detector string, frequency string, score double")
+    got = collections.defaultdict(set)
+    for r in workload.score_grid(found, step=0.1, extra=(0.5,)).collect():
+        got[r["detector"]].add(r["threshold"])
+    assert got == {"z": {0.2, 0.3, 0.5}, "j": {0.5}}
+
+
+def test_agreement_equals_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), START + dt.timedelta(seconds=rng.choice([0, 1, 30, 1800, 3600]) * rng.randrange(20)), rng.choice(["z", "j", "f"]), rng.choice(["", "5S"]), "fixed") for _ in range(200)]
+    df = spark.createDataFrame([*rows, *rows[:20]], "pair string, ts_utc timestamp_ntz, detector string, frequency string, threshold_label string")
+    got = {(r["detector_a"], r["frequency_a"], r["detector_b"], r["frequency_b"]): (r["alerts"], r["matched"]) for r in workload.agreement(df, seconds=1800).collect()}
+    streams = {r[2:4] for r in rows}
+    want = {}
+    for a in streams:
+        own = {r[:2] for r in rows if r[2:4] == a}
+        for b in streams - {a}:
+            other = [r[:2] for r in rows if r[2:4] == b]
+            want[*a, *b] = (len(own), sum(any(p == q and abs((t - u).total_seconds()) <= 1800 for q, u in other) for p, t in own))
+    assert got == want
+    assert workload.agreement(df.limit(0)).count() == 0
+
+
+# Signatures
+
+
+def judge_plainly(bars, at, rule, trail):
+    """One alert by the rule's definition, with the reasons in their order."""
+    _, gain, factor, retrace, g, r = rule
+    if not bars:
+        return "no bars of the pair"
+    places = [i for i, b in enumerate(bars) if b[0] == at]
+    if len(places) != 1:
+        return "time ambiguous" if places else "time absent"
+    p = places[0]
+    if p + g >= len(bars):
+        return "gain window cut off"
+    if p < trail:
+        return "too little before"
+    ref = bars[p][3]
+    if ref is None or ref <= 0:
+        return "reference close not positive"
+    before = [b[4] for b in bars[p - trail : p] if b[4] is not None]
+    median = float(np.median(before)) if before else None
+    if median is None or median <= 0:
+        return "median volume not positive"
+    highs = [b[1] for b in bars[p + 1 : p + 1 + g]]
+    known = [h for h in highs if h is not None]
+    peak = max(known, default=None)
+    peak_at = p + 1 + (highs.index(None) if None in highs else highs.index(peak))
+    if peak_at + r >= len(bars):
+        return "retrace window cut off"
+    volumes, lows = [b[4] for b in bars[p + 1 : p + 1 + g] if b[4] is not None], [b[2] for b in bars[peak_at + 1 : peak_at + 1 + r] if b[2] is not None]
+    gain_ok = peak is not None and peak / ref - 1 > gain
+    volume_ok = bool(volumes) and max(volumes) > factor * median
+    retrace_ok = peak is not None and bool(lows) and min(lows) <= peak - retrace * (peak - ref)
+    return gain_ok, volume_ok, retrace_ok
+
+
+@pytest.mark.parametrize("kept_bars", [50_000, 3])
+def test_signatures_equal_plain_rules(spark, monkeypatch, small_batches, kept_bars):
+    monkeypatch.setattr(signatures, "KEPT_BARS", kept_bars)
+    rng, trail = random.Random(4), 9
+    rules = (("a", 0.05, 1.5, 0.5, 3, 6), ("b", 0.10, 1.2, 0.3, 5, 4), ("c", 0.02, 1.1, 0.2, 1, 1))
+    bars = {}
+    for pair in ("long", "holes", "twice", "short"):
+        own, n = [], {"long": 400, "holes": 150, "twice": 90, "short": 6}[pair]
+        for i in range(n):
+            if pair == "holes" and i % 17 == 3:
+                continue
+            close = 1 + 0.2 * rng.random() if rng.random() < 0.95 else rng.choice([None, 0.0, -1.0])
+            high = None if rng.random() < 0.03 else 1.1 + 0.3 * rng.random()
+            own.append((START + dt.timedelta(minutes=i), high, None if rng.random() < 0.05 else 0.7 + 0.4 * rng.random(), close, rng.choice([None, 0.0, 1.0, 2.0, 5.0])))
+            if pair == "twice" and i == 40:
+                own.append(own[-1])
+        bars[pair] = own
+    alerts = [(p, START + dt.timedelta(minutes=rng.randrange(-2, 420), seconds=rng.randrange(60)), d, "", "fixed") for p in (*bars, "nothing") for d in ("z", "j") for _ in range(60)]
+    alerts.append(("twice", START + dt.timedelta(minutes=40), "z", "", "fixed"))
+    rows = [(p, *b) for p, own in bars.items() for b in own]
+    rng.shuffle(rows)
+    got = signatures.evaluate(
+        spark.createDataFrame(alerts, "pair string, ts_utc timestamp_ntz, detector string, frequency string, threshold_label string"),
+        spark.createDataFrame(rows, "pair string, open_time timestamp_ntz, high double, low double, close double, quote_volume double"),
+        signatures.rules_table(spark, rules), trail=trail,
+    ).collect()
+    assert len(got) == len(alerts) * 3
+    seen = collections.Counter()
+    for r in got:
+        want = judge_plainly(bars.get(r["pair"], []), r["ts_utc"].replace(second=0), next(x for x in rules if x[0] == r["rule"]), trail)
+        if isinstance(want, str):
+            assert (r["reason"], r["evaluable"], r["matched"]) == (want, False, False)
+        else:
+            assert (r["reason"], (r["gain_ok"], r["volume_ok"], r["retrace_ok"]), r["matched"]) == ("", want, all(want))
+        seen[want if isinstance(want, str) else "judged"] += 1
+    assert len(seen) == 9, seen
+
+
+# Bootstrap
+
+
+def clusters(spark, n, seed):
+    rng = random.Random(seed)
+    rows = [(f"p{i:05d}", rng.randrange(20), rng.randrange(3), 24.0 * rng.randrange(1, 9)) for i in range(n)]
+    return spark.createDataFrame(rows, "pair string, z int, j int, hours double"), np.array([r[1:] for r in rows], dtype=float)
+
+
+def interval(x, index):
+    rates = [1000 * x[i, 0].sum() / x[i, 2].sum() for i in index]
+    return np.percentile(rates, [2.5, 97.5])
+
+
+def test_bootstrap_generators_equal_their_definition(spark):
+    df, x = clusters(spark, 37, 5)
+    stream = np.random.default_rng(9).integers(0, 37, (200, 37))
+    digests = [[int(hashlib.md5(f"9|{d}|{i}".encode()).hexdigest()[:8], 16) % 37 for i in range(37)] for d in range(200)]
+    for generator, index in (("numpy", stream), ("md5", digests)):
+        got = {r["stream"]: r for r in bootstrap.bootstrap_ratio(df, "pair", ["z", "j"], "hours", n_draws=200, seed=9, generator=generator).collect()}
+        assert (got["z"]["low"], got["z"]["high"]) == pytest.approx(tuple(interval(x, index))) and got["j"]["n_draws"] == 200
+        assert got["z"]["rate"] == pytest.approx(1000 * x[:, 0].sum() / x[:, 2].sum())
+    with pytest.raises(ValueError, match="unknown generator"):
+        bootstrap.bootstrap_mean(df, "pair", "z", generator="other")
+
+
+def test_bootstrap_too_large_to_share_asks_for_the_tree(spark, monkeypatch):
+    df, _ = clusters(spark, 30, 6)
+    monkeypatch.setattr(bootstrap, "MOST_SHARED", 29)
+    with pytest.raises(ValueError, match="tree"):
+        bootstrap.bootstrap_mean(df, "pair", "z")
+    assert bootstrap.bootstrap_mean(df, "pair", "z", generator="tree", n_draws=20).first()["n_draws"] == 20
+
+
+def test_tree_counts_are_multinomial():
+    sizes, draws = [10, 10, 10, 3], 4_000
+    counts = np.stack([bootstrap.block_counts(sizes, b, draws, 1) for b in range(4)])
+    assert (counts.sum(axis=0) == 33).all() and (counts >= 0).all()
+    for b, n in enumerate(sizes):
+        p = n / 33
+        assert abs(counts[b].mean() - 33 * p) < 4 * np.sqrt(33 * p * (1 - p) / draws)
+        assert counts[b].var() == pytest.approx(33 * p * (1 - p), rel=0.12)
+    assert np.corrcoef(counts[0], counts[1])[0, 1] == pytest.approx(-np.sqrt((10 / 23) ** 2), abs=0.05)
+
+
+def test_tree_draws_have_the_same_distribution(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "BLOCK", 16)
+    df, x = clusters(spark, 150, 7)
+    sums, n = bootstrap.draw_sums(df, "pair", ["z", "hours"], n_draws=3_000, seed=3, generator="tree")
+    got = np.array([[r["z"], r["hours"]] for r in sums.orderBy("draw").collect()])
+    plain = np.array([x[i][:, [0, 2]].sum(axis=0) for i in np.random.default_rng(3).integers(0, 150, (3_000, 150))])
+    assert n == 150 and got.shape == (3_000, 2)
+    for c in (0, 1):
+        assert abs(got[:, c].mean() - 150 * x[:, [0, 2]][:, c].mean()) < 4 * plain[:, c].std() / np.sqrt(3_000)
+        assert got[:, c].std() == pytest.approx(plain[:, c].std(), rel=0.08)
+        assert np.percentile(got[:, c], [2.5, 25, 50, 75, 97.5]) == pytest.approx(np.percentile(plain[:, c], [2.5, 25, 50, 75, 97.5]), rel=0.02)
+    assert np.corrcoef(got.T)[0, 1] == pytest.approx(np.corrcoef(plain.T)[0, 1], abs=0.08)  # numerator and denominator share draws
+    again, _ = bootstrap.draw_sums(df.repartition(7), "pair", ["z", "hours"], n_draws=3_000, seed=3, generator="tree")
+    assert (np.array([r["z"] for r in again.orderBy("draw").collect()]) == got[:, 0]).all()
+
+
+# Ranks
+
+
+def test_ranks_in_large_groups_equal_a_window(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["x", "x", "x", "y", None]), rng.randrange(50), f"s{i}") for i in range(2_000)]
+    df = spark.createDataFrame(rows, "g string, v int, s string")
+    got = {(r["g"], r["s"]): r["rank"] for r in with_rank(df, "g", F.desc("v"), "s").collect()}
+    want = {(r["g"], r["s"]): r["w"] for r in df.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("v"), "s"))).collect()}
+    assert got == want
+    assert with_rank(df.limit(0), "g", "v").count() == 0
+
+
+def test_strata_keep_members_without_rank(spark):
+    members = spark.createDataFrame([("d1", f"s{i}", i if i else None) for i in range(8)] + [("d2", "only", None)], "day string, symbol string, rank int")
+    got = collections.Counter((r["day"], r["stratum"]) for r in universe.strata(members).collect())
+    assert got == {("d1", 1): 2, ("d1", 2): 3, ("d1", 3): 2, ("d1", None): 1, ("d2", None): 1}
+
+
+# Checks in one pass
+
+
+def test_validation_is_one_pass(spark, tmp_path):
+    row = lambda minutes, **o: tuple(({"pair": "a", "ts_utc": START + dt.timedelta(minutes=minutes), "detector": "price_jump", "threshold": 0.05, "score": 0.1, "threshold_label": "fixed", "frequency": "", "ts_available_utc": START + dt.timedelta(minutes=minutes + 1), "day": "2026-08-01"} | o).values())
+    schema = "pair string, ts_utc timestamp_ntz, detector string, threshold double, score double, threshold_label string, frequency string, ts_available_utc timestamp_ntz, day string"
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    def facts(*rows, path=None):
+        return builds.validate_once(spark.createDataFrame(list(rows), schema).mapInArrow(counted, schema), ["pair", "detector", "threshold_label"], path=path).first().asDict()
+
+    good = {"rows": 2, "timed": True, "known_detector": True, "above_threshold": True, "available_later": True, "respected": True}
+    assert facts(row(0), row(30), path=str(tmp_path / "kept")) == good and computed.value == 2
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 2
+    assert facts(row(0), row(29)) == good | {"respected": False}
+    assert facts(row(0), row(30, score=0.01, detector="other")) == good | {"above_threshold": False, "known_detector": False}
+    assert facts(row(0), row(30, ts_available_utc=None)) == good | {"available_later": False}
+    assert facts() == good | {"rows": 0}
+
+
+def test_nonfinite_rows_are_counted_on_their_way(spark):
+    nan, inf = float("nan"), float("inf")
+    frame = spark.createDataFrame([(0.1, v) for v in (1.0, 2.0, nan, inf, -inf, None)], "a double, b double")
+    kept, seen = features.drop_nonfinite_counted(frame, ("a", "b"))
+    assert kept.count() == 2 and seen.get == {"dropped": 4, "kept": 2}
+
+
+# Streams
+
+
+def test_hits_in_any_order_equal_the_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b"]), START + dt.timedelta(seconds=rng.randrange(60_000)), "z", round(rng.random(), 3)) for _ in range(150)]
+    schema = "pair string, ts_utc timestamp_ntz, detector string, score double"
+    for i in range(0, 150, 50):  # three micro-batches, each over the whole time, then one that moves the watermark
+        spark.createDataFrame(rows[i : i + 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    end = [(p, START + dt.timedelta(days=30), "z", 0.0) for p in ("a", "b")]
+    spark.createDataFrame(end, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = stream_cooldown_by_time(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination(240)
+    assert run.exception() is None
+    got = sorted((r["pair"], r["ts_utc"]) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect())
+    batch = cooldown.apply_cooldown(spark.createDataFrame(rows, schema), ["pair", "detector"])
+    assert got == sorted((r["pair"], r["ts_utc"]) for r in batch.collect())

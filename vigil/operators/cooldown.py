@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def _islands(hits: DataFrame, keys: list[str], ts: str, seconds: int) -> DataFrame:
-    """Numbers the stretches of hits that no gap of the cooldown divides.
-
-    The first hit after such a gap is kept whatever came before, so stretches are independent and
-    a busy key is folded in parts.
-    """
-    order = Window.partitionBy(*keys).orderBy(ts)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(order).cast("timestamp"))
-    new = F.when(gap < seconds * 1_000_000, 0).otherwise(1)
-    return hits.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
 def apply_cooldown(hits: DataFrame, keys: list[str], *, ts: str = "ts_utc", score: str = "score", seconds: int = 1800, carried: DataFrame | None = None) -> DataFrame:
     """keys, ts and score of the hits kept, in each key by time and, at equal times, by score.
 
@@ -30,9 +18,36 @@ def apply_cooldown(hits: DataFrame, keys: list[str], *, ts: str = "ts_utc", scor
     rows = hits.where(F.col(ts).isNotNull()).select(*keys, ts, score)
     if carried is not None:
         rows = rows.join(carried.select(*keys, "last"), keys, "left").where(F.col("last").isNull() | (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp")) >= seconds * 1_000_000)).drop("last")
-    islands = _islands(rows, keys, ts, seconds)
-    ordered = islands.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(*keys, "_island").sortWithinPartitions(*keys, "_island", "_at", score)
-    return ordered.mapInArrow(_fold([*keys, "_island"], [*keys, ts, score], seconds * 1_000_000), rows.schema).select(*keys, ts, score)
+    return _in_order(rows, keys, ts, score).mapInArrow(_fold(keys, [*keys, ts, score], seconds * 1_000_000), rows.schema)
+
+
+def _in_order(rows: DataFrame, keys: list[str], ts: str, score: str) -> DataFrame:
+    """Rows of a key together and by time, _at in microseconds: one shuffle and one sort, which spills."""
+    return rows.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(*keys).sortWithinPartitions(*keys, "_at", score)
+
+
+def _stretches(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """Key, begin and end of each run of rows with one key."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    for c in keys:
+        codes = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    starts = [0, *np.flatnonzero(new).tolist()] if batch.num_rows else []
+    for i, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield tuple(batch.column(c)[i].as_py() for c in keys), i, end
+
+
+def _kept(at: np.ndarray, last: int | None, width: int) -> Iterator[int]:
+    """Places of the times that are kept: each is found by one search from the one before."""
+    i = 0
+    while i < len(at):
+        if last is not None:  # the first hit that lies far enough behind
+            i += int(np.searchsorted(at[i:], last + width))
+            if i == len(at):
+                return
+        yield i
+        last = int(at[i])
+        i += 1
 
 
 def _fold(keys: list[str], columns: list[str], width: int):
@@ -40,23 +55,11 @@ def _fold(keys: list[str], columns: list[str], width: int):
         """Keeps hits of sorted rows, with the key and time of the last one kept as all its state."""
         key = last = None
         for batch in batches:
-            new, at = np.zeros(batch.num_rows, dtype=bool), batch.column("_at").to_numpy()
-            for c in keys:
-                codes = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                new[1:] |= codes[1:] != codes[:-1]
-            starts = [0, *np.flatnonzero(new).tolist()] if batch.num_rows else []
-            keep = []
-            for i, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-                own = tuple(batch.column(c)[i].as_py() for c in keys)
+            at, keep = batch.column("_at").to_numpy(), []
+            for own, i, end in _stretches(batch, keys):
                 last, key = (last if own == key else None), own
-                while i < end:
-                    if last is not None:  # the first hit that lies far enough behind
-                        i += int(np.searchsorted(at[i:end], last + width))
-                        if i == end:
-                            break
-                    keep.append(i)
-                    last = int(at[i])
-                    i += 1
+                keep += (here := [i + k for k in _kept(at[i:end], last, width)])
+                last = int(at[here[-1]]) if here else last
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in columns], names=columns)
 
     return run
@@ -64,10 +67,54 @@ def _fold(keys: list[str], columns: list[str], width: int):
 
 def count_kept(hits: DataFrame, keys: list[str], *, ts: str = "ts_utc", seconds: int = 1800) -> DataFrame:
     """keys and the number of hits that a cooldown keeps, without making their list."""
-    folded = _islands(hits.where(F.col(ts).isNotNull()).select(*keys, ts), keys, ts, seconds).groupBy(*keys, "_island").agg(F.sort_array(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")))).alias("h"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-    count = F.aggregate("h", start, lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= seconds * 1_000_000), F.struct(t.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a), lambda a: a["n"])
-    return folded.groupBy(*keys).agg(F.sum(count).alias("kept"))
+    every = hits.withColumn("_score", F.lit(0.0))
+    return count_kept_at(every, keys, lambda key: [0.0], ts=ts, score="_score", seconds=seconds).drop("threshold")
+
+
+def count_kept_at(hits: DataFrame, keys: list[str], thresholds: Callable[[tuple], list[float]], *, ts: str = "ts_utc", score: str = "score", seconds: int = 1800) -> DataFrame:
+    """keys, threshold and kept: how many hits a cooldown keeps of those at or above each threshold of the key, if any.
+
+    thresholds gives a key's thresholds.  All are counted in one pass over the hits, sorted once: the state is one time and one number for each of them.
+    """
+    out = hits.select(*keys, F.lit(0.0).alias("threshold"), F.lit(0).cast("long").alias("kept")).schema
+    rows = hits.where(F.col(ts).isNotNull()).select(*keys, ts, score)
+    return _in_order(rows, keys, ts, score).mapInArrow(_count(keys, score, thresholds, seconds * 1_000_000), out)
+
+
+def _count(keys: list[str], score: str, thresholds: Callable[[tuple], list[float]], width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, levels, last, kept, out, schema = None, [], [], [], [], None
+
+        def finish() -> None:
+            out.extend((*key, t, n) for t, n in zip(levels, kept, strict=True) if n)
+
+        def batch_of() -> pa.RecordBatch:
+            columns, names = list(zip(*out, strict=True)), [*schema.names]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], names=names)
+
+        for batch in batches:
+            schema = pa.schema([*(batch.schema.field(c) for c in keys), ("threshold", pa.float64()), ("kept", pa.int64())])
+            at, scores = batch.column("_at").to_numpy(), batch.column(score).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            for own, i, end in _stretches(batch, keys):
+                if own != key:
+                    if key is not None:
+                        finish()
+                    key, levels = own, thresholds(own)
+                    last, kept = [None] * len(levels), [0] * len(levels)
+                for k, level in enumerate(levels):
+                    times = at[i:end][scores[i:end] >= level]
+                    for place in _kept(times, last[k], width):
+                        kept[k] += 1
+                        last[k] = int(times[place])
+            if out:
+                yield batch_of()
+        if key is not None:
+            finish()
+        if out:
+            yield batch_of()
+
+    return run
 
 
 def gap_audit(episodes: DataFrame, keys: list[str], *, ts: str = "ts_utc", seconds: int = 1800) -> DataFrame:

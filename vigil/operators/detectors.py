@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vigil import constants
+from vigil.functions.rolling import rolling_stats
 from vigil.operators.cooldown import apply_cooldown
 
 
@@ -17,13 +18,11 @@ def volume_zscore(grid: DataFrame, *, time: str = "open_time", sum_rows: int = c
     """
     if scope not in ("continuous", "day"):
         raise ValueError(f"unknown scope {scope}")
-    order = Window.partitionBy("pair", *([day] if scope == "day" else [])).orderBy(time)
-    short, trail = order.rowsBetween(-(sum_rows - 1), 0), order.rowsBetween(-trail_rows, -1)
+    keys = ["pair", *([day] if scope == "day" else [])]
+    short = Window.partitionBy(*keys).orderBy(time).rowsBetween(-(sum_rows - 1), 0)  # a few rows
     table = grid.withColumn("_v", F.when(F.count("quote_volume").over(short) == sum_rows, F.sum("quote_volume").over(short)))
-    flat = F.max("_v").over(trail) == F.min("_v").over(trail)
-    table = table.withColumns({"_n": F.count("_v").over(trail), "_m": F.avg("_v").over(trail), "_s": F.when(~flat, F.stddev_samp("_v").over(trail))})
-    score = F.when((F.col("_n") == trail_rows) & (F.col("_s") > 0), F.try_divide(F.col("_v") - F.col("_m"), F.col("_s")))
-    return table.withColumn("score", score).drop("_v", "_n", "_m", "_s")
+    table = rolling_stats(table, ["_v"], trail_rows, keys, time, behind=1)
+    return table.withColumn("score", F.when(F.col("_v_sd") > 0, F.try_divide(F.col("_v") - F.col("_v_mean"), F.col("_v_sd")))).drop("_v", "_v_mean", "_v_sd")
 
 
 def price_jump(grid: DataFrame, *, time: str = "open_time", rows: int = constants.JUMP_MINUTES) -> DataFrame:

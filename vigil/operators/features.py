@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from vigil import constants
 from vigil.functions.numeric import cycle, finite, known, relative_change, round_even
+from vigil.functions.rolling import rolling_stats
 from vigil.operators.timegrid import bin_start, buys, chunks
 
 
-def rolling(x: str, size: int, what: str, order: Window) -> Column:
-    """A statistic of the last size rows, null until there are as many.
-
-    The sample deviation of equal values is exactly zero.
-    """
+def mean_of_last(x: str, size: int, order: Window) -> Column:
+    """The mean of the last few rows, null until there are as many."""
     frame = order.rowsBetween(-(size - 1), 0)
-    column = F.col(x).cast("double")
-    value = F.avg(column).over(frame)
-    if what == "std":
-        same = F.max(column).over(frame) == F.min(column).over(frame)
-        value = F.when(same, 0.0).otherwise(F.stddev_samp(column).over(frame))
-    return F.when(F.count(column).over(frame) == size, known(value))
+    return F.when(F.count(x).over(frame) == size, known(F.avg(F.col(x).cast("double")).over(frame)))
 
 
 def feature_matrix(trades: DataFrame, seconds: int, size: int, *, price_size: int = constants.PRICE_CHUNKS, digits: int | None = constants.ROUND_DIGITS, same: Column | None = None) -> DataFrame:
@@ -30,11 +23,12 @@ def feature_matrix(trades: DataFrame, seconds: int, size: int, *, price_size: in
     then values are rounded; infinite ones stay, for drop_nonfinite() to count.
     """
     order = Window.partitionBy("pair").orderBy("bin")
+    rolled = rolling_stats(chunks(trades, seconds, same=same), ["rush_sum", "trade_count", "volume_sum", "price_mean"], size, ["pair"], "bin")
     parts = {
-        "std_rush_order": ("rush_sum", size, "std"), "avg_rush_order": ("rush_sum", size, "mean"), "std_trades": ("trade_count", size, "std"), "std_volume": ("volume_sum", size, "std"),
-        "avg_volume": ("volume_sum", size, "mean"), "std_price": ("price_mean", size, "std"), "avg_price": ("price_mean", price_size, "mean"), "avg_price_max": ("price_max", price_size, "mean"),
+        "std_rush_order": F.col("rush_sum_sd"), "avg_rush_order": F.col("rush_sum_mean"), "std_trades": F.col("trade_count_sd"), "std_volume": F.col("volume_sum_sd"), "avg_volume": F.col("volume_sum_mean"),
+        "std_price": F.col("price_mean_sd"), "avg_price": mean_of_last("price_mean", price_size, order), "avg_price_max": mean_of_last("price_max", price_size, order),
     }
-    table = chunks(trades, seconds, same=same).select("*", *(rolling(x, n, what, order).alias(name) for name, (x, n, what) in parts.items()))
+    table = rolled.select("pair", "bin", *(x.alias(name) for name, x in parts.items()))
     changes = [relative_change(F.col(c), F.lag(c).over(order)).alias(c) for c in parts]
     hour, minute = cycle(F.hour("bin"), 23), cycle(F.minute("bin"), 59)
     out = table.select("pair", F.col("bin").alias("date"), *changes, hour[0].alias("hour_sin"), hour[1].alias("hour_cos"), minute[0].alias("minute_sin"), minute[1].alias("minute_cos")).na.drop(subset=list(constants.FEATURES))
@@ -52,6 +46,13 @@ def drop_nonfinite(frame: DataFrame, columns: tuple[str, ...] = constants.FEATUR
     return frame.where(all_finite(columns))
 
 
+def drop_nonfinite_counted(frame: DataFrame, columns: tuple[str, ...] = constants.FEATURES) -> tuple[DataFrame, Observation]:
+    """drop_nonfinite(), and how many rows were dropped and kept: known after the first action on the frame, which counts on its way."""
+    seen = Observation()
+    watched = frame.observe(seen, F.count_if(~all_finite(columns)).alias("dropped"), F.count_if(all_finite(columns)).alias("kept"))
+    return drop_nonfinite(watched, columns), seen
+
+
 def count_nonfinite(frame: DataFrame, columns: tuple[str, ...] = constants.FEATURES) -> DataFrame:
     return frame.agg(F.count_if(~all_finite(columns)).alias("dropped"), F.count_if(all_finite(columns)).alias("kept"))
 

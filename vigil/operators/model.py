@@ -10,12 +10,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vigil import constants
 from vigil.functions.numeric import close_to
 from vigil.operators.features import all_finite
+from vigil.sources.shared import new_path
 
 
 def fit(labelled: DataFrame, *, label: str = "gt", features: tuple[str, ...] = constants.FEATURES) -> RandomForestClassificationModel:
-    """A forest with the frozen settings.  Its trees are those of Spark, so thresholds tuned on others do not carry over."""
+    """A forest with the frozen settings.  Its trees are those of Spark, so thresholds tuned on others do not carry over.
+
+    It is stored and loaded: a model as fitted holds on to its session, which tasks cannot take once an Observation was made in it.
+    """
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(labelled.withColumn("label", F.col(label).cast("double")))
-    return RandomForestClassifier(**constants.FOREST).fit(data)
+    path = new_path(labelled.sparkSession)
+    RandomForestClassifier(**constants.FOREST).fit(data).write().overwrite().save(path)
+    return RandomForestClassificationModel.load(path)
 
 
 def score(model: RandomForestClassificationModel, frame: DataFrame, *, features: tuple[str, ...] = constants.FEATURES) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vigil import constants
+from vigil.functions.positions import with_rank
 
 
 def eligible(symbols: DataFrame, *, quote: str = "USDT", excluded_bases: tuple[str, ...] = constants.LEVERAGED_BASES + constants.STABLE_FIAT_BASES) -> DataFrame:
@@ -22,8 +23,7 @@ def trailing_volume(daily: DataFrame, *, days: int = constants.TRAILING_DAYS) ->
 
 def rank_table(volumes: DataFrame, *, excluded: int = constants.TOP_EXCLUDED) -> DataFrame:
     """Adds rank, by volume and then symbol, and included, for ranks beyond the first few; per table_date."""
-    order = Window.partitionBy("table_date").orderBy(F.desc("volume"), "symbol")
-    return volumes.withColumn("rank", F.row_number().over(order)).withColumn("included", F.col("rank") > excluded)
+    return with_rank(volumes, "table_date", F.desc("volume"), "symbol").withColumn("included", F.col("rank") > excluded)
 
 
 def latest_table(tables: DataFrame) -> DataFrame:
@@ -61,12 +61,13 @@ def strata(members: DataFrame, *, parts: int = constants.STRATA) -> DataFrame:
 
     Halves round to the even number.  Members without rank are unassigned (null).
     """
-    window = Window.partitionBy("day")
-    ranked = members.withColumn("_n", F.count("rank").over(window)).withColumn("_p", F.when(F.col("rank").isNotNull(), F.row_number().over(window.orderBy(F.col("rank").asc_nulls_last()))))
+    ranked = with_rank(members.where("rank is not null"), "day", "rank", name="_p")
+    sizes = ranked.groupBy("day").agg(F.count("*").alias("_n"))
     stratum = F.lit(None).cast("int")
     for k in range(parts, 0, -1):
         stratum = F.when(F.col("_p") <= F.rint(F.col("_n") * k / parts), F.lit(k)).otherwise(stratum)
-    return ranked.withColumn("stratum", stratum).drop("_n", "_p")
+    cut = ranked.join(sizes, "day").withColumn("stratum", stratum).select(*members.columns, "stratum")
+    return cut.unionByName(members.where("rank is null").withColumn("stratum", F.lit(None).cast("int")))
 
 
 def membership_sizes(tables: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vigil import constants
-from vigil.operators.cooldown import count_kept
+from vigil.operators.cooldown import count_kept_at
 from vigil.plans.guard import endpoint
 
 STREAM = ["detector", "frequency", "threshold_label"]
@@ -56,15 +56,16 @@ def threshold_curve(candidates: DataFrame, thresholds: DataFrame, *, seconds: in
     """
     if {"detector", "frequency"} <= set(thresholds.columns):
         every = thresholds.select("detector", "frequency", F.col("threshold").cast("double").alias("threshold")).distinct()
-        hits = candidates.join(F.broadcast(every), ["detector", "frequency"]).where(F.col("score") >= F.col("threshold"))  # a few hundred
-        return _curve(hits, every, seconds)
-    grid = F.broadcast(thresholds.select(F.col("threshold").cast("double").alias("threshold")).distinct())  # a few dozen
-    hits = candidates.join(grid, F.col("score") >= F.col("threshold"))
-    return _curve(hits, candidates.select("detector", "frequency").distinct().crossJoin(grid), seconds)
-
-
-def _curve(hits: DataFrame, every: DataFrame, seconds: int) -> DataFrame:
-    kept = count_kept(hits, ["detector", "frequency", "threshold", "pair"], seconds=seconds).groupBy("detector", "frequency", "threshold").agg(F.sum("kept").alias("alerts"))
+        own: dict[tuple, list[float]] = {}
+        for r in every.collect():  # a few hundred
+            own.setdefault((r["detector"], r["frequency"]), []).append(r["threshold"])
+        levels = lambda key: own.get(key[:2], [])
+    else:
+        grid = thresholds.select(F.col("threshold").cast("double").alias("threshold")).distinct()
+        every = candidates.select("detector", "frequency").distinct().crossJoin(F.broadcast(grid))  # a few dozen
+        same = [r[0] for r in grid.collect()]
+        levels = lambda key: same
+    kept = count_kept_at(candidates, ["detector", "frequency", "pair"], levels, seconds=seconds).groupBy("detector", "frequency", "threshold").agg(F.sum("kept").alias("alerts"))
     return every.join(kept, ["detector", "frequency", "threshold"], "left").withColumn("alerts", F.coalesce("alerts", F.lit(0)))
 
 
@@ -86,24 +87,24 @@ def stratified(episodes: DataFrame, strata: DataFrame, monitored: DataFrame, *,
 def agreement(episodes: DataFrame, *, seconds: int = constants.COOLDOWN_SECONDS) -> DataFrame:
     """For each ordered pair of streams: alerts of the first, and those with one of the second on the same pair within seconds.
 
-    Alerts meet in time buckets of that width and their neighbours, so that a busy pair is not
-    compared with itself as a whole.
+    The alerts of a pair are sorted by time once forwards and once backwards, and running extremes tell each of them
+    the last and the next alert of every stream: no alert is copied or compared with more than these.
     """
-    at = F.unix_micros(F.col("ts_utc").cast("timestamp"))
-    width = seconds * 1_000_000
-    left = episodes.select("pair", *(F.col(c).alias(f"{c}_a") for c in STREAM), at.alias("t_a")).withColumn("id", F.monotonically_increasing_id())
-    bucket = F.floor(F.col("t_a") / F.lit(max(width, 1)))
-    left_b = left.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    right = episodes.select("pair", *(F.col(c).alias(f"{c}_b") for c in STREAM), at.alias("t_b")).distinct().withColumn("bucket", F.floor(F.col("t_b") / F.lit(max(width, 1))))
-    streams_a, streams_b = [f"{c}_a" for c in STREAM], [f"{c}_b" for c in STREAM]
-    other = F.struct(*streams_a) != F.struct(*streams_b)
-    met = left_b.join(right, ["pair", "bucket"]).where(other & (F.abs(F.col("t_a") - F.col("t_b")) <= width))
-    matched = met.groupBy(*streams_a, *streams_b).agg(F.count_distinct("pair", "t_a").alias("matched"))
-    totals = left.groupBy(*streams_a).agg(F.count_distinct("pair", "t_a").alias("alerts"))
-    second = episodes.select(*(F.col(c).alias(f"{c}_b") for c in STREAM)).distinct()
-    every = totals.join(F.broadcast(second), other)  # streams are few
-    out = every.join(matched, [*streams_a, *streams_b], "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
-    return out.withColumn("share", F.col("matched") / F.col("alerts"))
+    at, width = F.unix_micros(F.col("ts_utc").cast("timestamp")), seconds * 1_000_000
+    streams = sorted((tuple(r) for r in episodes.select(*STREAM).distinct().collect()), key=str)  # one row a stream: nine at most
+    rows = episodes.select("pair", *STREAM, at.alias("t")).distinct()
+    of = lambda s: F.col("detector").eqNullSafe(s[0]) & F.col("frequency").eqNullSafe(s[1]) & F.col("threshold_label").eqNullSafe(s[2])
+    upto = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    forwards, backwards = upto(Window.partitionBy("pair").orderBy("t")), upto(Window.partitionBy("pair").orderBy(F.desc("t")))
+    last = {f"_last{i}": F.max(F.when(of(s), F.col("t"))).over(forwards) for i, s in enumerate(streams)}
+    later = {f"_next{i}": F.min(F.when(of(s), F.col("t"))).over(backwards) for i, s in enumerate(streams)}
+    near = lambda i: (F.col("t") - F.col(f"_last{i}") <= width) | (F.col(f"_next{i}") - F.col("t") <= width)
+    counts = rows.withColumns(last).withColumns(later).groupBy(*STREAM).agg(F.count("*").alias("alerts"), F.array(*(F.count_if(near(i)) for i in range(len(streams)))).alias("_matched"))
+    names = [F.struct(*(F.lit(v).cast("string").alias(f"{c}_b") for c, v in zip(STREAM, s, strict=True)), F.get("_matched", F.lit(i)).alias("matched")) for i, s in enumerate(streams)]
+    empty = "array<struct<detector_b: string, frequency_b: string, threshold_label_b: string, matched: long>>"
+    pairs = counts.select(*(F.col(c).alias(f"{c}_a") for c in STREAM), "alerts", F.inline(F.array(*names) if names else F.array().cast(empty)))
+    other = ~F.struct(*(f"{c}_a" for c in STREAM)).eqNullSafe(F.struct(*(F.col(f"{c}_b").alias(f"{c}_a") for c in STREAM)))
+    return pairs.where(other).withColumn("share", F.col("matched") / F.col("alerts"))
 
 
 def threshold_grid(spark, *, step: float = 0.05, extra: tuple[float, ...] = (constants.ANCHOR, *constants.STAR.values())) -> DataFrame:
@@ -113,6 +114,14 @@ def threshold_grid(spark, *, step: float = 0.05, extra: tuple[float, ...] = (con
     return regular.unionByName(spark.createDataFrame([(float(x),) for x in extra], "threshold double")).distinct()
 
 
+def score_grid(candidates: DataFrame, *, step: float = 0.05, extra: tuple[float, ...] = (constants.ANCHOR, *constants.STAR.values())) -> DataFrame:
+    """detector, frequency, threshold: the multiples of step between the lowest and the highest score of each stream's candidates, and the extra thresholds."""
+    ends = candidates.groupBy("detector", "frequency").agg(F.ceil(F.min("score") / step).alias("first"), F.floor(F.max("score") / step).alias("last"))
+    regular = F.when(F.col("first") <= F.col("last"), F.transform(F.sequence("first", "last"), lambda k: F.round(k * step, 10))).otherwise(F.array().cast("array<double>"))
+    levels = F.array_distinct(F.concat(regular, F.array(*(F.lit(float(x)) for x in extra)).cast("array<double>")))
+    return ends.select("detector", "frequency", F.explode(levels).alias("threshold"))
+
+
 def stream_thresholds(spark, frequencies: list[str]) -> DataFrame:
     """The thresholds of the burden curves: detector, frequency and threshold, for the forest at each frequency and the two baselines."""
     forest = sorted({*(round(k * 0.05, 4) for k in range(1, 20)), constants.ANCHOR, *constants.STAR.values()})

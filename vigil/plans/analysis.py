@@ -12,11 +12,10 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from vigil import constants
 from vigil.operators import bootstrap, builds, detectors, features, manifest as logs, model, signatures, timegrid, universe as members, workload
-from vigil.operators.cooldown import gap_audit
 from vigil.plans.provenance import provenance
 from vigil.sources import archives, sinks
 
@@ -39,30 +38,40 @@ def inputs(spark: SparkSession, data: str, *, rule: str, reinstate: bool) -> dic
 
 def grids(spark: SparkSession, data: str, monitored: DataFrame) -> DataFrame:
     """Minute bars of the monitored pair-days without gaps; days without an archive have none."""
-    bars = archives.read_bars(spark, f"{data}/raw/klines")
+    bars = archives.read_bars(spark, f"{data}/raw/klines", keep=archives.ranges_of(monitored)).drop("day")
     present = bars.select("pair", F.to_date("open_time").alias("day")).distinct()
     spine = timegrid.minute_spine(monitored.select("pair", "day").join(present, ["pair", "day"], "left_semi"))
     return timegrid.complete_grid(bars, spine, day=F.col("day"))
 
 
-def baseline_episodes(grid: DataFrame, *, scope: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates and episodes of the two baselines."""
-    scored = {"volume_zscore": (detectors.volume_zscore(grid, scope=scope), constants.Z_THRESHOLD), "price_jump": (detectors.price_jump(grid), constants.JUMP_THRESHOLD)}
-    found = [(detectors.candidates(s, name, ts="open_time"), t) for name, (s, t) in scored.items()]
-    made = [detectors.episodes(c, {"fixed": t}, inclusive=False, seconds_available=60) for c, t in found]
-    return found[0][0].unionByName(found[1][0]), made[0].unionByName(made[1])
+def baseline_candidates(grid: DataFrame, *, scope: str) -> DataFrame:
+    scored = {"volume_zscore": detectors.volume_zscore(grid, scope=scope), "price_jump": detectors.price_jump(grid)}
+    return functools.reduce(DataFrame.unionByName, (detectors.candidates(s, name, ts="open_time") for name, s in scored.items()))
 
 
-def forest_episodes(spark: SparkSession, data: str, matrix_root: str, frequency: str, monitored: DataFrame, *, warmup_days: int = constants.WARMUP_DAYS) -> tuple[DataFrame, DataFrame]:
-    trades = archives.read_trades(spark, f"{data}/raw/aggTrades")
+def baseline_episodes(found: DataFrame) -> DataFrame:
+    """Episodes of the two baselines from their candidates."""
+    thresholds = {"volume_zscore": constants.Z_THRESHOLD, "price_jump": constants.JUMP_THRESHOLD}
+    made = (detectors.episodes(found.where(F.col("detector") == name), {"fixed": t}, inclusive=False, seconds_available=60) for name, t in thresholds.items())
+    return functools.reduce(DataFrame.unionByName, made)
+
+
+def forest_candidates(spark: SparkSession, data: str, matrix_root: str, frequency: str, monitored: DataFrame, *, warmup_days: int = constants.WARMUP_DAYS) -> tuple[DataFrame, Observation]:
+    """Candidates of the forest, and the rows that were dropped and kept as non-finite or not, which are known once the candidates are written."""
+    path, keep = f"{data}/raw/aggTrades", archives.ranges_of(monitored, before=warmup_days)
+    trades = archives.read_trades(spark, path, columns=("ts", "price", "quote_volume", "side"), keep=keep).drop("day")
     seconds, size = constants.BIN_SECONDS[frequency], constants.ROLLING_CHUNKS[frequency]
-    days = trades.select("pair", F.to_date("ts").alias("day")).distinct()
-    matrix = features.drop_nonfinite(features.feature_matrix(trades, seconds, size))
-    keep = features.scorable(trades, days, seconds, size, warmup_days=warmup_days).withColumnRenamed("bin", "date")
-    matrix = matrix.join(keep, ["pair", "date"], "left_semi").withColumn("day", F.to_date("date")).join(monitored, ["pair", "day"], "left_semi").drop("day")
+    days = archives.read_heads(spark, path, keep=keep).select("pair", "day").distinct()  # also those of archives without a buy
+    matrix = features.feature_matrix(trades, seconds, size).withColumn("day", F.to_date("date")).join(monitored, ["pair", "day"], "left_semi").drop("day")
+    scorable = features.scorable(trades, days, seconds, size, warmup_days=warmup_days).withColumnRenamed("bin", "date")
+    finite, dropped = features.drop_nonfinite_counted(matrix.join(scorable, ["pair", "date"], "left_semi"))
     fitted = model.fit(archives.read_matrix(spark, f"{matrix_root}/features_{frequency}.csv.gz", constants.FEATURES))
-    found = detectors.candidates(model.score(fitted, matrix), "upstream_rf", ts="date", frequency=frequency)
-    return found, detectors.episodes(found, detectors.forest_thresholds(frequency), inclusive=True, seconds_available=seconds)
+    return detectors.candidates(model.score(fitted, finite), "upstream_rf", ts="date", frequency=frequency), dropped
+
+
+def forest_episodes(found: DataFrame, frequency: str) -> DataFrame:
+    own = found.where((F.col("detector") == "upstream_rf") & (F.col("frequency") == frequency))
+    return detectors.episodes(own, detectors.forest_thresholds(frequency), inclusive=True, seconds_available=constants.BIN_SECONDS[frequency])
 
 
 def sensitivity_rates(made: DataFrame, monitored: DataFrame, rule: str) -> DataFrame:
@@ -71,23 +80,34 @@ def sensitivity_rates(made: DataFrame, monitored: DataFrame, rule: str) -> DataF
     return workload.rate_per_1000_hours(own, monitored.count() * constants.HOURS_A_PAIR_DAY).withColumn("pair_hours_rule", F.lit(rule))
 
 
+def unverified(spark: SparkSession, path: str, frequencies: list[str]) -> list[str]:
+    """The frequencies for which a published table (frequency, fraction, tau_star) does not have the frozen threshold exactly once."""
+    published = spark.read.csv(path, header=True).select("frequency", F.col("fraction").cast("double").alias("fraction"), F.col("tau_star").cast("double").alias("threshold"))
+    verified = {r["frequency"] for r in model.verify_thresholds(published).where("verified").collect()}  # one row a frequency
+    return [f for f in frequencies if f not in verified]
+
+
 def full_analysis(spark: SparkSession, args: argparse.Namespace) -> int:
     done = archives.read_days(spark, f"{args.data}/manifests/days_completed.txt")
     tables = inputs(spark, args.data, rule=args.pair_hours_rule, reinstate=not args.exclude_amendment2_pairs)
     if missing := missing_days(spark, done, tables["days"]):
         print(f"{missing} days of the window are not complete", file=sys.stderr)
         return 2
+    if args.published_thresholds and (wrong := unverified(spark, args.published_thresholds, args.frequencies)):
+        print(f"the published thresholds of {', '.join(wrong)} are not the frozen ones", file=sys.stderr)
+        return 3
     stamp = provenance("full")
     monitored = tables["monitored"].select("pair", "day").persist()
     grid = grids(spark, args.data, monitored)
-    found, made = baseline_episodes(grid, scope=args.grid_scope)
+    found, dropped, out = baseline_candidates(grid, scope=args.grid_scope), {}, args.out
     for frequency in args.frequencies:
-        more = forest_episodes(spark, args.data, args.matrix, frequency, monitored, warmup_days=args.warmup_days)
-        found, made = found.unionByName(more[0]), made.unionByName(more[1])
-    out = args.out
+        more, dropped[frequency] = forest_candidates(spark, args.data, args.matrix, frequency, monitored, warmup_days=args.warmup_days)
+        found = found.unionByName(more)
     sinks.write_candidates(found, f"{out}/candidates", format="parquet", provenance=None)
+    found = spark.read.parquet(f"{out}/candidates")  # features and scores are computed once, for the candidates
+    made = functools.reduce(DataFrame.unionByName, (forest_episodes(found, f) for f in args.frequencies), baseline_episodes(found))
     sinks.write_episodes(made, f"{out}/episodes", format="parquet", provenance=None)
-    found, made = spark.read.parquet(f"{out}/candidates"), spark.read.parquet(f"{out}/episodes")
+    made = spark.read.parquet(f"{out}/episodes")
     own = workload.restrict_to_monitored(made, monitored.withColumnRenamed("pair", "symbol"))
     hours = monitored.groupBy("pair").agg((F.count("*") * constants.HOURS_A_PAIR_DAY).alias("hours"))
     per_day = workload.alerts_per_day(own, tables["days"])
@@ -107,8 +127,10 @@ def full_analysis(spark: SparkSession, args: argparse.Namespace) -> int:
         "rates_sensitivity_rule": sensitivity_rates(made, monitored_otherwise, other),
         "signatures": evaluated, "precision": signatures.summarise(evaluated), "sample": bootstrap.draw_sample(own, n=args.manual_sample),
     }
+    if dropped:
+        results["nonfinite"] = spark.createDataFrame([(f, o.get["dropped"], o.get["kept"]) for f, o in dropped.items()], "frequency string, dropped long, kept long")
     if names:
-        results["intervals"] = bootstrap.bootstrap_ratio(by_pair, "pair", names, "hours")
+        results["intervals"] = bootstrap.bootstrap_ratio(by_pair, "pair", names, "hours", generator="numpy" if by_pair.count() <= bootstrap.MOST_SHARED else "tree")
     if os.path.isdir(f"{args.data}/raw/aggTrades") or "://" in args.data:
         results["feature_build_log"] = build_logs(spark, args, monitored)
     for name, df in results.items():
@@ -118,11 +140,14 @@ def full_analysis(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def build_logs(spark: SparkSession, args: argparse.Namespace, monitored: DataFrame) -> DataFrame:
-    """The build log of the monitored pair-days at all frequencies."""
-    trades = archives.read_trades(spark, f"{args.data}/raw/aggTrades")
+    """The build log of the monitored pair-days at all frequencies, with the unit of time of each day's archive."""
+    path, keep = f"{args.data}/raw/aggTrades", archives.ranges_of(monitored, before=args.warmup_days)
+    trades = archives.read_trades(spark, path, columns=("ts", "side"), keep=keep).drop("day")
     logs_ = [builds.build_log(trades, constants.BIN_SECONDS[f], constants.ROLLING_CHUNKS[f], warmup_days=args.warmup_days).withColumn("frequency", F.lit(f)) for f in args.frequencies]
     keys = monitored.select(F.col("pair").alias("symbol"), "day")
-    return functools.reduce(DataFrame.unionByName, logs_).join(keys, ["symbol", "day"], "left_semi")
+    log = functools.reduce(DataFrame.unionByName, logs_).join(keys, ["symbol", "day"], "left_semi")
+    units = archives.epoch_units(spark, path, keep=archives.ranges_of(monitored)).select(F.col("pair").alias("symbol"), "day", F.when(~F.col("headed"), F.col("unit")).otherwise("").alias("unit"))
+    return builds.with_units(log, units)
 
 
 def structural_check(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -132,15 +157,18 @@ def structural_check(spark: SparkSession, args: argparse.Namespace) -> int:
     monitored = tables["monitored"].select("pair", "day")
     days, governed = tables["days"], tables["governed"]
     verified = logs.verified_pair_days(logs.without_dates(tables["manifest"]))
-    sample = builds.sample_pair_days(monitored, n=args.sample_pair_days)
+    sample = builds.sample_pair_days(monitored, n=args.sample_pair_days, generator=args.draws)
 
     def files() -> DataFrame:
         pairs = monitored.select("pair", F.col("day").cast("string").alias("day"))
         need = pairs.select(F.explode(F.array(logs.trades_file(F.col("pair"), F.col("day")), logs.bars_file(F.col("pair"), F.col("day")))).alias("file"))
         return logs.missing_files(need, archives.present_files(spark, f"{args.data}/raw"))
 
-    def episodes() -> DataFrame:
-        return baseline_episodes(grids(spark, args.data, sample), scope=args.grid_scope)[1]
+    @functools.cache
+    def facts() -> DataFrame:
+        """All checks of the episodes, which are computed once for them."""
+        made = baseline_episodes(baseline_candidates(grids(spark, args.data, sample), scope=args.grid_scope))
+        return builds.validate_once(made, ["pair", "detector", "threshold_label"])
 
     stages: dict[str, Callable[[], DataFrame]] = {
         "membership": lambda: members.membership_sizes(tables["tables"]),
@@ -152,9 +180,9 @@ def structural_check(spark: SparkSession, args: argparse.Namespace) -> int:
     if not args.skip_detectors:
         bars = f"{args.data}/raw/klines"
         stages |= {
-            "coverage": lambda: logs.bar_coverage(grids(spark, args.data, sample), archives.read_bars(spark, bars).join(sample.select("pair"), "pair", "left_semi")),
-            "builds": lambda: builds.rollup(build_logs(spark, args, sample)), "facts": lambda: builds.validate(episodes()),
-            "cooldown": lambda: gap_audit(episodes(), ["pair", "detector", "threshold_label"]).agg(F.coalesce(F.bool_and("respected"), F.lit(True)).alias("respected")),
+            "coverage": lambda: logs.bar_coverage(grids(spark, args.data, sample), archives.read_bars(spark, bars, columns=(), keep=archives.ranges_of(sample))),
+            "builds": lambda: builds.rollup(build_logs(spark, args, sample)), "facts": lambda: facts().drop("respected"),
+            "cooldown": lambda: facts().select("respected"),
         }
     stamp, done, errors = provenance("structural"), {}, []
     for name, make in stages.items():
@@ -183,6 +211,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--exclude-amendment2-pairs", action="store_true")
     parser.add_argument("--warmup-days", type=int, default=constants.WARMUP_DAYS)
     parser.add_argument("--sample-pair-days", type=int, default=constants.STRUCTURAL_SAMPLE)
+    parser.add_argument("--draws", choices=("md5", "numpy"), default="md5", help="of the sampled pair-days")
+    parser.add_argument("--published-thresholds", default="", help="CSV table to check the frozen thresholds against")
     parser.add_argument("--manual-sample", type=int, default=constants.SAMPLE_SIZE)
     args = parser.parse_args(argv)
     args.frequencies = args.frequencies or list(constants.BIN_SECONDS)

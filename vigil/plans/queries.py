@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vigil.functions import numeric
 from vigil.operators import bootstrap, builds, cooldown, detectors, features, manifest as logs, model, signatures, timegrid, universe as members, workload
 from vigil.plans import sql
-from vigil.plans.tables import COOLDOWN_DAYS, DAY, alerts, brand_bars, daily_bars, daily_grid, hits, manifest, table, trades, universe, weeks
+from vigil.plans.tables import COOLDOWN_DAYS, DAY, JUMP_HIT, Z_HIT, alerts, brand_bars, daily_bars, daily_grid, hits, manifest, table, trades, universe, weeks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,16 +116,20 @@ def cyclical_time(spark, sf):
 _EPOCH = "(epoch_us(ts) * 1000) // (CASE event_id % 4 WHEN 0 THEN 1000000000 WHEN 1 THEN 1000000 WHEN 2 THEN 1000 ELSE 1 END)"
 
 
+def _epoch() -> F.Column:
+    """The time of an event as a number, in a unit that its id decides."""
+    by = F.element_at(F.array(*(F.lit(10**p) for p in (9, 6, 3, 0))), (F.col("event_id") % 4 + 1).cast("int"))
+    nanos = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    return ((nanos - F.pmod(nanos, by)).cast("decimal(20,0)") / by).cast("long")
+
+
 @query(
     f"SELECT event_id, CASE WHEN v >= 100000000000000000 THEN 'ns' WHEN v >= 100000000000000 THEN 'us' WHEN v >= 100000000000 THEN 'ms' ELSE 's' END AS unit,"
     " (CASE event_id % 4 WHEN 0 THEN v * 1000 WHEN 1 THEN v WHEN 2 THEN v // 1000 ELSE v // 1000000 END) AS millis"
     f" FROM (SELECT event_id, {_EPOCH} AS v FROM events)"
 )
 def epoch_units(spark, sf):
-    by = F.element_at(F.array(*(F.lit(10**p) for p in (9, 6, 3, 0))), (F.col("event_id") % 4 + 1).cast("int"))
-    nanos = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    value = ((nanos - F.pmod(nanos, by)).cast("decimal(20,0)") / by).cast("long")
-    rows = table(spark, sf, "events").select("event_id", value.alias("v"))
+    rows = table(spark, sf, "events").select("event_id", _epoch().alias("v"))
     return rows.select("event_id", numeric.epoch_unit(F.col("v")).alias("unit"), F.unix_millis(numeric.epoch_to_timestamp(F.col("v")).cast("timestamp")).alias("millis"))
 
 
@@ -188,6 +192,16 @@ def structural_facts(spark, sf):
     return alerts(spark, sf).agg(F.count("*").alias("episodes"), F.bool_and(score > 0.5).alias("above_threshold"), F.bool_and(F.col("ts_utc").isNotNull()).alias("timed"), F.bool_and(F.col("detector").isin("volume_zscore", "price_jump")).alias("known_detectors"))
 
 
+@query(
+    f"WITH RECURSIVE {sql.ALERTS} SELECT count(*) AS rows, true AS timed, true AS known_detector, bool_and(score >= CASE detector WHEN 'volume_zscore' THEN 1.5 ELSE 0.5 END) AS above_threshold, true AS available_later, bool_and(coalesce(gap >= 3, true)) AS respected"
+    " FROM (SELECT *, day - lag(day) OVER (PARTITION BY pair, detector ORDER BY day) AS gap FROM alerts)"
+)
+def observed_validation(spark, sf):
+    threshold = F.when(F.col("detector") == "volume_zscore", Z_HIT).otherwise(JUMP_HIT)
+    made = alerts(spark, sf).withColumns({"threshold": threshold, "ts_available_utc": F.col("ts_utc") + F.expr("interval 60 seconds")})
+    return builds.validate_once(made, ["pair", "detector"], seconds=COOLDOWN_DAYS * DAY)
+
+
 # Endpoints
 
 _STREAM = "detector, '' AS frequency, 'fixed' AS threshold_label"
@@ -229,9 +243,15 @@ def threshold_curve(spark, sf):
     return workload.threshold_curve(hits(spark, sf).withColumn("frequency", F.lit("")), levels, seconds=COOLDOWN_DAYS * DAY)
 
 
-@query("SELECT round(i * 0.05, 10) AS threshold FROM range(1, 20) t(i) UNION SELECT unnest([0.5, 0.7036605405579714, 0.5059013502406946, 0.3382249603958512])::double")
+_ENDS = "SELECT detector, ceil(min(round(score, 6)) / 0.05)::bigint AS lo, floor(max(round(score, 6)) / 0.05)::bigint AS hi FROM hits GROUP BY detector"
+
+
+@query(
+    f"WITH {sql.SCORED}, ends AS ({_ENDS}) SELECT detector, '' AS frequency, round(unnest(generate_series(lo, hi)) * 0.05, 10) AS threshold FROM ends"
+    " UNION SELECT detector, '', unnest([0.5, 0.7036605405579714, 0.5059013502406946, 0.3382249603958512])::double FROM ends"
+)
 def threshold_grid(spark, sf):
-    return workload.threshold_grid(spark)
+    return workload.score_grid(hits(spark, sf).select("detector", F.lit("").alias("frequency"), _six("score").alias("score")))
 
 
 @query(
@@ -272,6 +292,11 @@ def bootstrap_rate_numpy(spark, sf):
     return bootstrap.bootstrap_ratio(_by_pair(spark, sf), "pair", ["z", "j"], "hours")
 
 
+@query()
+def bootstrap_rate_tree(spark, sf):
+    return bootstrap.bootstrap_ratio(_by_pair(spark, sf), "pair", ["z", "j"], "hours", generator="tree")
+
+
 @query(
     f"WITH RECURSIVE {sql.ALERTS}, o AS (SELECT *, row_number() OVER (ORDER BY day, pair, detector) - 1 AS place FROM alerts), picked AS (SELECT * FROM o ORDER BY md5('20260722|' || place), place LIMIT 100)"
     " SELECT (row_number() OVER (ORDER BY place))::int AS sample_id, pair, day::varchar AS day, detector, '' AS verdict FROM picked"
@@ -321,10 +346,18 @@ def build_log(spark, sf):
     return out.withColumn("day", F.col("day").cast("string")).select("symbol", "day", "n_rows_target_day", "n_rows_scored", "warmup_sufficient")
 
 
-@query(f"{_BUILDS} SELECT 'six hours' AS frequency, count(*) AS builds, sum(rows)::bigint AS n_rows_target_day, sum(scorable)::bigint AS n_rows_scored, max(rows) AS most_rows, bool_and(scorable > 0) AS all_sufficient, count(*) FILTER (scorable = 0) AS builds_without_rows FROM per")
+@query(
+    f"{_BUILDS}, u AS (SELECT pair, ts::date AS day, arg_min(CASE WHEN v >= 100000000000000000 THEN 'ns' WHEN v >= 100000000000000 THEN 'us' WHEN v >= 100000000000 THEN 'ms' ELSE 's' END, (ts, event_id)) AS unit"
+    f" FROM (SELECT pair, ts, event_id, {_EPOCH} AS v FROM trades) GROUP BY ALL)"
+    " SELECT 'six hours' AS frequency, count(*) AS builds, sum(rows)::bigint AS n_rows_target_day, sum(scorable)::bigint AS n_rows_scored, max(rows) AS most_rows, bool_and(scorable > 0) AS all_sufficient, count(*) FILTER (scorable = 0) AS builds_without_rows,"
+    " string_agg(DISTINCT unit, ',' ORDER BY unit) AS units FROM per JOIN u ON per.symbol = u.pair AND per.day = u.day"
+)
 def build_rollup(spark, sf):
-    out = builds.build_log(trades(spark, sf), SIX_HOURS, 5, warmup_days=14).withColumn("frequency", F.lit("six hours"))
-    return builds.rollup(out).select("frequency", "builds", "n_rows_target_day", "n_rows_scored", "most_rows", "all_sufficient", "builds_without_rows")
+    own = trades(spark, sf)
+    first = F.min_by(numeric.epoch_unit(_epoch()), F.struct("ts", "event_id")).alias("unit")
+    units = own.groupBy(F.col("pair").alias("symbol"), F.to_date("ts").alias("day")).agg(first)
+    out = builds.with_units(builds.build_log(own, SIX_HOURS, 5, warmup_days=14), units).withColumn("frequency", F.lit("six hours"))
+    return builds.rollup(out).select("frequency", "builds", "n_rows_target_day", "n_rows_scored", "most_rows", "all_sufficient", "builds_without_rows", "units")
 
 
 @query(f"WITH {sql.SCORED}, f AS (SELECT pair, detector, min(day) AS day FROM hits WHERE day >= DATE '2024-01-15' AND day < DATE '2024-01-16' GROUP BY ALL) SELECT pair, detector, day::varchar AS day FROM f")
@@ -338,6 +371,13 @@ def gate_events(spark, sf):
     return builds.sample_rows(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"], n=30, seed=20260723).select("sample_id", "event_id")
 
 
+@query()
+def gate_events_python(spark, sf):
+    """The same with the places of Python's random.sample."""
+    events = table(spark, sf, "events").select("event_id", "ts")
+    return builds.sample_rows(events, ["ts", "event_id"], n=30, seed=20260723, generator="python").select("sample_id", "event_id")
+
+
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events")
 def json_fields(spark, sf):
     return table(spark, sf, "events").select("event_id", numeric.json_fields(F.col("props"), "k bigint")["k"].alias("k"))
@@ -374,12 +414,12 @@ def monitored_pair_days(spark, sf):
     return _monitored(spark, sf).select(F.col("day").cast("string").alias("day"), "symbol")
 
 
-_STRATA = f"WITH {sql.MONITORED}, strata AS (SELECT day, symbol, CASE WHEN rank IS NULL THEN NULL WHEN p <= round_even(n / 3.0, 0) THEN 1 WHEN p <= round_even(n * 2 / 3.0, 0) THEN 2 ELSE 3 END AS stratum FROM (SELECT *, count(rank) OVER (PARTITION BY day) AS n, row_number() OVER (PARTITION BY day ORDER BY rank NULLS LAST) AS p FROM monitored))"
+_STRATA = f"WITH {sql.MONITORED}, strata AS (SELECT day, symbol, CASE WHEN rank IS NULL THEN NULL WHEN p <= round_even(n / 3.0, 0) THEN 1 WHEN p <= round_even(n * 2 / 3.0, 0) THEN 2 ELSE 3 END AS stratum FROM (SELECT *, count(rank) OVER (PARTITION BY day) AS n, row_number() OVER (PARTITION BY day ORDER BY rank NULLS LAST) AS p FROM governed))"
 
 
 @query(f"{_STRATA} SELECT day::varchar AS day, symbol, stratum FROM strata")
 def activity_tertiles(spark, sf):
-    return members.strata(_monitored(spark, sf)).select(F.col("day").cast("string").alias("day"), "symbol", "stratum")
+    return members.strata(_governed(spark, sf)).select(F.col("day").cast("string").alias("day"), "symbol", "stratum")
 
 
 def _order_alerts(spark, sf):
@@ -398,12 +438,11 @@ def restrict_to_monitored(spark, sf):
 
 @query(
     f"{_STRATA}, {_ORDER_ALERTS}, names AS (SELECT unnest(['1', '2', '3', 'unassigned']) AS stratum), al AS (SELECT coalesce(s.stratum::varchar, 'unassigned') AS stratum, count(*) AS alerts FROM oa LEFT JOIN strata s ON s.day = oa.day AND s.symbol = oa.pair GROUP BY ALL),"
-    " ho AS (SELECT coalesce(stratum::varchar, 'unassigned') AS stratum, 24.0 * count(*) AS hours FROM strata GROUP BY ALL)"
+    " ho AS (SELECT coalesce(stratum::varchar, 'unassigned') AS stratum, 24.0 * count(*) AS hours FROM monitored LEFT JOIN strata USING (day, symbol) GROUP BY ALL)"
     " SELECT 'large_order' AS detector, '' AS frequency, 'fixed' AS threshold_label, stratum, coalesce(alerts, 0) AS alerts, coalesce(hours, 0)::double AS pair_hours, CASE WHEN hours > 0 THEN round(coalesce(alerts, 0) * 1000.0 / hours, 6) END AS rate FROM names LEFT JOIN al USING (stratum) LEFT JOIN ho USING (stratum)"
 )
 def stratified_rates(spark, sf):
-    own = _monitored(spark, sf)
-    return workload.stratified(_order_alerts(spark, sf), members.strata(own), own).withColumn("rate", _six("rate"))
+    return workload.stratified(_order_alerts(spark, sf), members.strata(_governed(spark, sf)), _monitored(spark, sf)).withColumn("rate", _six("rate"))
 
 
 @query(f"WITH {sql.UNIVERSE} SELECT table_date::varchar AS table_date, count(*) AS total, count(*) FILTER (rank > 50) AS included_count FROM universe GROUP BY ALL")
@@ -543,6 +582,8 @@ def gate_clearance(spark, sf):
 
 @query()
 def forest_scores(spark, sf):
-    """A forest fitted on the feature matrix, whose label is whether the mean volume has grown."""
-    matrix = features.drop_nonfinite(_matrix(spark, sf)).withColumn("gt", (F.col("avg_volume") > 0.1).cast("int")).persist()
-    return model.score(model.fit(matrix), matrix).select("pair", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), _six("score").alias("score"))
+    """Held-out scores: a forest fitted on four fifths of the pairs, whose label is whether the mean volume has grown, scores the rest."""
+    matrix = features.drop_nonfinite(_matrix(spark, sf)).withColumn("gt", (F.col("avg_volume") > 0.1).cast("int"))
+    held_out = F.crc32("pair") % 5 == 0
+    fitted = model.fit(matrix.where(~held_out))
+    return model.score(fitted, matrix.where(held_out)).select("pair", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "gt", _six("score").alias("score"))

@@ -52,9 +52,10 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as symbols, ranked each quarter by their orders of the 90 days before."""
-    dates = F.broadcast(_span(spark, sf_dir, "quarter").select(F.explode(F.sequence("first", "last", F.expr("interval 3 month"))).alias("table_date")))
-    day = F.to_date("o_orderdate")
-    volumes = table(spark, sf_dir, "orders").join(dates, (day >= F.date_sub("table_date", 90)) & (day < F.col("table_date"))).groupBy("table_date", F.concat(F.lit("C"), "o_custkey").alias("symbol")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("volume"))
+    span, day = _span(spark, sf_dir, "quarter"), F.to_date("o_orderdate")
+    later = F.add_months(F.trunc(day, "quarter"), 3)  # a quarter has 90 days or more: an order counts for the next one's table alone
+    dated = table(spark, sf_dir, "orders").withColumn("table_date", later).where(day >= F.date_sub("table_date", 90)).join(F.broadcast(span), later.between(F.col("first"), F.col("last")))  # one row
+    volumes = dated.groupBy("table_date", F.concat(F.lit("C"), "o_custkey").alias("symbol")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("volume"))
     return rank_table(volumes)
 
 

@@ -2,93 +2,96 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import zipfile
-from collections.abc import Iterator
+import datetime as dt
+import json
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from vigil.functions.numeric import epoch_to_timestamp, epoch_unit, flag, known
+from vigil.sources import zip_source
 
 TRADES = ("agg_trade_id", "price", "quantity", "first_trade_id", "last_trade_id", "transact_time", "is_buyer_maker", "is_best_match")
 BARS = ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_buy_volume", "taker_buy_quote_volume", "ignore")
 
 
-def read_zip_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """Rows of ZIP archives that hold one CSV file each: file, seq, and the columns as text.
+#: (pair, first day, last day) of archives to open.
+Ranges = list[tuple[str, dt.date, dt.date]]
+
+
+def ranges_of(pair_days: DataFrame, *, before: int = 0) -> Ranges:
+    """The runs of days of each pair in pair_days (pair, day), each begun so many days before.  The driver gets one row a run: about one a pair."""
+    order = Window.partitionBy("pair").orderBy("day")
+    new = F.when(F.datediff("day", F.lag("day").over(order)) == 1, 0).otherwise(1)
+    runs = pair_days.select("pair", "day").distinct().withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return [tuple(r) for r in runs.groupBy("pair", "_run").agg(F.date_sub(F.min("day"), before).alias("first"), F.max("day").alias("last")).drop("_run").collect()]
+
+
+def read_zip_csv(spark: SparkSession, path: str, columns: tuple[str, ...], wanted: tuple[str, ...] | None = None, *, keep: Ranges | None = None) -> DataFrame:
+    """Rows of ZIP archives that hold one CSV file each: file, seq, pair, day (from the file's name), and the wanted columns as text.
 
     Columns are named by place.  A first line whose first field is no number is a header.  An archive with
     another number of members, or a line with another number of fields, ends the job; an empty
-    file has no rows.  Rows leave in batches, so that an archive is never held as a whole table.
+    file has no rows.  With keep, only archives of these pairs and days are opened; columns that are not wanted are not parsed.
+    Rows leave in batches, so that an archive is never held as a whole table.
     """
+    fields = ["file string", "seq long", "pair string", "day date", *(f"`{c}` string" for c in (columns if wanted is None else wanted))]
+    return _scan(spark, path, columns, ", ".join(fields), keep)
+
+
+def read_heads(spark: SparkSession, path: str, *, keep: Ranges | None = None) -> DataFrame:
+    """file, pair, day, headed, first: whether an archive begins with a header, and the fields of its first record.  Nothing behind that is inflated."""
+    return _scan(spark, path, (), zip_source.HEAD, keep)
+
+
+def _scan(spark: SparkSession, path: str, columns: tuple[str, ...], schema: str, keep: Ranges | None) -> DataFrame:
+    uri, names = zip_source.qualified(spark, path), ",".join(columns)
+    if zip_source.file_system(uri):
+        spark.dataSource.register(zip_source.ZipCsv)
+        reader = spark.read.format(zip_source.FORMAT).option("columns", names).schema(schema)
+        return (reader if keep is None else reader.option("keep", json.dumps([(p, str(a), str(b)) for p, a, b in keep]))).load(uri)
+    files = _archives(spark, path)
+    if keep is not None:
+        name = F.regexp_extract("path", r"([^/]+?)-[^/]*?(\d{4}-\d{2}-\d{2})\.zip$", 1), F.try_to_date(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})\.zip$", 1))
+        ranges = spark.createDataFrame(keep, "_pair string, _first date, _last date")
+        files = files.join(ranges, (name[0] == F.col("_pair")) & name[1].between(F.col("_first"), F.col("_last")), "left_semi")
+    return files.select("path", "content").mapInArrow(zip_source.from_content(names, StructType.fromDDL(schema)), schema)
+
+
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+
+
+_NUMBERS = ("open", "high", "low", "close", "volume", "quote_volume", "trades")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, content in ((n, c) for b in batches for n, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True)):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                if len(inside := archive.namelist()) != 1:
-                    raise ValueError(f"{name} has {len(inside)} members")
-                with archive.open(inside[0]) as raw:
-                    rows: list[list[str]] = []
-                    seq = 0
-                    for line in csv.reader(io.TextIOWrapper(raw, "utf-8", newline="")):
-                        if not line or (seq == 0 and not rows and not _number(line[0])):
-                            continue
-                        if len(line) != len(columns):
-                            raise ValueError(f"{name} has a line of {len(line)} fields")
-                        rows.append(line)
-                        if len(rows) == 50_000:
-                            yield _batch(name, seq, rows)
-                            seq, rows = seq + len(rows), []
-                    if rows:
-                        yield _batch(name, seq, rows)
-
-    def _batch(name: str, seq: int, rows: list[list[str]]) -> pa.RecordBatch:
-        arrays = [pa.array([name] * len(rows)), pa.array(range(seq, seq + len(rows)), pa.int64()), *(pa.array(c, pa.string()) for c in zip(*rows, strict=True))]
-        return pa.RecordBatch.from_arrays(arrays, names=["file", "seq", *columns])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, "file string, seq long, " + ", ".join(f"`{c}` string" for c in columns))
-
-
-def _number(token: str) -> bool:
-    try:
-        float(token)
-    except ValueError:
-        return False
-    return True
-
-
-def _pair_of(file):
-    """The part of a file's name before the first hyphen."""
-    return F.regexp_extract(file, r"([^/]+?)-[^/]*$", 1)
-
-
-def read_trades(spark: SparkSession, path: str) -> DataFrame:
-    """pair, file, seq, ts, price, quote_volume, side: a trade whose buyer is the maker is a sell."""
-    raw = read_zip_csv(spark, path, TRADES)
+def read_trades(spark: SparkSession, path: str, *, columns: tuple[str, ...] = ("file", "seq", "ts", "price", "quote_volume", "side"), keep: Ranges | None = None) -> DataFrame:
+    """pair, day (of the archive) and the columns asked for: a trade whose buyer is the maker is a sell."""
     price, quantity = F.col("price").cast("double"), F.col("quantity").cast("double")
-    side = F.when(flag(F.col("is_buyer_maker")), "sell").otherwise("buy")
-    return raw.select(_pair_of(F.col("file")).alias("pair"), "file", "seq", epoch_to_timestamp(F.col("transact_time").cast("long")).alias("ts"), price.alias("price"), (price * quantity).alias("quote_volume"), side.alias("side"))
+    made = {
+        "file": (F.col("file"), ()), "seq": (F.col("seq"), ()), "ts": (epoch_to_timestamp(F.col("transact_time").cast("long")), ("transact_time",)), "price": (price, ("price",)),
+        "quote_volume": (price * quantity, ("price", "quantity")), "side": (F.when(flag(F.col("is_buyer_maker")), "sell").otherwise("buy"), ("is_buyer_maker",)),
+    }
+    used = tuple(c for c in TRADES if any(c in made[x][1] for x in columns))
+    return read_zip_csv(spark, path, TRADES, used, keep=keep).select("pair", "day", *(made[x][0].alias(x) for x in columns))
 
 
-def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """pair, open_time and seven numbers of each bar."""
-    raw = read_zip_csv(spark, path, BARS)
-    numbers = [known(F.col(c).cast("double")).alias(c) for c in ("open", "high", "low", "close", "volume", "quote_volume", "trades")]
-    return raw.select(_pair_of(F.col("file")).alias("pair"), epoch_to_timestamp(F.col("open_time").cast("long")).alias("open_time"), *numbers)
+def read_bars(spark: SparkSession, path: str, *, columns: tuple[str, ...] = _NUMBERS, keep: Ranges | None = None) -> DataFrame:
+    """pair, day (of the archive), open_time and the numbers asked for of each bar."""
+    raw = read_zip_csv(spark, path, BARS, ("open_time", *columns), keep=keep)
+    return raw.select("pair", "day", epoch_to_timestamp(F.col("open_time").cast("long")).alias("open_time"), *(known(F.col(c).cast("double")).alias(c) for c in columns))
 
 
-def epoch_units(spark: SparkSession, path: str) -> DataFrame:
-    """Per archive of trades: the unit of its first row."""
-    return read_zip_csv(spark, path, TRADES).groupBy("file").agg(F.min_by(epoch_unit(F.col("transact_time").cast("long")), "seq").alias("unit"))
+def epoch_units(spark: SparkSession, path: str, *, keep: Ranges | None = None) -> DataFrame:
+    """Per archive of trades with a record: file, pair, day, headed and the unit of its first record, of which alone it is read."""
+    value = F.try_element_at("first", F.lit(TRADES.index("transact_time") + 1)).try_cast("double").cast("long")
+    return read_heads(spark, path, keep=keep).where(F.size("first") > 0).select("file", "pair", "day", "headed", F.coalesce(epoch_unit(value), F.lit("")).alias("unit"))
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
-    """Membership tables; the date is in the file's name, universe_YYYY-MM-DD.csv."""
-    raw = spark.read.schema("symbol string, vol30d decimal(28,8), rank int, included string").csv(path, header=True, pathGlobFilter="universe_*.csv")
-    date = F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"universe_(\d{4}-\d{2}-\d{2})", 1))
+    """Membership tables; the date is in the name of the file, or of the folder with its parts, universe_YYYY-MM-DD.csv."""
+    raw = spark.read.schema("symbol string, vol30d decimal(28,8), rank int, included string").csv(f"{path}/universe_*.csv", header=True)
+    date = F.to_date(F.regexp_extract(F.col("_metadata.file_path"), r"universe_(\d{4}-\d{2}-\d{2})\.csv", 1))
     return raw.select(date.alias("table_date"), "symbol", "vol30d", "rank", (F.col("included") == "1").alias("included"))
 
 
@@ -98,11 +101,14 @@ def read_log(spark: SparkSession, path: str, columns: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The pull manifest with seq, the order of its rows: its own column, or in a plain file the place of the row."""
+    """The pull manifest with seq, the order of its rows: its own column, or in one plain file the place of the row.  Several plain files have no order."""
     columns = "date date, symbol string, file string, bytes long, sha256 string, source_checksum_ok string"
     if "seq" in spark.read.csv(path, header=True).columns:
         return read_log(spark, path, columns + ", seq long")
-    return read_log(spark, path, columns).withColumn("seq", F.monotonically_increasing_id())
+    rows = read_log(spark, path, columns)
+    if len(rows.inputFiles()) > 1:
+        raise ValueError(f"{path} has several files without a column seq")
+    return rows.withColumn("seq", F.monotonically_increasing_id())
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -112,8 +118,7 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def present_files(spark: SparkSession, path: str) -> DataFrame:
     """The names of all archives below a folder; their content is not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file")).distinct()
+    return _archives(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file")).distinct()
 
 
 def read_episodes(spark: SparkSession, path: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import time
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigil import constants
 from vigil.functions.positions import with_position
@@ -30,9 +30,31 @@ def write_candidates(df: DataFrame, path: str, **options) -> None:
 
 
 def append_log(rows: DataFrame, path: str, *, order: tuple[str, ...] = ("symbol", "file")) -> None:
-    """Appends rows with seq, which grows from append to append and within one by order: files of a folder have no order themselves."""
+    """Appends rows with seq, which goes on from the highest one there and grows within an append by order: files of a folder have no order themselves."""
+    spark, last = rows.sparkSession, -1
+    if exists(spark, path):
+        last = spark.read.csv(path, header=True).agg(F.max(F.col("seq").cast("long"))).first()[0]
     placed = with_position(rows.drop("seq"), *order, name="seq")
-    write_table(placed.withColumn("seq", F.col("seq") + time.time_ns() // 1000), path, mode="append")
+    write_table(placed.withColumn("seq", F.col("seq") + (-1 if last is None else last) + 1), path, mode="append")
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, files = _files(spark, path)
+    return files.exists(hadoop)
+
+
+def replace_text(spark: SparkSession, lines: list[str], path: str) -> None:
+    """Writes a few lines beside path and then puts them in its place."""
+    fresh, files = _files(spark, f"{path}.{uuid.uuid4().hex}")
+    old, _ = _files(spark, path)
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(fresh.toString())
+    files.delete(old, True)
+    files.rename(fresh, old)
 
 
 def write_universe(table: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil import constants
@@ -38,3 +39,52 @@ def stream_cooldown(hits: DataFrame, *, seconds: int = constants.COOLDOWN_SECOND
         yield rows.iloc[keep][["pair", "detector", "ts_utc", "score"]]
 
     return hits.groupBy("pair", "detector").applyInPandasWithState(run, "pair string, detector string, ts_utc timestamp_ntz, score double", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+class _OrderedCooldown(StatefulProcessor):
+    """Keeps a key's hits until the watermark has passed them, and then judges them by time."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last, self.waiting = handle.getValueState("last", "at long"), handle.getListState("waiting", "at long, score double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            at = (frame["ts_utc"].dt.tz_localize(None) - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
+            self.waiting.appendList([(int(t), None if pd.isna(s) else float(s)) for t, s in zip(at, frame["score"], strict=True)])
+            for millis in {-(-int(t) // 1000) for t in at}:
+                self.handle.registerTimer(millis)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((w for w in waiting if w[0] <= passed), key=lambda w: (w[0], w[1] is not None, w[1]))
+        if not ready:
+            return
+        rest, last, keep = [tuple(w) for w in waiting if w[0] > passed], self.last.get()[0] if self.last.exists() else None, []
+        for at, score in ready:
+            if last is None or at - last >= self.width:
+                keep.append((at, score))
+                last = at
+        self.last.update((last,))
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        times = pd.to_datetime([at for at, _ in keep], unit="us")
+        yield pd.DataFrame({"pair": key[0], "detector": key[1], "ts_utc": times, "score": [s for _, s in keep]})
+
+
+def stream_cooldown_by_time(hits: DataFrame, *, seconds: int = constants.COOLDOWN_SECONDS, late: str = "2 days") -> DataFrame:
+    """The cooldown over a stream of hits (pair, ts_utc, detector, score) in the order of their times, whatever order they come in.
+
+    A hit waits until the watermark, late behind the latest time, has passed it; hits within that lateness are judged as a
+    batch would.  Later ones are dropped, and counted by Spark as such.  The state of a key is its waiting hits and its last alert, in
+    RocksDB, which the session's spark.sql.streaming.stateStore.providerClass must name.
+    """
+    timed = hits.where("ts_utc is not null").withColumn("ts_utc", F.col("ts_utc").cast("timestamp")).withWatermark("ts_utc", late)
+    return (
+        timed.groupBy("pair", "detector")
+        .transformWithStateInPandas(_OrderedCooldown(seconds * 1_000_000), "pair string, detector string, ts_utc timestamp_ntz, score double", "append", "EventTime")
+    )
