@@ -19,12 +19,14 @@ from vigil.llm.queries import GOOD, fit_quality, table
 ORACLE_SQL = None
 
 
-def _with_text(docs: DataFrame, text: str) -> DataFrame:
-    """docs with another text, and n_chars made to fit it."""
-    out = docs.withColumn("text", F.col(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+def _apart(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and the whole row in one column, so that columns that an operator adds hide none of it."""
+    return docs.select("doc_id", "text", F.struct("*").alias("row"))
+
+
+def _with_text(docs: DataFrame) -> DataFrame:
+    """docs with n_chars made to fit its text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -50,9 +52,12 @@ def _stage(work: Stage) -> Stage:
 
 @_stage
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier, fitted on the labelled rows of the input, finds bad."""
+    """Drops documents that the classifier, fitted on the labelled rows of the input, finds bad.
+
+    Each row is judged by its own text, whatever its doc_id.  A null text, or one without a word, scores 0 and goes.  All columns stay as they are.
+    """
     field = fit_quality(spark, docs, sf_dir)
-    return quality.score(docs, field).where(F.col("score") >= GOOD).select(docs.columns)
+    return quality.score(_apart(docs), field).where(F.col("score") >= GOOD).select("row.*")
 
 
 @_stage
@@ -75,22 +80,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 20 words and more that stand earlier; others keep their text as it is.
 
-    A document of which no word is left goes.
+    A document of which no word is left goes.  A null text or one without words stays as it is, rows without doc_id count as earlier than all others, and repeated
+    rows are all treated alike.  Only text and n_chars change.
     """
-    found = substrings.remove_repeats(docs)
-    left = found.where("n_removed = 0 or n_removed < n_words")
-    return _with_text(left.withColumn("kept_text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))), "kept_text").select(docs.columns)
+    left = substrings.remove_repeats(_apart(docs)).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return _with_text(left.select(F.col("row").withField("text", text).alias("row")).select("row.*"))
 
 
 @_stage
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data, and the terms that reveal it."""
-    return _with_text(pii.sanitise(docs), "text").select(docs.columns)
+    """Replaces personal data, and the terms that reveal it.
+
+    A null text stays null, an empty one empty; doc_id plays no part, and repeated rows are all treated alike.  Only text and n_chars change.
+    """
+    return _with_text(pii.sanitise(docs))
 
 
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
+    """Packs the documents' tokens into sequences.
+
+    A null or empty text is one token, the end of the document; each row is packed on its own, also repeated ones and those without doc_id.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
