@@ -343,3 +343,84 @@ def test_stages_on_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+# Searches at all sizes of vectors
+
+
+@pytest.mark.parametrize(("norm", "dimensions"), [(1e-3, 64), (1e4, 64), (1e4, 8), (1e3, 768), (1e150, 64)])
+def test_search_returns_all_neighbours_at_every_norm(spark, norm, dimensions):
+    rng, n, k, every = np.random.default_rng(dimensions), 1_000, 20, 50
+    x = rng.normal(size=(n, dimensions)) * norm * rng.choice([1e-3, 1.0], (n, 1))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    score = np.zeros((n // every, n))
+    for d in range(dimensions):
+        score += x[::every, d][:, None] * x[:, d][None, :]
+    want = {}
+    for i in range(0, n, every):
+        others = [j for j in np.lexsort((np.arange(n), -score[i // every])).tolist() if j != i][:k]
+        want |= {(i, r + 1): (j, score[i // every, j]) for r, j in enumerate(others)}
+    got = vptree.nearest(df, every=every, k=k, factor=1.0, sample_rows=100).collect()
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Columns that operators add under the same names are not the table's own."""
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}" for a in "ba co di fu ge hi".split() for b in "lor men sat ver ning pot".split()]
+    line = lambda: " ".join(rng.choice(words, 14)).capitalize() + "."
+    texts = ["\n".join(line() for _ in range(6)) for _ in range(40)] + [" ".join(w.upper() + "!!" for w in rng.choice(words, 80)) for _ in range(20)]
+    passage = " ".join(rng.choice(words, 40))
+    texts[1], texts[2], texts[3] = texts[1] + "\n" + passage, texts[2] + "\n" + passage, texts[3] + " Mail to bo@mail.example.org."
+    own = ["score", "line_labels", "n_words", "n_removed", "kept_text", "row", "spans", "goes", "first", "base", "rid"]
+    rows = [(i, t, *[f"{c}{i}" for c in own], len(t)) for i, t in enumerate(texts)] + [(None, None, *["x"] * len(own), 0), (70, "", *["y"] * len(own), 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in own) + ", n_chars long")
+    spark.createDataFrame([(i, int(i < 40), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / f"s{k}"))
+        if k == 4:
+            break
+        got = spark.read.parquet(str(tmp_path / f"s{k}"))
+        assert got.schema == docs.schema, name
+        left = {r["doc_id"]: r for r in got.collect()}
+        assert len(left) > 35 and all(left[i][c] == f"{c}{i}" for i in left if i is not None and i < 60 for c in own), name
+        assert all(r["n_chars"] == len(r["text"] or "") for r in left.values()), name
+        assert (None in left, 70 in left) == ((False, False) if k == 0 else (True, True)), name
+    assert {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "s4")).collect()} == {r[0] for r in rows}
+
+
+# Where archives go
+
+
+def test_archives_go_where_hadoop_points(spark, tmp_path):
+    assert storage.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    assert warc_zip.store(f"file:{tmp_path}")[1] == str(tmp_path) and warc_zip.store(f"file://{tmp_path}")[1] == str(tmp_path)
+    assert warc_zip.arrow_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and warc_zip.arrow_uri("hdfs://name:8020/a") == "hdfs://name:8020/a"
+    with pytest.raises(ValueError, match="cannot be in viewfs"):
+        warc_zip.store("viewfs://cluster/a")
+    pages = spark.createDataFrame([(1, "http://a.b/", "x"), (2, "http://a.b/2", "x")], "page_id long, url string, html string")
+    written = warc_zip.write(pages, str(tmp_path / "plain"))  # without a scheme
+    paths = [r["path"] for r in written.collect()]
+    assert paths and all(p.startswith("file:/") for p in paths)
+    bare = spark.createDataFrame([(p.removeprefix("file:"),) for p in paths], "path string")
+    for archives in (written, bare):
+        assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc_zip.read(archives).collect()} == {(1, "revisit", 2), (2, "response", None)}
+
+
+def test_labelled_text_above_the_bound_is_learnt_from(spark):
+    """The bound cuts the document that crosses it; shorter ones behind it do not take its place."""
+    from vigil.llm import quality
+
+    long = "\n".join(f"A fine line number {i} of many words." for i in range(300))
+    docs = spark.createDataFrame([(i, long if i % 2 else "BAD!! 000\n" * 300) for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, label int")
+    seen = []
+    fitted = quality.fit
+    try:
+        quality.fit = lambda taken: seen.append([len(x[0]) for x in taken]) or fitted(taken)
+        quality.train(docs, labels, max_lines=450)
+    finally:
+        quality.fit = fitted
+    assert seen == [[300, 150]]

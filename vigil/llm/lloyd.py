@@ -68,7 +68,8 @@ def _sums(shared):
                 total[clusters] += np.add.reduceat(x[order], starts, axis=0)
                 n[clusters] += np.diff(np.append(starts, len(order)))
         some = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": some.astype(np.int32), "n": n[some], "total": list(total[some])})
+        if len(some):
+            yield pd.DataFrame({"cluster": some.astype(np.int32), "n": n[some], "total": list(total[some])})
 
     return run
 

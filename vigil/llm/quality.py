@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_documents: int = 8000, max_
     """Fits a field on labelled documents: labels has doc_id and label (0 or 1; other values are left out).
 
     At most max_documents labelled rows are used, those whose id has the lowest hashes, and of
-    these, in that order, as many as have max_lines lines together, so what reaches the driver has a fixed bound and
+    these, in that order, the first max_lines lines, whatever document they end in, so what reaches the driver has a fixed bound and
     does not depend on how the tables are cut.  A doc_id of several rows or labels gives a document for each pair of them.
     """
     order = F.xxhash64("doc_id")
@@ -229,9 +229,11 @@ def train(docs: DataFrame, labels: DataFrame, *, max_documents: int = 8000, max_
     found = rows.mapInArrow(_line_rows, "place long, text_key long, label int, n long, length binary, features binary").where("n > 0")
     taken, lines = [], 0
     for r in found.orderBy("place", "text_key", "label").toLocalIterator():
-        if lines + r["n"] <= max_lines:
-            lines += r["n"]
-            taken.append((np.frombuffer(r["length"], dtype="<i8"), np.frombuffer(r["features"], dtype="<f4").reshape(-1, len(FEATURES)), r["label"]))
+        n = min(r["n"], max_lines - lines)
+        taken.append((np.frombuffer(r["length"], dtype="<i8")[:n], np.frombuffer(r["features"], dtype="<f4").reshape(-1, len(FEATURES))[:n], r["label"]))
+        lines += n
+        if lines == max_lines:
+            break
     return fit(taken)
 
 

@@ -44,6 +44,12 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme, and host if any, of the store that Hadoop takes it to be in."""
+    hadoop, files = _file_system(spark, path)
+    return files.makeQualified(hadoop).toString()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet once and reads it back: later plans start from the files, which outlive executors."""
     path = new_path(df.sparkSession, name)

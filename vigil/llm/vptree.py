@@ -13,6 +13,7 @@ much below the distance to beat; factor one gives exact results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +26,8 @@ from .vectors import matrix, usable
 LEAF = 256
 #: Rows in a shard, or in one of the parts that a large shard is split into; shards that the sample is cut into at most.
 SHARD_ROWS, MAX_SHARDS = 8_192, 1_024
-_SLACK = 1e-9
+#: Rounding of one operation.
+UNIT = 2.0**-53
 
 
 @dataclass
@@ -63,6 +65,18 @@ def leaves(node: Node, bounds: tuple = ()) -> list[tuple[Node, tuple]]:
     return leaves(node.inner, (*bounds, (node.point, node.radius, True))) + leaves(node.outer, (*bounds, (node.point, node.radius, False)))
 
 
+def product_error(dimensions: int, query_norms: np.ndarray, longest: float) -> np.ndarray:
+    """By how much two ways to add up an inner product may differ at most, doubled."""
+    return 8 * (dimensions + 4) * UNIT * query_norms * longest
+
+
+def to_beat(least: np.ndarray, squares: np.ndarray, longest: float, dimensions: int) -> np.ndarray:
+    """A distance that no row beyond has an inner product of least or more, with room for the rounding of products, lengths and distances."""
+    base, part = squares + longest**2, 16 * (dimensions + 4) * UNIT
+    least = least - product_error(dimensions, np.sqrt(squares), longest)
+    return np.sqrt(np.maximum(0, base - 2 * least) + part * base) + part * np.sqrt(base)
+
+
 def augment(x: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(0, longest**2 - (x * x).sum(axis=1)))])
 
@@ -74,13 +88,14 @@ class _Search:
         self.x, self.own, self.q, self.k, self.factor = x, own, queries, k, factor
         self.own_rows = own_rows  # each query's own row here, or -1
         self.best = np.repeat(least[:, None], k, axis=1)
-        self.base = (queries * queries).sum(axis=1) + longest**2
+        self.longest, self.squares = longest, (queries * queries).sum(axis=1)
+        self.error = product_error(queries.shape[1], np.sqrt(self.squares), longest)
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
         self.compared = 0  # inner products taken
 
     def beat(self, who: np.ndarray) -> np.ndarray:
         """The distance of the k-th best so far."""
-        return np.sqrt(np.maximum(0, self.base[who] - 2 * self.best[who].min(axis=1))) * (1 + _SLACK) + _SLACK
+        return to_beat(self.best[who].min(axis=1), self.squares[who], self.longest, self.q.shape[1])
 
     def visit(self, node: Node, who: np.ndarray) -> None:
         if not len(who):
@@ -91,7 +106,7 @@ class _Search:
             s[node.rows[None, :] == self.own_rows[who][:, None]] = -np.inf
             both = np.concatenate([self.best[who], s], axis=1)
             self.best[who] = -np.partition(-both, self.k - 1, axis=1)[:, : self.k]
-            a, b = np.nonzero(s >= self.best[who].min(axis=1)[:, None] - _SLACK)
+            a, b = np.nonzero(s >= (self.best[who].min(axis=1) - self.error[who])[:, None])
             self.pairs.append((who[a], node.rows[b]))
             return
         # A query's own point has no further component, the vantage point may have one.
@@ -134,7 +149,7 @@ class Part:
         score = np.zeros(len(who))
         for d in range(q.shape[1]):  # one component after the other, as any plain loop adds them
             score += q[who, d] * self.vectors[what, d]
-        keep = score >= search.best[who].min(axis=1) - _SLACK
+        keep = score >= search.best[who].min(axis=1) - search.error[who]
         who, what, score = who[keep], what[keep], score[keep]
         n = self.size[what]
         at = np.repeat(self.begin[what] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -162,19 +177,24 @@ def nearest(embeddings: DataFrame, *, every: int = 20, k: int = 20, factor: floa
 
     Returns query_id, rank (from 1), vec_id, score, ties by smaller vec_id, all candidates if there are fewer.
     Rows with a null vec_id or with a vector that is null, zero, of another length than
-    most, or not finite take no part.  A row is never compared with rows of its own vec_id; repeated
+    most, or not finite take no part.  Vectors are scaled by one power of two, so that neither squares nor products of large ones
+    overflow; a product that does is infinite in score, but ranked by its size.  A row is never compared with rows of its own vec_id; repeated
     queries with one vector are answered once, and those with several together.  Further columns are ignored
     and an empty table gives an empty table.
     sample_rows: rows that the cut into shards is made from; all rows are in shards.
     """
     spark = embeddings.sparkSession
     rows = embeddings.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(usable("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    size = F.array_max(F.transform("v", F.abs))
+    norm = size * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x / size * (x / size)))
     out = "query_id long, rank int, vec_id long, score double"
-    lengths = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), F.desc("size")).first()
+    lengths = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"), F.max(size).alias("largest"), F.max(norm / 2).alias("half")).orderBy(F.desc("n"), F.desc("size")).first()
     if not lengths:
         return spark.createDataFrame([], out)
-    rows, n, longest = rows.where(F.size("v") == lengths["size"]), lengths["n"], lengths["longest"]
+    scale = math.frexp(lengths["largest"])[1]
+    rows, n, longest = rows.where(F.size("v") == lengths["size"]), lengths["n"], 2 * math.ldexp(lengths["half"], -scale)
+    half = [math.ldexp(1.0, -scale // 2), math.ldexp(1.0, -scale - -scale // 2)]  # 2**-scale alone may overflow
+    rows = rows.select("vec_id", F.transform("v", lambda x: x * half[0] * half[1]).alias("v"))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
     sample_ids, sample_x = sample["vec_id"].to_numpy(), np.array(sample["v"].tolist(), dtype=np.float64)
     wide = augment(sample_x, longest)
@@ -211,7 +231,7 @@ def nearest(embeddings: DataFrame, *, every: int = 20, k: int = 20, factor: floa
             # Rows of the sample are rows of the table: the k-th best of them is a bound.
             s = np.where(sample_ids[None, :] == ids[:, None], -np.inf, q @ sample_x.T)
             least = -np.partition(-s, k - 1, axis=1)[:, k - 1] if s.shape[1] >= k else np.full(len(q), -np.inf)
-            beat = np.sqrt(np.maximum(0, (q * q).sum(axis=1) + longest**2 - 2 * least)) * (1 + _SLACK) + _SLACK
+            beat = to_beat(least, (q * q).sum(axis=1), longest, q.shape[1])
             go = np.ones((len(q), len(cut)), dtype=bool)
             for i, (_, bounds) in enumerate(cut):
                 for point, radius, inner in bounds:
@@ -244,9 +264,10 @@ def nearest(embeddings: DataFrame, *, every: int = 20, k: int = 20, factor: floa
                 elif rows:
                     tree = tree or Part(*(np.concatenate(c) for c in zip(*rows, strict=True)), longest, k)
                     found = tree.best(ids, x, batch.column("least").to_numpy()[a:b], factor)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2])], names=["query_id", "vec_id", "score"])
 
     together = held.unionByName(asked).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "part").sortWithinPartitions("shard", "part", "kind", "vec_id")
     found = together.mapInArrow(search, "query_id long, vec_id long, score double")
+    back = [math.ldexp(1.0, scale // 2), math.ldexp(1.0, scale - scale // 2)]
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", (F.col("score") * back[0] * back[1] * back[0] * back[1]).alias("score"))

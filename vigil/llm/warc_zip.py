@@ -3,8 +3,9 @@
 An archive is a ZIP file with two stored members: records.warc.gz, one gzip stream a record, and
 records.cdx, a line with offset and length for each.  The reader parses the central directory at the
 archive's end (with its ZIP64 forms), finds where the stored members begin, reads the index,
-and then only the byte ranges of the records; nothing is extracted.  Archives are read and
-written through pyarrow's file systems, so they can be in any store that these know.
+and then only the byte ranges of the records; nothing is extracted.  A path is where Hadoop takes it to be, also
+without a scheme; archives are then read and written through pyarrow's file systems, and a store that these do not know is an error
+before anything is written.
 
 A response's record id follows from its page and payload digest, so that revisits can name it without
 knowing where it is written.  Payloads stay in their partitions: only digests and page ids are
@@ -48,11 +49,29 @@ class Member:
     size: int
 
 
+#: Schemes that pyarrow has under another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A path with a scheme, as Hadoop writes it, in pyarrow's way."""
+    scheme, _, rest = uri.partition(":")
+    return f"{_SCHEMES.get(scheme, scheme)}:{rest if rest.startswith('//') else '//' + rest}"
+
+
+def store(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system and the path in it of a path with a scheme."""
+    try:
+        return pa.fs.FileSystem.from_uri(arrow_uri(uri))
+    except pa.ArrowInvalid as error:
+        raise ValueError(f"archives cannot be in {uri}: {error}") from error
+
+
 class _Range:
     """A file that is read by ranges."""
 
     def __init__(self, path: str):
-        files, name = pa.fs.FileSystem.from_uri(path)
+        files, name = store(path)
         self.file = files.open_input_file(name)
         self.size = self.file.size()
 
@@ -240,7 +259,7 @@ def _write(folder: str):
         for batch in batches:
             for r in (row for at in range(0, batch.num_rows, 100) for row in batch.slice(at, 100).to_pylist()):
                 if archive is None:
-                    files, path = pa.fs.FileSystem.from_uri(folder)
+                    files, path = store(folder)
                     files.create_dir(path, recursive=True)
                     name = f"part-{part:05d}-{uuid.uuid4().hex}.zip"
                     sink = files.open_output_stream(f"{path}/{name}")
@@ -276,6 +295,8 @@ def write(pages: DataFrame, folder: str, *, least_bytes: int = 0) -> DataFrame:
     payload.  A null page_id counts as smaller than all others.  Of repeated rows that have the largest
     page_id, one is the response.  Further columns are ignored and an empty table writes nothing.
     """
+    folder = storage.qualified(pages.sparkSession, folder)
+    store(folder)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
@@ -305,13 +326,15 @@ def read(archives: DataFrame) -> DataFrame:
     Returns record_id, record_type, target_uri, date, payload_bytes, payload_digest (base32 SHA-1), refers_to_id, payload (null
     for a revisit), and page_id and refers_to, the pages that this writer's ids name.  Records of other types are passed over.
     Directories are read where their rows are; what the ranges hold is dealt out over all tasks.
-    A broken archive, or a payload with a wrong digest, ends the job.
+    A broken archive, or a payload with a wrong digest, ends the job.  A path without scheme is in Hadoop's default store.
     """
+    default = storage.qualified(archives.sparkSession, "/").rstrip("/")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in (p for b in batches for p in b.column("path").to_pylist()):
             out: list[tuple[str, int, list[int]]] = []
             end = held = 0
+            path = path if ":" in path.split("/")[0] else default + path
             for at, length in record_ranges(_Range(path)):
                 if not out or at != end or held >= SPAN_BYTES:
                     out.append((path, at, []))
