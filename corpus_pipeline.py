@@ -25,8 +25,8 @@ def _apart(docs: DataFrame) -> DataFrame:
 
 
 def _with_text(docs: DataFrame) -> DataFrame:
-    """docs with n_chars made to fit its text."""
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+    """docs with n_chars made to fit its text, where there is one."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
