@@ -214,6 +214,30 @@ def _swapped(n):
     return a, a.translate(str.maketrans("ab", "ba"))
 
 
+def test_merged_sketches_never_undercount():
+    """Partitions' sketches add up to counts of at least what stands in all of them, and pass more unique seeds the fuller they are."""
+    rng = np.random.default_rng(6)
+    unique, twice = rng.integers(0, 2**63, 20_000, dtype=np.uint64), rng.integers(0, 2**63, 500, dtype=np.uint64)
+    parts = [np.unique(np.concatenate([own, twice])) for own in np.array_split(unique, 4)]
+    passed = {}
+    for load in (0.1, 1, 6):
+        width = int(len(unique) / load)
+        rows = []
+        for seeds in parts:
+            sketch = substrings._Sketch(width)
+            for some in np.array_split(seeds, 3):  # batches
+                sketch.add(some, np.ones(len(some), dtype=np.int64), np.zeros(len(some), dtype=np.int32))
+            rows += list(sketch.rows())
+            assert not list(sketch.rows())
+        rows = sorted(({"shard": 0, "kind": 1, "ones": s.astype("<u8").tobytes(), "keys": np.zeros(len(s), "<i8").tobytes()} if isinstance(s, np.ndarray) else s for s in [*rows, *parts]), key=lambda r: r["kind"])
+        got = pa.Table.from_batches(substrings._estimate(width)(iter([pa.RecordBatch.from_pylist(rows, schema=substrings._SHARE_SCHEMA)]))).to_pylist()
+        asked = {r["seed"] for r in got if r["doc_key"] is not None}
+        assert set(twice.view(np.int64).tolist()) <= asked
+        assert sum(r["n"] for r in got if r["seed"] is None) == sum(map(len, parts))
+        passed[load] = (len(asked) - 500) / len(unique)
+    assert passed[0.1] < 0.02 < passed[1] < 0.55 < passed[6]
+
+
 def test_words_built_to_collide_stay_apart(spark):
     words, (a, b) = [f"w{i}" for i in range(19)], _swapped(10)
     docs = spark.createDataFrame([(1, " ".join([*words, a])), (2, " ".join([*words, b])), (3, a), (4, b)], "doc_id long, text string")
@@ -364,6 +388,60 @@ def test_terms_far_from_a_value_disclose_it(spark):
     assert {far[0][a:b] for a, b, _ in got[0]} == {"Quillon", "QUILLON", "writes", "Mail", "Yours", "and"}
 
 
+def brute_names(rows):
+    """Document number to (start, end, level) of the names that tell a value of it, by counting all pairs."""
+    part = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
+
+    def names(text):
+        words = [m.span() for m in re.finditer(rf"(?<![^\W\d_]){part}", text)]
+        for n in (2, 3):
+            for own in zip(*(words[k:] for k in range(n)), strict=False):
+                if all(text[a[1] : b[0]] == " " for a, b in zip(own, own[1:], strict=False)):
+                    yield text[own[0][0] : own[-1][1]], own[0][0], own[-1][1]
+
+    values, outside, every = [], [], []
+    for text in rows:
+        spans = pii.base_spans(text)
+        values.append({pii._entity(k, text[a:b]) for a, k, b in spans})
+        outside.append([x for x in names(text) if not any(a < x[2] and x[1] < b for a, _, b in spans)])
+        every.append({x[0] for x in names(text)})
+    out, n = collections.defaultdict(set), len(rows)
+    for d in range(n):
+        for name, a, b in outside[d]:
+            shares = []
+            for e in values[d]:
+                n_entity = sum(e in v for v in values)
+                both = sum(e in v and name in {x[0] for x in o} for v, o in zip(values, outside, strict=True))
+                if n_entity < n:
+                    shares.append(1 + np.log2((both + 0.5 * n_entity / n) / (sum(name in t for t in every) + 0.5)) / np.log2(n / n_entity))
+            if shares and max(shares) >= 0.8:
+                out[d].add((a, b, 3 if max(shares) >= 0.95 else 2 if max(shares) >= 0.875 else 1))
+    return out
+
+
+def test_names_beside_a_value_of_one_document_go(spark):
+    rng = np.random.default_rng(8)
+    first, last = "Quillon Amber Élise Otto Mara Jean Ute Noor".split(), "Bramwell Ostrander Zürn Okafor Lindqvist Ávila Moss".split()
+    one = "Dr Quillon Bramwell of Ostrander Lane writes from jo.doe@mail.example.org in spring."
+    mixed = [" ".join(f"{rng.choice(first)} {rng.choice(last)} {rng.choice(['says', 'Senior says', 'met', 'Mc Moss'])}" for _ in range(3)) + rng.choice(["", " at a@x.example.org", " on +44 20 7946 0958", f" at p{i}@x.example.org"]) for i in range(80)]
+    rows = [one, "Dr Otto Moss is here", *mixed, *["the office answers on every other day"] * 300]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: {(s["start"], s["end"], s["level"]) for s in r["spans"] if s["kind"] == 5} for r in pii.find(df).select("row.doc_id", "spans").collect()}
+    want = brute_names(rows)
+    assert {d: s for d, s in got.items() if s} == {d: s for d, s in want.items() if s}
+    assert {x[2] for s in want.values() for x in s} == {1, 2, 3}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert not any(w in clean[0] for w in ("Quillon", "Bramwell", "Ostrander Lane", "jo.doe")) and "writes from <EMAIL> in spring." in clean[0]
+    assert all(clean[i] == t for i, t in enumerate(rows) if not pii.base_spans(t))  # texts without a value stay
+
+
+def test_levels_of_generalisation():
+    text = "So Jo Ann Lee met Bo."
+    span = lambda level, kind=5: [{"start": 3, "end": 13, "kind": kind, "removed": level == 3, "level": level}]
+    assert pii.redact(text, span(1)) == "So J. A. L. met Bo." and pii.redact(text, span(2)) == "So <NAME> met Bo." and pii.redact(text, span(3)) == "So  met Bo."
+    assert pii.redact(text, span(2, 0)) == "So <EMAIL> met Bo."
+
+
 # Quality
 
 

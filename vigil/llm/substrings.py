@@ -5,10 +5,11 @@ its words that hashes lowest.  Equal windows have equal seeds, and neighbouring
 share one, so there are far fewer seeds than windows and a seed's count is never below that of
 any window that it stands for.
 
-1. Every batch counts its seeds and sends them to the shards that have their cells.  A shard merges
-   what it gets into a count-min sketch of its own, as wide as its seeds ask for, so the sketch
-   grows with the corpus and no task or broadcast holds it whole.
-2. Documents take back which of their seeds the sketch estimates at two or more.  Windows with
+1. Every partition of the corpus makes a count-min sketch of its seeds.  The sketch is cut into shards by seed, as wide together as the
+   bytes of the corpus ask for, so that no task or broadcast holds it whole; of each shard a partition sends the cells
+   that it has counted in.  These are added up cell by cell where the shard is.
+2. Behind them come the seeds with the keys of their documents, a batch at a time, and a shard holds nothing but its merged sketch while it
+   answers which of them it estimates at two or more.  Windows with
    such a seed are grouped exactly; all others are unique and go nowhere.  Within a batch the
    first occurrence alone goes to the shuffle: the later ones are known to be repeats at once,
    so a passage that a third of all documents share is one row a batch.
@@ -33,9 +34,13 @@ from .textblocks import Words, mix, windows_hash, word_blocks
 
 #: Words in the shingle that stands for a window, if windows are long enough.
 SEED_WORDS = 8
-#: Cells in each of the two rows of a shard's sketch, for each seed that it gets; more cells pass fewer unique seeds.
+#: Cells in each of the two rows of the sketch, for each seed that the corpus has by its bytes; more cells pass fewer unique seeds.
 CELLS_A_SEED = 4.0
+#: Bytes of text for each seed: usual words have six, and every seventh shingle is the lowest of some window.
+BYTES_A_SEED = 42
 _ROWS = 2
+#: Counted cells that a partition holds before it sends them on; cells of a shard in each row at most.
+HELD_CELLS, SHARD_CELLS = 4_000_000, 1 << 22
 #: A seed is cut from this count on, or from a millionth of all counts, so that at most a million are.
 HOT_SEED, HOT_SEEDS = 1_000, 1_000_000
 #: The smallest id, for rows without one: they count as standing before all others.
@@ -82,21 +87,51 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.diff(np.append(begins, len(values)))
 
 
-_SHARE = "shard int, ones binary, keys binary, more binary, counts binary, known binary, known_keys binary"
-_SHARE_SCHEMA = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("ones", "keys", "more", "counts", "known", "known_keys"))])
+#: Of a partition's sketch (kind 0): for one row of it cells and their counts.  Of a batch's seeds (kind 1): seeds that stand in it once, with the key of their document, and others likewise.
+_SHARE = "shard int, kind int, row int, cells binary, counts binary, ones binary, keys binary, known binary, known_keys binary"
+_SHARE_SCHEMA = pa.schema([*((c, pa.int32()) for c in ("shard", "kind", "row")), *((c, pa.binary()) for c in ("cells", "counts", "ones", "keys", "known", "known_keys"))])
 
 
-def _shares(length: int, n_shards: int):
-    """A batch's part of each shard's sketch.
+class _Sketch:
+    """A partition's count-min sketch: the cells that it has counted in, as shard and cell in one number, for each row."""
 
-    Seeds that stand once in the batch go with the key of their document, which wants to know whether others have them
-    (ones, keys); the rest go with their counts (more, counts), and who has them is known already (known, known_keys).
+    def __init__(self, width: int):
+        self.width, self.size = width, 0
+        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(_ROWS)]
+
+    def add(self, seeds: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> None:
+        for r in range(_ROWS):
+            self.parts[r].append((shard.astype(np.int64) << 40 | _cells(seeds, r, self.width), counts))
+        self.size += len(seeds)
+
+    def rows(self) -> Iterator[dict]:
+        """What it holds, added up, as a row for each shard and row of the sketch; it is empty then."""
+        for r, parts in enumerate(self.parts):
+            if not parts:
+                continue
+            at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            begins, _ = _groups(at)
+            n, at = np.add.reduceat(n[order], begins) if len(begins) else n[:0], at[begins]
+            first, size = _groups(at >> 40)
+            for i, k in zip(first.tolist(), size.tolist(), strict=True):
+                yield {"shard": int(at[i] >> 40), "kind": 0, "row": r, "cells": (at[i : i + k] & (2**40 - 1)).astype("<u4").tobytes(), "counts": np.minimum(n[i : i + k], 2**32 - 1).astype("<u4").tobytes()}
+        self.parts, self.size = [[] for _ in range(_ROWS)], 0
+
+
+def _shares(length: int, n_shards: int, width: int):
+    """A partition's sketch, cut into shards, and its batches' seeds.
+
+    Seeds that stand once in a batch go with the key of their document, which wants to know whether others have them
+    (ones, keys); who has the rest is known already (known, known_keys).
     """
 
     def shard_of(x: np.ndarray) -> np.ndarray:
         return ((mix(x) >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = _Sketch(width)
         for batch in batches:
             keys, parts = batch.column("doc_key").to_numpy(), []
             for i, j, words in word_blocks(batch.column("text")):
@@ -108,20 +143,22 @@ def _shares(length: int, n_shards: int):
             order = np.lexsort((owner, seeds))
             seeds, owner = seeds[order], owner[order]
             begins, sizes = _groups(seeds)
+            sketch.add(seeds[begins], sizes, shard_of(seeds[begins]))
             once = begins[sizes == 1]
-            often, counts = begins[sizes > 1], sizes[sizes > 1]
             have = np.repeat(sizes > 1, sizes)
             have[1:] &= (seeds[1:] != seeds[:-1]) | (owner[1:] != owner[:-1])
-            columns = {"ones": seeds[once], "keys": owner[once]}, {"more": seeds[often], "counts": counts}, {"known": seeds[have], "known_keys": owner[have]}
             rows: dict[int, dict] = {}
-            for part, by in zip(columns, ("ones", "more", "known_keys"), strict=True):
-                shard = shard_of(part[by].view(np.uint64))
+            for part in ({"ones": seeds[once], "keys": owner[once]}, {"known": seeds[have], "known_keys": owner[have]}):
+                shard = shard_of(next(iter(part.values())))
                 order = np.argsort(shard, kind="stable")
                 shard = shard[order]
                 at, size = _groups(shard)
                 for a, n in zip(at.tolist(), size.tolist(), strict=True):
-                    rows.setdefault(int(shard[a]), {}).update({c: v[order[a : a + n]].astype("<i8" if c in ("keys", "counts", "known_keys") else "<u8").tobytes() for c, v in part.items()})
-            yield pa.RecordBatch.from_pylist([{"shard": k} | v for k, v in rows.items()], schema=_SHARE_SCHEMA)
+                    rows.setdefault(int(shard[a]), {}).update({c: v[order[a : a + n]].astype("<i8" if v.dtype == np.int64 else "<u8").tobytes() for c, v in part.items()})
+            yield pa.RecordBatch.from_pylist([{"shard": k, "kind": 1} | v for k, v in rows.items()], schema=_SHARE_SCHEMA)
+            if sketch.size >= HELD_CELLS:
+                yield pa.RecordBatch.from_pylist(list(sketch.rows()), schema=_SHARE_SCHEMA)
+        yield pa.RecordBatch.from_pylist(list(sketch.rows()), schema=_SHARE_SCHEMA)
 
     return run
 
@@ -139,34 +176,33 @@ def _cells(seeds: np.ndarray, row: int, cells: int) -> np.ndarray:
     return ((mix(seeds + np.uint64(0x9E3779B97F4A7C15 * (row + 1) % 2**64)) >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
 
 
-def _estimate(cells_a_seed: float):
-    def run(key: tuple, shares: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Merges a shard's shares; tells documents which of their seeds may stand twice, and which seeds are frequent.
+def _estimate(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by shard and kind: adds a shard's sketches up, then tells documents which of their seeds may stand twice, and which seeds are frequent.
 
         Replies have doc_key and seed, frequent seeds seed and n, and one row n alone: the counts of the whole shard.
         """
-        got: dict[str, list[np.ndarray]] = {"ones": [], "keys": [], "more": [], "counts": []}
-        for row in (r for batch in shares for r in batch.to_pylist()):
-            if row["known"]:
-                yield _replies(np.frombuffer(row["known_keys"], dtype="<i8"), np.frombuffer(row["known"], dtype="<u8"), None)
-            for c in got:
-                got[c].append(np.frombuffer(row[c] or b"", dtype="<u8" if c in ("ones", "more") else "<i8"))
-        total = sum(map(len, got["ones"])) + sum(int(n.sum()) for n in got["counts"])
-        cells = max(8, int(cells_a_seed * sum(len(x) for c in ("ones", "more") for x in got[c])))
-        sketch = np.zeros((_ROWS, cells), dtype=np.uint32)
-        for r in range(_ROWS):
-            for ones, more, counts in zip(got["ones"], got["more"], got["counts"], strict=True):
-                at, n = np.unique(_cells(ones, r, cells), return_counts=True)
-                sketch[r, at] += n.astype(np.uint32)
-                np.add.at(sketch[r], _cells(more, r, cells), counts.astype(np.uint32))
-        estimate = lambda seeds: np.minimum.reduce([sketch[r, _cells(seeds, r, cells)] for r in range(_ROWS)])
-        yield _replies(None, np.empty(0, dtype=np.uint64), None) if not total else pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], schema=_REPLY_SCHEMA)
-        frequent = [x[n >= HOT_SEED] for c in ("ones", "more") for x in got[c] for n in (estimate(x),)]
-        if frequent and len(seeds := np.unique(np.concatenate(frequent))):
-            yield _replies(None, seeds, estimate(seeds).astype(np.int64))
-        for seeds, keys in zip(got["ones"], got["keys"], strict=True):
-            hit = estimate(seeds) > 1
-            yield _replies(keys[hit], seeds[hit], None)
+        shard, sketch, told = None, None, set()
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            if row["shard"] != shard:
+                shard, sketch, told = row["shard"], np.zeros((_ROWS, width), dtype=np.int64), set()
+            if row["kind"] == 0:
+                counts = np.frombuffer(row["counts"], dtype="<u4")
+                sketch[row["row"], np.frombuffer(row["cells"], dtype="<u4")] += counts  # distinct cells
+                if row["row"] == 0:
+                    yield _replies(None, np.zeros(1, dtype=np.uint64), np.array([int(counts.sum())])).set_column(1, "seed", pa.nulls(1, pa.int64()))
+                continue
+            estimate = lambda seeds: np.minimum.reduce([sketch[r, _cells(seeds, r, width)] for r in range(_ROWS)])  # noqa: E731, B023
+            ones, known = (np.frombuffer(row[c] or b"", dtype="<u8") for c in ("ones", "known"))
+            n = estimate(ones)
+            hit = n > 1
+            yield _replies(np.frombuffer(row["keys"] or b"", dtype="<i8")[hit], ones[hit], None)
+            yield _replies(np.frombuffer(row["known_keys"] or b"", dtype="<i8"), known, None)
+            often = np.unique(np.concatenate([ones[n >= HOT_SEED], known[estimate(known) >= HOT_SEED]]))
+            if fresh := [x for x in often.tolist() if x not in told]:  # a frequent seed has so many counts: they are few beside them
+                told.update(fresh)
+                fresh = np.array(fresh, dtype=np.uint64)
+                yield _replies(None, fresh, estimate(fresh))
 
     return run
 
@@ -304,8 +340,13 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, cells_a_seed: float = C
     text = F.col("text").cast("string")
     rows = own.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"))
     n_shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = own.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("doc_key")).mapInArrow(_shares(length, n_shards), _SHARE)
-    replies = storage.materialise(shares.groupBy("shard").applyInArrow(_estimate(cells_a_seed), _REPLY), "seeds")
+    size = own.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    cells = int(cells_a_seed * size / BYTES_A_SEED)
+    sketches = max(n_shards, -(-cells // SHARD_CELLS))
+    width = max(8, cells // sketches)
+    shares = own.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("doc_key")).mapInArrow(_shares(length, sketches, width), _SHARE)
+    together = shares.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind")
+    replies = storage.materialise(together.mapInArrow(_estimate(width), _REPLY), "seeds")
     asked = replies.where("doc_key is not null").groupBy("doc_key").agg(F.collect_list("seed").alias("seeds"))
     # Sorted, so that a task that runs again has the same batches.
     sought = rows.join(asked, "doc_key").select("row", "doc_id", "doc_key", "seeds").sortWithinPartitions("doc_key")
