@@ -424,3 +424,16 @@ def test_labelled_text_above_the_bound_is_learnt_from(spark):
     finally:
         quality.fit = fitted
     assert seen == [[300, 150]]
+
+
+def test_url_statistics_do_not_tell_a_row_its_own_label(spark):
+    """Each URL alone on its host: within the data its host's rate is its label, out of fold the prior."""
+    rows = [(f"https://h{i}.only{i}.example/en/{i}", "block" if i % 2 else "allow") for i in range(200)]
+    df = spark.createDataFrame(rows, "url string, verdict string").withColumn("host", F.lit("").cast("string")).withColumn("host", urls.host_of(F.col("url"))).withColumn("path", urls.path_of(F.col("url")))
+    model = urls.train(df)
+    n = len(urls.lexical("", "", ""))
+    labelled = df.select("url", "host", "path", (F.col("verdict") == "block").cast("int").alias("label"))
+    rate = lambda **o: np.array([(r["features"][n], r["features"][n + 1], r["label"]) for r in model.features(labelled, **o).collect()])
+    inside, outside = rate(), rate(out_of_fold=True)
+    assert np.corrcoef(inside[:, 0], inside[:, 2])[0, 1] > 0.2 > abs(np.corrcoef(outside[:, 0] + 1e-9 * np.arange(200), outside[:, 2])[0, 1])
+    assert (inside[:, 1] >= outside[:, 1]).all()

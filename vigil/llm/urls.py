@@ -80,8 +80,8 @@ def lexical(url: str, host: str, path: str) -> list[float]:
     return [float(x) for x in (n, len(host), len(path), sum(1 for p in path.split("/") if p), host.count(".") + 1 if host else 0, digits / max(n, 1), entropy, parameters, len(query), url.count("-"), longest)]
 
 
-#: Buckets of the statistics of suffixes, and as many of those of endings.
-BUCKETS = 1 << 16
+#: Buckets of the statistics of suffixes, and as many of those of endings; parts that labelled URLs are dealt into.
+BUCKETS, FOLDS = 1 << 16, 5
 
 
 def _groups(host: str, path: str) -> tuple[int, int]:
@@ -89,6 +89,10 @@ def _groups(host: str, path: str) -> tuple[int, int]:
     return zlib.crc32(_suffix(host).encode()) % BUCKETS, BUCKETS + zlib.crc32(_ending(path).encode()) % BUCKETS
 
 
+def fold_of(url: str) -> int:
+    return zlib.crc32(url.encode()) % FOLDS
+
+
 @dataclass
 class UrlModel:
     """Trees and, for each bucket of suffixes and endings, how many labelled URLs it has and how many of them are blocked.
@@ -99,17 +103,22 @@ class UrlModel:
     trees: GBTClassificationModel | None
     counts: Broadcast | None
     prior: float
+    folds: Broadcast | None = None  # the same of each fold
 
-    def features(self, df: DataFrame) -> DataFrame:
-        """Replaces url by features, for rows with url, host and path."""
-        counts, prior = self.counts, self.prior
+    def features(self, df: DataFrame, *, out_of_fold: bool = False) -> DataFrame:
+        """Replaces url by features, for rows with url, host and path.
+
+        Out of fold, statistics are those of the other folds alone, so that rows to learn from do not tell their own labels.
+        """
+        counts, folds, prior = self.counts, self.folds if out_of_fold else None, self.prior
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = [counts.value - own for own in folds.value] if folds else [counts.value] * FOLDS
             for batch in batches:
                 urls, hosts, paths = (batch.column(c).to_pylist() for c in ("url", "host", "path"))
                 found = []
                 for u, h, p in zip(urls, hosts, paths, strict=True):
-                    seen = [counts.value[g] for g in _groups(h, p)]
+                    seen = [known[fold_of(u or "")][g] for g in _groups(h, p)]
                     # Rates are smoothed by ten rows of the overall rate.
                     found.append(lexical(u or "", h, p) + [float(x) for n, blocked in seen for x in ((blocked + 10 * prior) / (n + 10), math.log1p(n))])
                 kept = [i for i, c in enumerate(batch.schema.names) if c != "url"]
@@ -128,22 +137,23 @@ class UrlModel:
 
 
 def _bucket_counts(labelled: DataFrame) -> np.ndarray:
-    """Rows and blocked rows of every bucket, over all labelled URLs."""
+    """Rows and blocked rows of every fold and bucket, over all labelled URLs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2 * BUCKETS, 2), dtype=np.int64)
+        total = np.zeros((FOLDS * 2 * BUCKETS, 2), dtype=np.int64)
         for batch in batches:
-            for h, p, y in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "label")), strict=True):
+            for u, h, p, y in zip(*(batch.column(c).to_pylist() for c in ("url", "host", "path", "label")), strict=True):
+                first = fold_of(u or "") * 2 * BUCKETS
                 for g in _groups(h, p):
-                    total[g] += 1, int(y)
+                    total[first + g] += 1, int(y)
         at = np.flatnonzero(total[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at, 0]), pa.array(total[at, 1])], names=["bucket", "n", "blocked"])
 
-    out = np.zeros((2 * BUCKETS, 2))
-    merged = labelled.select("host", "path", "label").mapInArrow(run, "bucket long, n long, blocked long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
-    rows = merged.toArrow()  # at most 2 * BUCKETS
+    out = np.zeros((FOLDS * 2 * BUCKETS, 2))
+    merged = labelled.select("url", "host", "path", "label").mapInArrow(run, "bucket long, n long, blocked long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    rows = merged.toArrow()  # at most FOLDS * 2 * BUCKETS
     out[rows.column("bucket").to_numpy()] = np.stack([rows.column("n").to_numpy(), rows.column("blocked").to_numpy()], axis=1)
-    return out
+    return out.reshape(FOLDS, 2 * BUCKETS, 2)
 
 
 def train(labelled: DataFrame, *, max_rows: int = 20_000, trees: int = 20, depth: int = 4) -> UrlModel:
@@ -151,7 +161,7 @@ def train(labelled: DataFrame, *, max_rows: int = 20_000, trees: int = 20, depth
 
     At most max_rows distinct URLs are used, half of them from each class, those with the lowest hashes; each counts as many as it
     stands for in its class.  Statistics of suffixes and endings are over all rows, in buckets by hash: those that share one share
-    its rate.  With one class, or no rows, there are no trees.
+    its rate; the trees learn from those of the folds that a URL is not in.  With one class, or no rows, there are no trees.
     """
     rows = labelled.select("url", "host", "path", (F.col("verdict") == BLOCK).cast("double").alias("label"))
     hashed = F.xxhash64("url")
@@ -168,9 +178,10 @@ def train(labelled: DataFrame, *, max_rows: int = 20_000, trees: int = 20, depth
         taken.append(own.orderBy(hashed, "url").limit(max_rows // 2))
     sample = storage.materialise(taken[0].unionByName(taken[1]), "urls")
     used = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    model = UrlModel(None, labelled.sparkSession.sparkContext.broadcast(_bucket_counts(rows)), prior)
+    counts, share = _bucket_counts(rows), labelled.sparkSession.sparkContext.broadcast
+    model = UrlModel(None, share(counts.sum(axis=0)), prior, share(counts))
     weight = F.when(F.col("label") == 1, prior / used[1.0]).otherwise((1 - prior) / used[0.0]) * sum(used.values())
-    data = model.features(sample).select("label", array_to_vector("features").alias("features"), weight.alias("weight"))
+    data = model.features(sample, out_of_fold=True).select("label", array_to_vector("features").alias("features"), weight.alias("weight"))
     model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, stepSize=0.2, weightCol="weight").fit(data)
     return model
 
