@@ -298,6 +298,23 @@ def test_near_duplicates_of_many_edits(spark):
     assert got == brute_components(rows, 2, 80)
 
 
+def test_exact_near_duplicates_leave_nothing_to_buckets(spark, documents):
+    """At a low bound few linked pairs share a bucket; the exact setting finds all of them."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(90):
+        own = [f"x{i // 6}y{k}" for k in range(60)]
+        for k in rng.choice(60, 9, replace=False):
+            own[k] = f"e{rng.integers(0, 400)}"
+        rows.append((i, " ".join(own)))
+    rows += [(200, None), (201, ""), (202, "one"), (203, "one"), (None, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(rows, 2, 35)
+    found = lambda **o: collections.Counter(map(tuple, minhash.near_duplicates(docs, shingle_words=2, percent=35, **o).collect()))
+    assert found(exact=True) == want != found()
+    assert minhash.near_duplicates(empty(documents), exact=True).count() == 0
+
+
 def test_hot_shingles_are_joined_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_SETS", 8)
     rng = np.random.default_rng(5)

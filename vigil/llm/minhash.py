@@ -171,9 +171,11 @@ def _rarest_first(open_: DataFrame, texts: DataFrame, size: int, percent: int) -
     return x.join(y, ["shingle", "i", "j"]).where(fits).select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """A row for each document: doc_id, text_key, n_shingles, and the first document of its group.
 
+    exact: also joins all sets that the buckets leave in different components, rarest shingles first, so that no link is left to
+    chance; without, a pair at the bound shares no bucket about once in 80,000.
     text_key is xxhash64(text).  first is the struct (doc_id, text_key) of the group's document that comes
     first by both, and null without a word.  Missing doc_ids are the smallest long here.
     """
@@ -190,7 +192,7 @@ def near_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -
     near = F.expr(f"100 * least(n_shingles, n_centre) >= {percent} * greatest(n_shingles, n_centre)")  # no other pair can link
     stars = shared.join(centres, "key").where(F.col("node") != F.col("centre")).where(near)
     stars = storage.materialise(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
-    wanted = classes.join(degree.select("node"), "node", "left_semi").select("node", "first.doc_id", "first.text_key")
+    wanted = (classes if exact else classes.join(degree.select("node"), "node", "left_semi")).select("node", "first.doc_id", "first.text_key")
     texts = storage.materialise(slim.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("node", "text"), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -202,9 +204,14 @@ def near_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -
 
     linked = links(stars)
     groups = components(linked)
-    labelled = shared.where("n > 2").join(groups, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = storage.materialise(labelled.join(mixed, "key", "left_semi").select("node", "n_shingles", "component").distinct(), "open")
+    component = F.coalesce("component", "node").alias("component")
+    if exact:
+        open_ = classes.join(groups, "node", "left").select("node", "n_shingles", component)
+    else:
+        labelled = shared.where("n > 2").join(groups, "node", "left").select("key", "node", "n_shingles", component)
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        open_ = labelled.join(mixed, "key", "left_semi").select("node", "n_shingles", "component").distinct()
+    open_ = storage.materialise(open_, "open")
     rest = _rarest_first(open_, texts, shingle_words, percent).join(stars, ["a", "b"], "left_anti")
     groups = components(linked.unionByName(links(rest)))
     first = classes.select("node", "first").join(groups, "node").groupBy("component").agg(F.min("first").alias("its_first"))
@@ -213,7 +220,7 @@ def near_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -
     return described.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest", "left").drop("digest")
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """Groups documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
     Returns a row for each document: doc_id, n_shingles, component_id, kept.  Words are those of
@@ -223,9 +230,9 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     a class and are all kept or not; rows that share doc_id but not text are judged each by its
     text, and links of one are none of the other.  Rows without doc_id count as smaller than all others, and so have a
     null component_id with all that link to them.  Further columns are ignored and an empty table gives
-    an empty table.
+    an empty table.  exact is that of near_groups().
     """
-    out = near_groups(docs, shingle_words=shingle_words, percent=percent)
+    out = near_groups(docs, shingle_words=shingle_words, percent=percent, exact=exact)
     component = F.coalesce("first.doc_id", "doc_id")
     real = lambda c: F.when(c != NO_ID, c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
