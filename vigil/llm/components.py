@@ -6,38 +6,38 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import storage
 
-#: A node with this many edges, and with this part of all edges, is a hub.
-HUB_EDGES, HUB_PART = 256, 4_096
-
-
-def _towards_least(edges: DataFrame, keep_all: bool, hub: int) -> DataFrame:
-    """Links the neighbours of every node to the least of them and the node.
-
-    The edges of a node with hub edges or more meet its least neighbour wherever they lie, so that none of them go to one task.
-    """
-    nodes = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    least, hubs = nodes.drop("n"), F.broadcast(nodes.where(F.col("n") >= hub).drop("n"))
-    others = edges.join(hubs.select("u"), "u", "left_anti").join(nodes.where(F.col("n") < hub).drop("n"), "u")
-    linked = edges.join(hubs, "u").unionByName(others)
+#: A node with this many edges, and with this part of all edges, is a hub; edges of each node are then dealt over so many tasks.
+HUB_EDGES, HUB_PART, SALTS = 256, 4_096, 8
+
+
+def _towards_least(edges: DataFrame, keep_all: bool, salts: int) -> DataFrame:
+    """Links the neighbours of every node to the least of them and the node, whose edges meet it in salts places."""
+    nodes = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if salts == 1:
+        linked = edges.join(nodes, "u")
+    else:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
+        linked = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts))).join(nodes.select("*", every), ["u", "salt"])
     out = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))) if keep_all else linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return out.unionByName(nodes.where("u <> m").select("u", F.col("m").alias("v"))) if keep_all else linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """For edges (u, v) of longs: node, component (the least node reachable), for all nodes with an edge.
 
     Loops count as nodes without edges and repeated edges as one.  Every round is written to the
-    shared folder, so that a lost executor never replays more than one round.  Hubs are broadcast;
-    as each has a 4,096th of all edges, they are never more than 8,192.
+    shared folder, so that a lost executor never replays more than one round.  While there is a hub, no node's edges go to one task;
+    the small-star step has none that the large-star step has not, since it only moves the lesser ends of edges.
     """
     current = storage.materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     total = current.count()
     while True:
-        hub = max(HUB_EDGES, total // HUB_PART)
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _towards_least(both, keep_all=False, hub=hub).where("u <> v").distinct()
-        small = _towards_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), keep_all=True, hub=hub).distinct()
+        most = both.groupBy("u").count().agg(F.max("count")).first()[0] or 0
+        salts = SALTS if most >= max(HUB_EDGES, total // HUB_PART) else 1
+        large = _towards_least(both, keep_all=False, salts=salts).where("u <> v").distinct()
+        small = _towards_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), keep_all=True, salts=salts).distinct()
         after = storage.materialise(small, "edges")
         storage.release_table(current)
         current = after

@@ -13,7 +13,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -51,17 +50,15 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, d[best, np.arange(len(x))]
 
 
-def _matrix(x: pd.Series) -> np.ndarray:
-    return np.stack(x.to_numpy()).astype(np.int64)
-
-
 def _sums(shared):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd  # tasks have it loaded already, and the driver needs none of its memory
+
         centroids = shared.value
         total, n = np.zeros_like(centroids), np.zeros(len(centroids), dtype=np.int64)
         for frame in frames:
             for at in range(0, len(frame), ROWS):
-                x = _matrix(frame["x"].iloc[at : at + ROWS])
+                x = np.stack(frame["x"].iloc[at : at + ROWS].to_numpy()).astype(np.int64)
                 best, _ = nearest(x, centroids)
                 order = np.argsort(best, kind="stable")
                 clusters, starts = np.unique(best[order], return_index=True)

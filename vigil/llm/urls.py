@@ -7,16 +7,18 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import storage
 
+if TYPE_CHECKING:
+    from pyspark.ml.classification import GBTClassificationModel
+
 BLOCK, ALLOW = "block", "allow"
 FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "query_length", "hyphens", "longest_digits", "suffix_rate", "suffix_count", "ending_rate", "ending_count")
 
@@ -130,6 +132,8 @@ class UrlModel:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Replaces url by blocked, the probability of block."""
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
         if self.trees is None:
             return df.drop("url").withColumn("blocked", F.lit(self.prior))
         scored = self.trees.transform(self.features(df).withColumn("features", array_to_vector("features")))
@@ -163,6 +167,9 @@ def train(labelled: DataFrame, *, max_rows: int = 20_000, trees: int = 20, depth
     stands for in its class.  Statistics of suffixes and endings are over all rows, in buckets by hash: those that share one share
     its rate; the trees learn from those of the folds that a URL is not in.  With one class, or no rows, there are no trees.
     """
+    from pyspark.ml.classification import GBTClassifier  # with its 60 MB, for drivers that fit
+    from pyspark.ml.functions import array_to_vector
+
     rows = labelled.select("url", "host", "path", (F.col("verdict") == BLOCK).cast("double").alias("label"))
     hashed = F.xxhash64("url")
     sizes = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("url").alias("urls")).collect()}
