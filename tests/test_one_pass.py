@@ -270,6 +270,23 @@ def test_tree_draws_have_the_same_distribution(spark, monkeypatch):
     assert (np.array([r["z"] for r in again.orderBy("draw").collect()]) == got[:, 0]).all()
 
 
+# Forest
+
+
+def test_forest_ranks_held_out_rows(spark, monkeypatch):
+    from vigil import constants
+    from vigil.operators import model
+
+    monkeypatch.setitem(constants.FOREST, "numTrees", 20)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, len(constants.FEATURES)))
+    label = (x[:, 4] + 0.3 * rng.normal(size=600) > 0.8).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(y)) for i, (r, y) in enumerate(zip(x, label, strict=True))], "id int, " + ", ".join(f"{c} double" for c in constants.FEATURES) + ", gt int")
+    got = model.score(model.fit(df.where("id % 5 <> 0")), df.where("id % 5 = 0")).select("gt", "score").collect()
+    good, bad = [r["score"] for r in got if r["gt"]], [r["score"] for r in got if not r["gt"]]
+    assert len(got) == 120 and np.mean([[1.0 if a > b else 0.5 if a == b else 0.0 for b in bad] for a in good]) > 0.93
+
+
 # Ranks
 
 

@@ -21,6 +21,7 @@ from vigil.functions.numeric import finite
 from vigil.functions.positions import with_position
 from vigil.operators.builds import sample_rows
 from vigil.plans.guard import endpoint
+from vigil.sources.shared import written
 
 #: Clusters that are broadcast at most; clusters in a block of the tree; draws that a task sums up at once.
 MOST_SHARED, BLOCK, DRAWS = 1_000_000, 4_096, 64
@@ -68,7 +69,7 @@ def block_sums(values: np.ndarray, counts: np.ndarray, seed: int, block: int) ->
 
 
 def draw_sums(clusters: DataFrame, key: str, columns: list[str], *, n_draws: int, seed: int, generator: str) -> tuple[DataFrame, int]:
-    """draw and the sum of each column over as many clusters drawn with replacement as there are, and their number."""
+    """draw and the sum of each column over as many clusters drawn with replacement as there are, and their number.  clusters is read several times."""
     if generator not in GENERATORS:
         raise ValueError(f"unknown generator {generator}")
     spark = clusters.sparkSession
@@ -122,13 +123,14 @@ def _interval(values: DataFrame, by: list[str], alpha: float) -> DataFrame:
 @endpoint
 def bootstrap_mean(clusters: DataFrame, key: str, value: str, *, n_draws: int = constants.BOOTSTRAP_DRAWS, seed: int = constants.BOOTSTRAP_SEED, alpha: float = constants.BOOTSTRAP_ALPHA, generator: str = "numpy") -> DataFrame:
     """The percentile interval of the mean of one value for each cluster."""
-    sums, n = draw_sums(clusters, key, [value], n_draws=n_draws, seed=seed, generator=generator)
+    sums, n = draw_sums(written(clusters.select(key, value)), key, [value], n_draws=n_draws, seed=seed, generator=generator)
     return _interval(sums.select("draw", (F.col(value) / n).alias("value")), [], alpha)
 
 
 @endpoint
 def bootstrap_ratio(clusters: DataFrame, key: str, numerators: list[str], denominator: str, *, scale: float = constants.RATE_SCALE, n_draws: int = constants.BOOTSTRAP_DRAWS, seed: int = constants.BOOTSTRAP_SEED, alpha: float = constants.BOOTSTRAP_ALPHA, generator: str = "numpy") -> DataFrame:
     """Per numerator: scale times its sum over that of the denominator, and its interval; all use the same draws."""
+    clusters = written(clusters.select(key, *numerators, denominator))  # one row a cluster
     sums, _ = draw_sums(clusters, key, [*numerators, denominator], n_draws=n_draws, seed=seed, generator=generator)
     ratio = lambda c: F.when(F.col(denominator) != 0, F.col(c) * scale / F.col(denominator))
     values = sums.select("draw", F.inline(F.array(*(F.struct(F.lit(c).alias("stream"), ratio(c).alias("value")) for c in numerators))))
