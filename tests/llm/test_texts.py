@@ -394,6 +394,16 @@ def brute_disclosing(rows, support=2):
     return out
 
 
+def test_redaction_takes_one_python_worker_a_task(spark, documents):
+    """Chained Python steps would take two workers a task."""
+    rows = [(1000 + i, f"Write to {n} Zanzibar at jo.doe@mail.example.org or 10.0.0.{i % 3} today") for i, n in enumerate(("Quillon", "Quillon", "Other", "Other"))] + [(2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(documents.select("doc_id", "text"))
+    clean = pii.sanitise(docs)
+    assert clean._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = [(r["row"]["doc_id"], pii.redact(r["row"]["text"], [s.asDict() for s in r["spans"]]) if r["spans"] else r["row"]["text"]) for r in pii.find(docs).collect()]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in clean.collect()) == collections.Counter(want)
+
+
 def test_terms_far_from_a_value_disclose_it(spark):
     filler = "the office answers on every other day " * 20
     far = [f"Dr Quillon writes. {filler} Mail: jo.doe@mail.example.org. {filler} Yours, QUILLON and {n}" for n in ("Bramwell", "Ostrander")]

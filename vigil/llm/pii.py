@@ -250,17 +250,8 @@ def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), _structs(_MARKS, spans)], names=["row", "spans"])
 
 
-def find(docs: DataFrame, *, carry: list[str] | None = None, generalise_at: float = 0.8, remove_at: float = 0.95, support: int = 2) -> DataFrame:
-    """Finds values and revealing terms: row (the columns in carry, or all of docs), base and spans.
-
-    base and spans are arrays of (start, kind, end, removed, level) by start and kind, in code points with
-    the end exclusive; kind counts in KINDS.  base has the pattern matches, spans these and the
-    terms, which may overlap.  A null or empty text has neither.  Repeated rows each keep their spans and count as
-    documents of their own; doc_id is not used.  An empty table gives an empty table.
-    generalise_at, remove_at: the shares of a value's information from which a term goes.
-    support: in how many documents a word must stand with a value.  With 1, every word that no other
-    document has tells a value that no other document has.  Names have no such bound.
-    """
+def _judged(docs: DataFrame, carry: list[str] | None, generalise_at: float, remove_at: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """The rows without a value (row, base), and those with one: row, held, base and the terms found for them."""
     spark = docs.sparkSession
     n_buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in carry or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
@@ -289,12 +280,26 @@ def find(docs: DataFrame, *, carry: list[str] | None = None, generalise_at: floa
     disclosed = joint.withColumn("share", share).where(F.col("share") >= generalise_at).select("term", "entity", level.alias("level"))
     hits = pairs.select("rid", "term", "entity").join(disclosed, ["term", "entity"]).groupBy("rid", "term").agg(F.max("level").alias("level"))
     hits = hits.groupBy("rid").agg(F.collect_list(F.struct("term", "level")).alias("found"))
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("removed"), F.lit(KIND).alias("level")))
     # Rows without a value are most of them and need no join.
-    plain = found.where("held is null").select("row", base.alias("base"), base.alias("spans"))
-    marked = StructType([StructField("row", scan.schema["row"].dataType), *StructType.fromDDL(f"spans {_MARKS_DDL}")])
-    joined = found.where("held is not null").join(hits, "rid", "left").select("row", "held", "base", "found").mapInArrow(_with_terms, marked)
-    return plain.unionByName(joined.select("row", F.filter("spans", lambda s: s["kind"] < 4).alias("base"), "spans"))
+    return found.where("held is null").select("row", "base"), found.where("held is not null").join(hits, "rid", "left").select("row", "held", "base", "found")
+
+
+def find(docs: DataFrame, *, carry: list[str] | None = None, generalise_at: float = 0.8, remove_at: float = 0.95, support: int = 2) -> DataFrame:
+    """Finds values and revealing terms: row (the columns in carry, or all of docs), base and spans.
+
+    base and spans are arrays of (start, kind, end, removed, level) by start and kind, in code points with
+    the end exclusive; kind counts in KINDS.  base has the pattern matches, spans these and the
+    terms, which may overlap.  A null or empty text has neither.  Repeated rows each keep their spans and count as
+    documents of their own; doc_id is not used.  An empty table gives an empty table.
+    generalise_at, remove_at: the shares of a value's information from which a term goes.
+    support: in how many documents a word must stand with a value.  With 1, every word that no other
+    document has tells a value that no other document has.  Names have no such bound.
+    """
+    plain, held = _judged(docs, carry, generalise_at, remove_at, support)
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("removed"), F.lit(KIND).alias("level")))
+    marked = StructType([StructField("row", held.schema["row"].dataType), *StructType.fromDDL(f"spans {_MARKS_DDL}")])
+    joined = held.mapInArrow(_with_terms, marked)
+    return plain.select("row", base.alias("base"), base.alias("spans")).unionByName(joined.select("row", F.filter("spans", lambda s: s["kind"] < 4).alias("base"), "spans"))
 
 
 def as_text(spans: str) -> Column:
@@ -322,6 +327,15 @@ def redact(text: str, spans: list[dict]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
-    """docs with every span of find() replaced in text; texts without spans stay as they are."""
-    return find(docs, **thresholds).select("row", "spans").mapInArrow(_redact, docs.schema)
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _redact(_with_terms(batches))
+
+
+def sanitise(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.95, support: int = 2) -> DataFrame:
+    """docs with every span of find() replaced in text; texts without spans stay as they are.
+
+    Rows without a value go through no Python, and the others through one function: two in a row would take two workers a task, which
+    stay for all that follows.
+    """
+    plain, held = _judged(docs, None, generalise_at, remove_at, support)
+    return plain.select("row.*").unionByName(held.mapInArrow(_cleaned, docs.schema))
