@@ -74,6 +74,27 @@ def test_denominators(spark):
     assert report == {"verified-archive": 48.0, "universe-membership": 96.0}
 
 
+def spread_tables(spark):
+    """Tables of eight symbols and more, one without an included symbol, and days under each."""
+    rows = [("2026-07-23", f"S{i}", i, 2) for i in range(1, 9)] + [("2026-07-30", "S1", 1, 2)] + [("2026-08-06", f"S{i}", 12 - i, 2) for i in range(1, 12)]
+    return days(spark, "2026-07-23", "2026-07-24", "2026-07-29", "2026-08-01", "2026-08-07", "2026-08-08"), tables(spark, rows)
+
+
+REINSTATED = {"reinstated": ("S1", "S4"), "last_defective": "2026-07-30"}
+
+
+def test_what_is_verified_meets_tables_before_their_days(spark):
+    spine, t = spread_tables(spark)
+    verified = spark.createDataFrame([(D.fromisoformat(d), s) for d in ("2026-07-24", "2026-08-01", "2026-08-08", "2026-09-01") for s in ("S1", "S3", "S4", "S9", "none")], "date date, symbol string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for rule in logs.RULES:
+        want = rows(logs.monitored_pair_days(universe.governed(spine, t, **REINSTATED), verified, rule).select("day", "table_date", "symbol", "rank"))
+        assert want and rows(logs.monitored_of_days(spine, t, verified, rule, **REINSTATED)) == want
+    assert rows(universe.governed(spine, t, **REINSTATED, only=verified.select(F.col("date").alias("day"), "symbol").unionByName(verified.select(F.col("date").alias("day"), "symbol")))) == rows(logs.monitored_of_days(spine, t, verified, **REINSTATED))
+    with pytest.raises(ValueError, match="rule"):
+        logs.monitored_of_days(spine, t, verified, "other")
+
+
 def test_log_states(spark):
     log = spark.createDataFrame([(D(2026, 8, 1), "404"), (D(2026, 8, 8), "404"), (D(2026, 8, 8), "ok"), (D(2026, 8, 2), "ok"), (D(2026, 8, 3), "failed"), (D(2026, 8, 3), "ok"), (D(2026, 8, 4), "ok"), (D(2026, 8, 4), "404")], "date date, status string").withColumn("bytes", F.lit(1))
     got = {r["date"].day: r["state"] for r in logs.completion(logs.pull_statistics(log), "2026-08-10").collect()}

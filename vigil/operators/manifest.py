@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigil import constants
+from vigil.operators import universe
 
 RULES = ("verified-archive", "universe-membership")
 
@@ -37,7 +38,7 @@ def archive_targets(pair_days: DataFrame, *, url: str, root: str = "raw") -> Dat
 
 def verified_pair_days(manifest: DataFrame) -> DataFrame:
     """date, symbol whose two files both last came with a checksum that was right."""
-    last = keep_last(manifest, ["date", "file"]).where(F.col("source_checksum_ok") == "1")
+    last = keep_last(manifest.select("date", "file", "symbol", "source_checksum_ok", "seq"), ["date", "file"]).where(F.col("source_checksum_ok") == "1")
     has = lambda file: F.bool_or(F.col("file") == file(F.col("symbol"), F.col("date")))
     return last.groupBy("date", "symbol").agg(has(trades_file).alias("a"), has(bars_file).alias("b")).where("a and b").select("date", "symbol")
 
@@ -49,6 +50,13 @@ def monitored_pair_days(governed: DataFrame, verified: DataFrame, rule: str = RU
     return governed if rule == RULES[1] else governed.join(verified.withColumnRenamed("date", "day"), ["day", "symbol"], "left_semi")
 
 
+def monitored_of_days(days: DataFrame, tables: DataFrame, verified: DataFrame, rule: str = RULES[0], **reinstating) -> DataFrame:
+    """monitored_pair_days of governed(days, tables), where what is verified meets the tables before they are repeated for each of their days."""
+    if rule not in RULES:
+        raise ValueError(f"unknown rule {rule}")
+    return universe.governed(days, tables, **reinstating, only=None if rule == RULES[1] else verified.withColumnRenamed("date", "day"))
+
+
 def pair_hours_by_day(monitored: DataFrame, days: DataFrame) -> DataFrame:
     """Hours of each day; days without any pair have none."""
     counted = monitored.groupBy("day").agg(F.count("*").alias("pairs"))
@@ -114,19 +122,23 @@ def outstanding_days(first: str, last: str, done: DataFrame) -> DataFrame:
     return days.join(done.select("day"), "day", "left_anti")
 
 
-def denominator_report(governed: DataFrame, verified: DataFrame, days: DataFrame) -> DataFrame:
-    """Per rule: pair-days, hours and distinct pairs over the days."""
+def _by_rule(governed: DataFrame, verified: DataFrame, monitored: DataFrame | None) -> dict[str, DataFrame]:
+    return {rule: monitored if monitored is not None and rule == RULES[0] else monitored_pair_days(governed, verified, rule) for rule in RULES}
+
+
+def denominator_report(governed: DataFrame, verified: DataFrame, days: DataFrame, *, monitored: DataFrame | None = None) -> DataFrame:
+    """Per rule: pair-days, hours and distinct pairs over the days.  monitored: those of the first rule, if they are known."""
     out = None
-    for rule in RULES:
-        own = monitored_pair_days(governed, verified, rule).join(days, "day", "left_semi")
+    for rule, own in _by_rule(governed, verified, monitored).items():
+        own = own.join(F.broadcast(days), "day", "left_semi")  # one row a day
         row = own.agg(F.lit(rule).alias("rule"), F.count("*").alias("pair_days"), (F.count("*") * constants.HOURS_A_PAIR_DAY).alias("pair_hours"), F.count_distinct("symbol").alias("pairs"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def denominators_by_day(governed: DataFrame, verified: DataFrame, days: DataFrame) -> DataFrame:
-    """Per rule and day: pairs and hours, also where there are none."""
-    parts = [pair_hours_by_day(monitored_pair_days(governed, verified, rule), days).withColumn("rule", F.lit(rule)) for rule in RULES]
+def denominators_by_day(governed: DataFrame, verified: DataFrame, days: DataFrame, *, monitored: DataFrame | None = None) -> DataFrame:
+    """Per rule and day: pairs and hours, also where there are none.  monitored: the pair-days of the first rule, if they are known."""
+    parts = [pair_hours_by_day(own, days).withColumn("rule", F.lit(rule)) for rule, own in _by_rule(governed, verified, monitored).items()]
     return parts[0].unionByName(parts[1]).select("rule", "day", "pairs", "hours")
 
 
