@@ -95,6 +95,13 @@ def test_what_is_verified_meets_tables_before_their_days(spark):
         logs.monitored_of_days(spine, t, verified, "other")
 
 
+def test_strata_of_tables_are_those_of_their_days(spark):
+    spine, t = spread_tables(spark)
+    rows = lambda df: sorted((tuple(r) for r in df.select("day", "symbol", "stratum").collect()), key=str)
+    want = rows(universe.strata(universe.governed(spine, t, **REINSTATED)))
+    assert {r[2] for r in want} == {1, 2, 3, None} and rows(universe.governed(spine, universe.table_strata(t), **REINSTATED)) == want
+
+
 def test_log_states(spark):
     log = spark.createDataFrame([(D(2026, 8, 1), "404"), (D(2026, 8, 8), "404"), (D(2026, 8, 8), "ok"), (D(2026, 8, 2), "ok"), (D(2026, 8, 3), "failed"), (D(2026, 8, 3), "ok"), (D(2026, 8, 4), "ok"), (D(2026, 8, 4), "404")], "date date, status string").withColumn("bytes", F.lit(1))
     got = {r["date"].day: r["state"] for r in logs.completion(logs.pull_statistics(log), "2026-08-10").collect()}
